@@ -1,0 +1,30 @@
+"""Lookups that hold when one key has a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 32
+# a lookup table of at most this many rows is shipped to every task
+BROADCAST_ROWS = 100_000
+
+
+def salted_lookup(
+    left: DataFrame, right: DataFrame, key: str, salt: Column | None = None, salts: int = SALTS
+) -> DataFrame:
+    """Left join to a table with unique keys, each key's left rows being spread over several tasks.
+
+    The right side is copied once per salt. ``salt`` is any expression that varies
+    within a hot key; by default a hash of the whole row.
+    """
+    spread = F.pmod(F.xxhash64(salt if salt is not None else F.struct("*")), F.lit(salts)).cast("int")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", spread).join(copies, [key, "_salt"], "left").drop("_salt")
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join to a table with unique keys: broadcast after a row count, salted beyond the limit."""
+    if right.limit(limit + 1).count() <= limit:
+        return left.join(F.broadcast(right), key, "left")
+    return salted_lookup(left, right, key)
