@@ -33,8 +33,20 @@ def escaped_preview(text: Column, length: int = 200) -> Column:
 
 
 def _one_decimal(value: Column, unit: str) -> Column:
-    # half-even rounding first: format_string alone rounds halves up
-    return F.format_string(f"%.1f{unit}", F.bround(value, 1))
+    """One decimal, rounded by the exact binary value with halves to even.
+
+    ``format_string`` and ``bround`` look at the shortest decimal form instead
+    (0.35 is slightly less than 35/100). The value is split so that its distance
+    from the half-way point is computed without rounding.
+    """
+    tenths = F.floor(value * 10)
+    high = F.floor(value * 2**20) / 2**20
+    over_half = (high * 20 - (tenths * 2 + 1)) + (value - high) * 20
+    rounded = (
+        F.when(over_half > 0, tenths + 1).when(over_half < 0, tenths).otherwise(tenths + tenths % 2)
+    ).cast("bigint")
+    whole, tenth = F.floor(rounded / 10).cast("string"), (rounded % 10).cast("string")
+    return F.concat(whole, F.lit("."), tenth, F.lit(unit))
 
 
 def human_size(size: Column) -> Column:

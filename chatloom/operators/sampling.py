@@ -79,7 +79,8 @@ def seeded_numbers(df: DataFrame, id_col: str, seed: int = SHUFFLE_SEED, name: s
 
 def epoch_numbers(df: DataFrame, id_col: str, epochs: int, seed: int, name: str = "number") -> DataFrame:
     """Every row once per epoch, numbered in that epoch's own seeded order."""
-    spread = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).cast("bigint"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(epochs - 1).cast("bigint"))
+    spread = df.withColumn("epoch", F.explode(every))
     key = seeded_key(seed, F.col("epoch"), F.col(id_col))
     keyed = spread.withColumn("_key", key).withColumn("_bucket", _bucket(F.col("_key")))
     counts = keyed.groupBy("epoch", "_bucket").agg(F.count("*").alias("_n"))

@@ -20,7 +20,7 @@ def _items(text, typed: bool):
     """Elements of JSON array text; typed elements stay JSON, others lose the quotes of strings."""
     if typed:
         listed = F.try_parse_json(text).try_cast("array<variant>")
-        return F.transform(listed, F.to_json)
+        return F.transform(listed, lambda v: F.to_json(v))
     return F.from_json(text, "array<string>", _JSON)
 
 

@@ -69,7 +69,7 @@ def read_lines(
 
 def read_whole(spark, path, glob=None, recursive=False, up_to: int | None = None) -> DataFrame:
     """``path, value``: one row per file."""
-    files = _reader(spark, glob, recursive).option("wholetext", True).text(path)
+    files = _reader(spark, glob, recursive).text(path, wholetext=True)
     if up_to is not None:
         files = files.where(F.col("_metadata.file_size") <= up_to)
     return files.select(F.col("_metadata.file_path").alias("path"), "value")

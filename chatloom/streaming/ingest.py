@@ -38,10 +38,10 @@ def stream_messages(
     """
     if fmt != "text":
         return to_messages(stream_lines(spark, path, glob, files_per_batch), fmt, on_bad=on_bad)
-    reader = prepare(spark).readStream.option("wholetext", True)
+    reader = prepare(spark).readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    files = reader.option("pathGlobFilter", glob or "*.txt").text(path)
+    files = reader.option("pathGlobFilter", glob or "*.txt").text(path, wholetext=True)
     text = strip(F.regexp_replace("value", "\r\n?", "\n"))
     files = files.select(F.col("_metadata.file_path").alias("path"), text.alias("value"))
     return files.where(F.col("value") != "").select("path", text_messages(F.col("value")).alias("messages"))
