@@ -13,7 +13,9 @@ from ..functions.text import strip
 from ..operators import catalog as c
 from .arrays import read_large_json_array
 from .csvfiles import read_headers, read_rows
-from .files import WHOLE_FILE_BYTES, has_larger_files, list_files, place, read_lines, read_whole
+from .files import (
+    WHOLE_FILE_BYTES, has_larger_files, list_all_files, list_files, place, read_lines, read_whole,
+)
 from .textfiles import read_paragraphs
 
 PREVIEW_CHARS = 201
@@ -26,7 +28,7 @@ def _glob(extension: str) -> str:
 
 def scan_datasets(spark: SparkSession, root: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """Catalogue of the dataset files below a folder, each with its verdict."""
-    listing = c.dataset_listing(list_files(spark, root), root)
+    listing = c.dataset_listing(list_all_files(spark, root), root)
 
     def kept(df: DataFrame) -> DataFrame:
         return df.where(c.is_dataset_file(relative_name(F.col("path"), root)))
@@ -87,7 +89,9 @@ def text_previews(spark, root, glob, whole_file_bytes) -> DataFrame:
     previews = files.select("path", head.alias("head"), F.is_valid_utf8("value").alias("utf8"))
     if has_larger_files(spark, root, whole_file_bytes, glob, True):
         lines = read_lines(spark, root, glob, True, larger_than=whole_file_bytes)
-        utf8 = lines.groupBy("path").agg(F.min(F.is_valid_utf8("value")).alias("utf8"))
+        utf8 = lines.groupBy("path").agg(
+            F.min(F.is_valid_utf8("value")).alias("utf8"), F.max(strip(F.col("value")) != "").alias("_text")
+        ).where("_text")
         # every line has at least its line end, so this many lines reach far enough
         place_in_file = F.row_number().over(W.partitionBy("path").orderBy("row"))
         first = lines.where("block = 0").select("path", "row", F.left("value", F.lit(PREVIEW_CHARS)).alias("v"),
@@ -110,12 +114,12 @@ def _config_texts(spark: SparkSession, root: str, name: str) -> DataFrame:
 def scan_models(spark: SparkSession, root: str, max_depth: int = 3, list_all: bool = False) -> DataFrame:
     """Catalogue of the model folders below a folder."""
     configs = _config_texts(spark, root, MODEL_CONFIG)
-    return c.model_catalog(list_files(spark, root), configs, root, max_depth, list_all)
+    return c.model_catalog(list_all_files(spark, root), configs, root, max_depth, list_all)
 
 
 def scan_adapters(spark: SparkSession, root: str, details: bool = True) -> DataFrame:
     """Catalogue of the adapters directly below a folder."""
-    found = c.adapter_catalog(list_files(spark, root), _config_texts(spark, root, ADAPTER_CONFIG), root)
+    found = c.adapter_catalog(list_all_files(spark, root), _config_texts(spark, root, ADAPTER_CONFIG), root)
     return found if details else found.select("name", "path")
 
 
