@@ -48,31 +48,37 @@ def json_keys(value: Column) -> Column:
     return F.array_distinct(F.json_object_keys(value))
 
 
-def json_kind(value: Column, field: str) -> Column:
-    """Type name of one field, such as STRING or OBJECT<...>."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), f"$.{field}", "variant"))
+def json_kind(value: Column, field) -> Column:
+    """Type name of one field (a name or a column of names), such as STRING or OBJECT<...>."""
+    path = F.concat(F.lit("$."), field) if isinstance(field, Column) else F.lit(f"$.{field}")
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), path, "variant"))
 
 
 def is_truthy(field: str, value: str = "value", record: str = "record") -> Column:
     """False for a missing or null field, "", 0, false, [] and {}."""
     text = F.col(f"{record}.{field}")
+    looks_falsy = (F.octet_length(text) <= 32) & text.rlike(_FALSY_TEXT)
     return (
         F.when(text.isNull() | (text == ""), F.lit(False))
-        .when(text.rlike(_FALSY_TEXT), F.coalesce(json_kind(F.col(value), field) == "STRING", F.lit(False)))
+        .when(looks_falsy, F.coalesce(json_kind(F.col(value), field) == "STRING", F.lit(False)))
         .otherwise(F.lit(True))
     )
 
 
+def first_truthy_field(fields, value: str = "value", record: str = "record") -> Column:
+    """Name and text of the first truthy field, else null."""
+    found = [
+        F.when(is_truthy(f, value, record), F.struct(F.lit(f).alias("name"), F.col(f"{record}.{f}").alias("text")))
+        for f in fields
+    ]
+    return F.coalesce(*found)
+
+
 def first_truthy(fields, value: str = "value", record: str = "record") -> Column:
     """Text of the first truthy field, else null."""
     return F.coalesce(*[F.when(is_truthy(f, value, record), F.col(f"{record}.{f}")) for f in fields])
 
 
-def first_truthy_name(fields, value: str = "value", record: str = "record") -> Column:
-    """Name of the first truthy field, else null."""
-    return F.coalesce(*[F.when(is_truthy(f, value, record), F.lit(f)) for f in fields])
-
-
 def has_keys(keys: Column, names) -> Column:
     """True when every name is among the keys."""
     return F.coalesce(F.size(F.array_except(F.array(*map(F.lit, names)), keys)) == 0, F.lit(False))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def directory(path: Column) -> Column:
     """Everything before the last slash; empty when there is none."""
-    return F.regexp_replace(path, "/?[^/]*$", "")
+    return F.left(path, F.length(path) - F.length(file_name(path)) - 1)
 
 
 def suffix(path: Column) -> Column:
@@ -22,7 +24,5 @@ def suffix(path: Column) -> Column:
 
 def relative_name(path: Column, base: str) -> Column:
     """Path below ``base`` with forward slashes. Any file system prefix counts as part of the base."""
-    tidy = F.replace(path, F.lit("\\"), F.lit("/"))
-    root = base.rstrip("/") + "/"
-    at = F.locate(root, tidy)
-    return F.when(at > 0, F.substring(tidy, at + len(root), F.length(tidy))).otherwise(tidy)
+    root = re.escape(base.rstrip("/") + "/")
+    return F.regexp_replace(F.translate(path, "\\", "/"), f"^.*?{root}", "")

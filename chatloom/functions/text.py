@@ -32,8 +32,8 @@ def escaped_preview(text: Column, length: int = 200) -> Column:
     return F.concat(head, F.when(F.char_length(text) > length, F.lit("...")).otherwise(F.lit("")))
 
 
-def _one_decimal(value: Column, unit: str) -> Column:
-    """One decimal, rounded by the exact binary value with halves to even.
+def _one_decimal(value: Column) -> Column:
+    """Text with one decimal, rounded by the exact binary value with halves to even.
 
     ``format_string`` and ``bround`` look at the shortest decimal form instead
     (0.35 is slightly less than 35/100). The value is split so that its distance
@@ -42,28 +42,28 @@ def _one_decimal(value: Column, unit: str) -> Column:
     tenths = F.floor(value * 10)
     high = F.floor(value * 2**20) / 2**20
     over_half = (high * 20 - (tenths * 2 + 1)) + (value - high) * 20
-    rounded = (
-        F.when(over_half > 0, tenths + 1).when(over_half < 0, tenths).otherwise(tenths + tenths % 2)
-    ).cast("bigint")
-    whole, tenth = F.floor(rounded / 10).cast("string"), (rounded % 10).cast("string")
-    return F.concat(whole, F.lit("."), tenth, F.lit(unit))
+    rounded = F.when(over_half > 0, tenths + 1).when(over_half < 0, tenths).otherwise(tenths + tenths % 2)
+    return F.format_string("%d.%d", F.floor(rounded / 10), (rounded % 10).cast("bigint"))
+
+
+def _scaled(value: Column, steps) -> Column:
+    """Value divided and labelled by the first step whose condition holds; steps are (condition, divisor, unit)."""
+    *some, (_, last_divisor, last_unit) = steps
+    divisor, unit = F, F
+    for condition, size, label in some:
+        divisor, unit = divisor.when(condition, F.lit(size)), unit.when(condition, F.lit(label))
+    divisor, unit = divisor.otherwise(F.lit(last_divisor)), unit.otherwise(F.lit(last_unit))
+    return F.concat(_one_decimal(value / divisor), unit)
 
 
 def human_size(size: Column) -> Column:
     """Bytes as B, KB, MB or GB."""
     kb, mb, gb = 1024, 1024**2, 1024**3
-    return (
-        F.when(size < kb, F.concat(size.cast("bigint").cast("string"), F.lit(" B")))
-        .when(size < mb, _one_decimal(size / kb, " KB"))
-        .when(size < gb, _one_decimal(size / mb, " MB"))
-        .otherwise(_one_decimal(size / gb, " GB"))
-    )
+    small = F.concat(size.cast("bigint").cast("string"), F.lit(" B"))
+    scaled = _scaled(size, [(size < mb, kb, " KB"), (size < gb, mb, " MB"), (None, gb, " GB")])
+    return F.when(size < kb, small).otherwise(scaled)
 
 
 def human_count(count: Column) -> Column:
     """Counts in thousands, millions or billions."""
-    return (
-        F.when(count > 1_000_000_000, _one_decimal(count / 1e9, "B"))
-        .when(count > 1_000_000, _one_decimal(count / 1e6, "M"))
-        .otherwise(_one_decimal(count / 1e3, "K"))
-    )
+    return _scaled(count, [(count > 10**9, 1e9, "B"), (count > 10**6, 1e6, "M"), (None, 1e3, "K")])

@@ -61,8 +61,8 @@ def is_dataset_file(name: Column, max_dirs: int = 2) -> Column:
 
 
 def is_weight_file(name: Column) -> Column:
-    extensions = "|".join(WEIGHT_EXTENSIONS)
-    return name.rlike(rf"\.({extensions})$") & ~F.contains(F.lower(name), F.lit("index"))
+    known = reduce(lambda a, b: a | b, [F.endswith(name, F.lit(f".{e}")) for e in WEIGHT_EXTENSIONS])
+    return known & ~F.contains(F.lower(name), F.lit("index"))
 
 
 def with_directory(files: DataFrame) -> DataFrame:
@@ -103,16 +103,14 @@ def model_facts(files: DataFrame) -> DataFrame:
 def model_config_fields(configs: DataFrame) -> DataFrame:
     """``dir, architecture, model_type, config_problem`` from configuration texts (dir, value)."""
     parsed = parse_record(configs).withColumn("_keys", json_keys(F.col("value")))
-    variant = F.try_parse_json("value")
+    parsed = parsed.withColumn("_c", F.from_json("value", "architectures string, model_type string"))
     fields = parsed.select(
-        "dir", "is_json", "_keys",
-        F.schema_of_variant(F.try_variant_get(variant, "$.architectures", "variant")).alias("_kind"),
-        F.try_variant_get(variant, "$.architectures[0]", "string").alias("_first"),
-        F.try_variant_get(variant, "$.architectures", "string").alias("_scalar"),
-        F.try_variant_get(variant, "$.model_type", "string").alias("_type"),
+        "dir", "is_json", "_keys", F.col("_c.architectures").alias("_scalar"), F.col("_c.model_type").alias("_type"),
+        F.startswith(F.coalesce("_c.architectures", F.lit("")), F.lit("[")).alias("_is_list"),
+        F.get(F.from_json("_c.architectures", "array<string>"), F.lit(0)).alias("_first"),
     )
     has = lambda key: F.coalesce(F.array_contains("_keys", key), F.lit(False))
-    is_list = F.startswith(F.coalesce("_kind", F.lit("")), F.lit("ARRAY"))
+    is_list = F.col("_is_list")
     empty_list = is_list & F.col("_first").isNull()
     problem = (
         F.when(~F.col("is_json"), F.lit("bad_config_json"))
@@ -142,11 +140,9 @@ def model_catalog(
     """
     files = with_directory(files)
     root = base.rstrip("/")
-    relative = relative_name(F.concat("dir", F.lit("/")), root)
-    files = files.withColumn("_rel", F.rtrim(relative, F.lit("/"))).where(
-        (F.col("_rel") == "") | (~_hidden(F.col("_rel")) & (F.size(F.split("_rel", "/")) <= max_depth + 1))
-    )
-    facts = model_facts(files).join(files.groupBy("dir").agg(F.first("_rel").alias("_rel")), "dir")
+    relative = F.rtrim(relative_name(F.concat("dir", F.lit("/")), root), F.lit("/"))
+    files = files.where(~_hidden(relative) & (F.size(F.split(relative, "/")) <= max_depth + 1))
+    facts = model_facts(files).withColumn("_rel", relative)
     facts = facts.where((F.col("_rel") != "") | F.col("has_config"))
     shown = all_files(files) if list_all else first_files(files)
     joined = facts.join(model_config_fields(configs), "dir", "left").join(shown, "dir", "left")
@@ -272,27 +268,23 @@ def line_verdicts(lines: DataFrame) -> DataFrame:
     Any line that is not JSON makes the file invalid; a first record of unknown
     format only gives a warning.
     """
-    checked = record_format(parse_record(lines)).withColumn("_keys", json_keys(F.col("value")))
-    seen = F.struct(
-        F.col("is_json").alias("ok"), F.col("record").isNotNull().alias("is_object"),
-        F.col("format").alias("format"), F.col("_keys").alias("keys"), F.col("value").alias("value"),
-        F.is_valid_utf8("value").alias("utf8"),
-    )
-    facts = checked.groupBy("path").agg(
+    facts = parse_record(lines).groupBy("path").agg(
         F.count("*").alias("n"),
         F.count_if(~F.col("is_json")).alias("bad"),
-        F.min_by(seen, "pos").alias("first"),
+        F.min_by("value", "pos").alias("value"),
+        F.min_by(F.col("record").isNotNull(), "pos").alias("good_first"),
         F.min(F.is_valid_utf8("value")).alias("utf8"),
     )
-    good_first = F.col("first.ok") & F.col("first.is_object")
-    fields = F.when(good_first, F.col("first.keys")).otherwise(_no_fields())
-    no_format = good_first & F.col("first.format").isNull() & (F.size("first.keys") > 0) & (F.col("bad") == 0)
+    facts = record_format(facts).withColumn("_keys", json_keys(F.col("value")))
+    good_first = F.col("good_first")
+    fields = F.when(good_first, F.col("_keys")).otherwise(_no_fields())
+    no_format = good_first & F.col("format").isNull() & (F.size("_keys") > 0) & (F.col("bad") == 0)
     found = _json_verdict(
         facts,
-        fmt=F.when(good_first, F.col("first.format")),
+        fmt=F.when(good_first, F.col("format")),
         count=F.col("n"),
         fields=fields,
-        sample=F.when(good_first, F.col("first.value")),
+        sample=F.when(good_first, F.col("value")),
         valid=F.col("bad") == 0,
         errors=codes((F.col("bad") > 0, F.format_string("bad_json_lines:%d/%d", "bad", "n"))),
         warnings=codes((no_format, F.concat(F.lit("unknown_fields:"), F.array_join(fields, ",")))),

@@ -2,7 +2,9 @@
 
 A conversation of any length is worked on in blocks of turns: turns are
 rendered and joined per block first, and blocks are put together afterwards.
-The largest thing a task holds is one result cell and one block.
+The largest thing a task holds is one result cell and one block. Where every
+conversation fits one block (checked on the turn column alone), the second step
+and its shuffle are left out.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
-from .joins import salted_lookup
 from .records import message
 from .render import CHATML, ChatTemplate, is_rendered, segment
 
@@ -23,6 +24,12 @@ def _block(turn: str, size: int) -> Column:
     return F.floor(F.col(turn) / size).cast("bigint")
 
 
+def fits_one_block(df: DataFrame, turn: str, size: int) -> bool:
+    """True when every conversation lies in its first block. Reads the turn column only."""
+    bounds = df.agg(F.min(turn).alias("low"), F.max(turn).alias("high")).first()
+    return bounds["high"] is None or (bounds["low"] >= 0 and bounds["high"] < size)
+
+
 def _in_order(*fields: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(*fields)))
 
@@ -32,6 +39,8 @@ def fold_text(
     template: ChatTemplate = CHATML, block_turns: int = BLOCK_TURNS,
 ) -> DataFrame:
     """``conv, n_messages, n_dropped, text``: training text of every conversation."""
+    if fits_one_block(df, turn, block_turns):
+        return _joined_segments(_segments(df, conv, turn, role, text, template), conv)
     parts = fold_text_parts(df, conv, turn, role, text, template, block_turns)
     whole = F.array_join(F.transform(_in_order("part", "text"), lambda p: p["text"]), "")
     return parts.groupBy(conv).agg(
@@ -48,13 +57,21 @@ def fold_text_parts(
     Joined in order, the parts are the whole text. Use this form where a single
     conversation may outgrow one cell.
     """
-    turns = df.select(
-        conv, _block(turn, block_turns).alias("part"), F.col(turn).alias("_turn"),
+    turns = _segments(df, conv, turn, role, text, template)
+    return _joined_segments(turns.withColumn("part", _block("_turn", block_turns)), conv, "part")
+
+
+def _segments(df, conv, turn, role, text, template) -> DataFrame:
+    return df.select(
+        conv, F.col(turn).alias("_turn"),
         segment(F.col(role), F.col(text), template).alias("_text"),
         is_rendered(F.col(role), template).alias("_kept"),
     )
+
+
+def _joined_segments(turns: DataFrame, *keys: str) -> DataFrame:
     joined = F.array_join(F.transform(_in_order("_turn", "_text"), lambda t: t["_text"]), "")
-    return turns.groupBy(conv, "part").agg(
+    return turns.groupBy(*keys).agg(
         F.count("*").alias("n_messages"), F.count_if(~F.col("_kept")).alias("n_dropped"), joined.alias("text")
     )
 
@@ -68,12 +85,13 @@ def fold_messages(
         conv, _block(turn, block_turns).alias("_part"), F.col(turn).alias("_turn"),
         F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("content"),
     )
-    parts = turns.groupBy(conv, "_part").agg(
-        F.transform(
-            _in_order("_turn", "role", "content"),
-            lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")),
-        ).alias("_messages")
+    messages = F.transform(
+        _in_order("_turn", "role", "content"),
+        lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")),
     )
+    if fits_one_block(df, turn, block_turns):
+        return turns.groupBy(conv).agg(messages.alias("messages"))
+    parts = turns.groupBy(conv, "_part").agg(messages.alias("_messages"))
     return parts.groupBy(conv).agg(
         F.flatten(F.transform(_in_order("_part", "_messages"), lambda p: p["_messages"])).alias("messages")
     )
@@ -97,6 +115,8 @@ def turn_prompts(
     running = W.partitionBy(conv, "_block").orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)
     recent = F.array_join(F.collect_list("_text").over(running), "")
     prompts = turns.withColumn("_recent", recent).where(F.col("_role") == "user").drop("_text", "_role")
+    if fits_one_block(df, turn, block_turns):
+        return prompts.select(conv, "turn", F.concat("_recent", F.lit(template.generation)).alias("prompt"))
 
     ordered = F.array_join(F.transform(_in_order("turn", "_text"), lambda t: t["_text"]), "")
     blocks = turns.groupBy(conv, "_block").agg(ordered.alias("_text"))
@@ -160,9 +180,12 @@ def after_clear(
     df: DataFrame, cleared: Column, conv: str = "conv_id", turn: str = "turn", block_turns: int = BLOCK_TURNS
 ) -> DataFrame:
     """Turns later than the last one at which the history was cleared."""
-    last = df.where(cleared).groupBy(conv).agg(F.max(turn).alias("_last"))
-    kept = salted_lookup(df, last, conv, salt=_block(turn, block_turns))
-    return kept.where(F.col("_last").isNull() | (F.col(turn) > F.col("_last"))).drop("_last")
+    turns = df.withColumn("_block", _block(turn, block_turns))
+    blocks = turns.groupBy(conv, "_block").agg(F.max(F.when(cleared, F.col(turn))).alias("_last"))
+    # one row per block: the last clearing of the conversation reaches all its blocks
+    blocks = blocks.withColumn("_last", F.max("_last").over(W.partitionBy(conv)))
+    kept = turns.join(blocks, [conv, "_block"])
+    return kept.where(F.col("_last").isNull() | (F.col(turn) > F.col("_last"))).drop("_last", "_block")
 
 
 def history_preview(df: DataFrame, text: str = "text", length: int = 100) -> DataFrame:

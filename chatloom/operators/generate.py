@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import GENERATION_DEFAULTS, MAX_SEQ_LENGTH
-from ..functions.text import strip
 
 
 def falsy_default(*choices: Column, default) -> Column:
@@ -120,7 +119,3 @@ def generate_batch(
             yield batch.assign(reply=list(replies), new_tokens=list(counts), elapsed=list(seconds))
 
     return df.mapInPandas(run, schema)
-
-
-def reply_text(decoded: Column) -> Column:
-    return strip(decoded)

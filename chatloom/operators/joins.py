@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
 # a lookup table of at most this many rows is shipped to every task
 BROADCAST_ROWS = 100_000
+# a key with more rows than this is spread over SALTS tasks
+HOT_ROWS = 1_000_000
 
 
-def salted_lookup(
-    left: DataFrame, right: DataFrame, key: str, salt: Column | None = None, salts: int = SALTS
+def lookup(
+    left: DataFrame, right: DataFrame, key: str, limit: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Left join to a table with unique keys, each key's left rows being spread over several tasks.
-
-    The right side is copied once per salt. ``salt`` is any expression that varies
-    within a hot key; by default a hash of the whole row.
-    """
-    spread = F.pmod(F.xxhash64(salt if salt is not None else F.struct("*")), F.lit(salts)).cast("int")
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", spread).join(copies, [key, "_salt"], "left").drop("_salt")
-
-
-def lookup(left: DataFrame, right: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left join to a table with unique keys: broadcast after a row count, salted beyond the limit."""
     if right.limit(limit + 1).count() <= limit:
         return left.join(F.broadcast(right), key, "left")
-    return salted_lookup(left, right, key)
+    return salted_lookup(left, right, key, hot_rows)
+
+
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """Left join by shuffle in which only the hot keys are salted.
+
+    Keys are counted first (combined before the shuffle). There are at most
+    rows / hot_rows hot keys; their lookup rows are copied once per salt.
+    """
+    hot = left.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows).select(key)
+    hot = hot.withColumn("_hot", F.lit(True))
+    spread = F.pmod(F.xxhash64(F.struct(*left.columns)), F.lit(salts)).cast("int")
+    marked = left.join(F.broadcast(hot), key, "left")
+    marked = marked.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return marked.join(copies, [key, "_salt"], "left").drop("_salt")

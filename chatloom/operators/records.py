@@ -6,8 +6,6 @@ projections of one row to one row.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from ..constants import (
     CSV_QUESTION_COLUMNS, MESSAGES_TYPE, QA_KEY_SETS, QUESTION_KEYS,
 )
 from ..functions.jsontext import (
-    first_truthy, first_truthy_name, has_any_keyset, is_truthy, json_keys, json_kind, parse_record,
+    first_truthy, first_truthy_field, has_any_keyset, is_truthy, json_keys, json_kind, parse_record,
 )
 from ..functions.text import concat_if, strip
 
@@ -43,33 +41,28 @@ def sharegpt_messages(record: str = "record") -> Column:
     )
 
 
-def alpaca_messages(value: str = "value", record: str = "record") -> Column:
-    instruction = F.coalesce(F.col(f"{record}.instruction"), F.lit(""))
-    question = concat_if(instruction, is_truthy("input", value, record), F.col(f"{record}.input"))
-    return dialogue(question, first_truthy(ALPACA_ANSWER_KEYS, value, record))
+def _alpaca_sides(parsed: DataFrame, value: str) -> DataFrame:
+    """Instruction and optional input as the question, output or response as the answer."""
+    instruction = F.coalesce(F.col("record.instruction"), F.lit(""))
+    question = concat_if(instruction, is_truthy("input", value), F.col("record.input"))
+    return parsed.withColumn("_question", question).withColumn("_answer", first_truthy(ALPACA_ANSWER_KEYS, value))
 
 
-def qa_messages(value: str = "value", record: str = "record") -> Column:
+def _qa_sides(parsed: DataFrame, value: str) -> DataFrame:
     """First truthy question and answer; an answer object gives its ``text`` or itself."""
-    answer = first_truthy(ANSWER_KEYS, value, record)
-    name = first_truthy_name(ANSWER_KEYS, value, record)
-    looks_like_object = F.startswith(answer, F.lit("{"))
-    is_object = reduce(
-        lambda chain, key: chain.when(
-            name == key, F.startswith(json_kind(F.col(value), key), F.lit("OBJECT"))
-        ),
-        ANSWER_KEYS[1:],
-        F.when(name == ANSWER_KEYS[0], F.startswith(json_kind(F.col(value), ANSWER_KEYS[0]), F.lit("OBJECT"))),
+    sides = parsed.withColumn("_question", first_truthy(QUESTION_KEYS, value))
+    sides = sides.withColumn("_found", first_truthy_field(ANSWER_KEYS, value))
+    answer = F.col("_found.text")
+    # text in braces may be a string: its JSON type decides
+    is_object = F.when(
+        F.startswith(answer, F.lit("{")), F.startswith(json_kind(F.col(value), F.col("_found.name")), F.lit("OBJECT"))
     )
-    inner = F.from_json(answer, "text string")["text"]
-    of_object = F.when(
-        F.array_contains(json_keys(answer), "text"), F.coalesce(inner, F.lit(""))
-    ).otherwise(answer)
-    answer = F.when(looks_like_object & F.coalesce(is_object, F.lit(False)), of_object).otherwise(answer)
-    return dialogue(first_truthy(QUESTION_KEYS, value, record), answer)
+    inner = F.coalesce(F.from_json(answer, "text string")["text"], F.lit(""))
+    has_text = F.array_contains(json_keys(answer), "text")
+    return sides.withColumn("_answer", F.when(is_object & has_text, inner).otherwise(answer)).drop("_found")
 
 
-_BY_FORMAT = {"alpaca": alpaca_messages, "jsonl": qa_messages}
+_SIDES = {"alpaca": _alpaca_sides, "jsonl": _qa_sides}
 
 
 def to_messages(df: DataFrame, fmt: str, value: str = "value", on_bad: str = "fail") -> DataFrame:
@@ -82,12 +75,13 @@ def to_messages(df: DataFrame, fmt: str, value: str = "value", on_bad: str = "fa
     if fmt == "sharegpt":
         messages = sharegpt_messages()
     else:
-        messages = _BY_FORMAT[fmt](value)
+        parsed = _SIDES[fmt](parsed, value)
+        messages = dialogue(F.col("_question"), F.col("_answer"))
     messages = F.when(F.col("record").isNotNull(), messages).cast(MESSAGES_TYPE)
     if on_bad == "fail":
         failure = F.raise_error(F.concat(F.lit("bad record: "), F.left(value, F.lit(200))))
         messages = F.coalesce(messages, failure.cast(MESSAGES_TYPE))
-    return parsed.withColumn("messages", messages).drop("record", "is_json", value)
+    return parsed.withColumn("messages", messages).drop("record", "is_json", "_question", "_answer", value)
 
 
 def record_format(df: DataFrame, value: str = "value", name: str = "format") -> DataFrame:

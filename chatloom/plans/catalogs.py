@@ -20,9 +20,7 @@ _FILES = {
 def model_files(spark, sf):
     """``path, length``: every order is a folder, its line numbers are the files in it."""
     lines = table(spark, sf, "lineitem")
-    name = F.lit(None).cast("string")
-    for number, file in _FILES.items():
-        name = F.when(F.col("l_linenumber") == number, file).otherwise(name)
+    name = F.element_at(F.array(*map(F.lit, _FILES.values())), F.col("l_linenumber"))
     sizes = lines.groupBy("l_orderkey", "l_linenumber").agg(
         F.sum(F.col("l_partkey") * 4096 + F.col("l_suppkey")).alias("length")
     )

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.records import csv_messages, csv_plan
 from ..session import cut_lineage
 from .files import (
-    WHOLE_FILE_BYTES, _reader, has_larger_files, position, read_lines, record_start,
-    running_before, split_window, stitch,
+    SPLIT, WHOLE_FILE_BYTES, _reader, attach_split_state, has_larger_files, position, read_lines,
+    record_start, split_window, stitch,
 )
 
 # a header table this small is shipped to every task; larger ones are joined by shuffle
@@ -21,12 +22,12 @@ _QUOTING = {"quote": '"', "escape": '"'}
 def read_headers(spark: SparkSession, path, glob=None, recursive=False) -> DataFrame:
     """``path, header``: column names of each file, in order."""
     lines = read_lines(spark, path, glob, recursive).where("block = 0")
-    first = lines.groupBy("path").agg(F.min_by("value", "row").alias("line"))
+    first = cut_lineage(lines.groupBy("path").agg(F.min_by("value", "row").alias("line")))
     # as many columns as any header could have
     width = (first.agg(F.max(F.size(F.split("line", ",")))).first()[0]) or 1
     cells = F.from_csv("line", _schema(width), _QUOTING)
     header = F.filter(F.array(*[cells[f"c{i}"] for i in range(width)]), lambda c: c.isNotNull())
-    return cut_lineage(first.select("path", header.alias("header")))
+    return first.select("path", header.alias("header"))
 
 
 def _schema(width: int) -> str:
@@ -37,14 +38,60 @@ def _cells(width: int) -> Column:
     return F.array(*[F.col(f"c{i}") for i in range(width)])
 
 
+def _open_after(line: Column, opened: bool) -> Column:
+    """1 when a quoted cell is still open at the end of a line that starts inside (``opened``) or outside one.
+
+    A quote opens a cell only at its first character; a doubled quote stays inside.
+    """
+    quoted = r'[^"]*+(?:""[^"]*+)*+"'
+    rest = F.regexp_replace(line, f"^{quoted}", "x") if opened else line
+    left = F.regexp_replace(rest, f'(^|,)"{quoted}', "$1x")
+    still = F.rlike(left, F.lit('(^|,)"'))
+    if opened:
+        still = still | ~F.rlike(line, F.lit(f"^{quoted}"))
+    return F.when(still, 1).otherwise(0)
+
+
+def _with_quote_state(lines: DataFrame) -> DataFrame:
+    """Add ``open``: 1 for lines that start inside a quoted cell.
+
+    Each line either fixes the state (whatever it was before), flips it or leaves
+    it. A state is that of the latest fixing line, flipped as often as flips follow it.
+    """
+    plain = ~F.contains("value", F.lit('"'))
+    outside = F.when(plain, 0).otherwise(_open_after(F.col("value"), False))
+    inside = F.when(plain, 1).otherwise(_open_after(F.col("value"), True))
+    lines = lines.withColumn("_to0", outside).withColumn("_to1", inside)
+    lines = lines.withColumn("_flip", F.when((F.col("_to0") == 1) & (F.col("_to1") == 0), 1).otherwise(0))
+    before = split_window().rowsBetween(W.unboundedPreceding, -1)
+    lines = lines.withColumn("_flips", F.coalesce(F.sum("_flip").over(before), F.lit(0)))
+    fixed = F.when(
+        F.col("_to0") == F.col("_to1"), F.struct(F.col("row").alias("row"), (F.col("_to0") - F.col("_flips")).alias("state"))
+    )
+    lines = lines.withColumn("_fixed", fixed)
+    lines = lines.withColumn("_last", F.last("_fixed", ignorenulls=True).over(before))
+
+    splits = lines.groupBy(*SPLIT).agg(
+        F.max("_fixed").alias("fixed"), F.sum("_flip").alias("flips")
+    )
+    # the same over splits: a split fixes the state, or flips it as often as its lines do
+    file_order = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("flips").over(file_order), F.lit(0)))
+    end = F.when(F.col("fixed").isNotNull(), F.col("fixed.state") + F.col("flips") - (F.col("_before") + F.col("flips")))
+    splits = splits.withColumn("_end", end)
+    start = F.coalesce(F.last("_end", ignorenulls=True).over(file_order), F.lit(0)) + F.col("_before")
+    splits = splits.withColumn("_start", F.pmod(start, F.lit(2)))
+    lines = attach_split_state(lines, splits, "_start")
+    state = F.pmod(F.coalesce(F.col("_last.state"), F.col("_start")) + F.col("_flips"), F.lit(2))
+    return lines.withColumn("open", state).select("path", "block", "row", "value", "open")
+
+
 def _large_rows(spark, path, glob, recursive, larger_than, width) -> DataFrame:
-    """Rows of files beyond one split: a line starts a row when all quotes before it are closed."""
-    lines = read_lines(spark, path, glob, recursive, larger_than=larger_than)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = running_before(lines, quotes, "_quotes")
+    """Rows of files beyond one split: a line starts a row unless a quoted cell is open."""
+    lines = _with_quote_state(read_lines(spark, path, glob, recursive, larger_than=larger_than))
     first = (F.col("block") == 0) & (F.row_number().over(split_window()) == 1)
     lines = lines.withColumn("_header", first)
-    rows = record_start(lines, F.col("_quotes") % 2 == 0).where(~F.col("_header"))
+    rows = record_start(lines, F.col("open") == 0).where(~F.col("_header"))
     rows = stitch(rows, "\n").where(F.col("value") != "")
     parsed = rows.withColumn("_row", F.from_csv("value", _schema(width), {**_QUOTING, "multiLine": "true"}))
     return parsed.select("path", "pos", F.array(*[F.col(f"_row.c{i}") for i in range(width)]).alias("cells"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 
-WHOLE_FILE_BYTES = 128 * 1024 * 1024
+WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
 
 def _reader(spark: SparkSession, glob: str | None, recursive: bool):
@@ -125,22 +125,6 @@ def attach_split_state(rows: DataFrame, per_split: DataFrame, *columns: str) ->
     return joined.withColumn("row", check).drop("_has")
 
 
-def running_before(rows: DataFrame, amount: Column, name: str) -> DataFrame:
-    """Sum of ``amount`` over all earlier rows of the file.
-
-    Rows are summed inside their split; the totals of earlier splits come from
-    a table with one row per split.
-    """
-    rows = rows.withColumn("_amount", amount)
-    totals = rows.groupBy(*SPLIT).agg(F.sum("_amount").alias("_total"))
-    earlier = F.sum("_total").over(_file_window().rowsBetween(W.unboundedPreceding, -1))
-    totals = totals.select(*SPLIT, F.coalesce(earlier, F.lit(0)).alias("_earlier"))
-    inside = F.sum("_amount").over(split_window().rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn(name, F.coalesce(inside, F.lit(0)))
-    rows = attach_split_state(rows, totals, "_earlier")
-    return rows.withColumn(name, F.col(name) + F.col("_earlier")).drop("_amount", "_earlier")
-
-
 def record_start(rows: DataFrame, starts: Column, name: str = "start") -> DataFrame:
     """Place (block, row) of the latest row at or before this one for which ``starts`` holds.
 

@@ -13,7 +13,12 @@ from .files import (
 
 def split_paragraphs(text):
     """Blank-line separated parts of a text; CRLF and CR count as line ends."""
-    return F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n\n", -1)
+    return F.split(unix_lines(text), "\n\n", -1)
+
+
+def unix_lines(text):
+    """CRLF and CR as LF; text without a CR is left alone."""
+    return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
 def read_paragraphs(
@@ -38,7 +43,7 @@ def read_paragraphs(
 def read_text_files(spark: SparkSession, path, glob: str = "*.txt", recursive: bool = False) -> DataFrame:
     """``path, pos, value``: every file is one stripped sample; empty files are left out."""
     files = read_whole(spark, path, glob, recursive)
-    text = strip(F.regexp_replace("value", "\r\n?", "\n"))
+    text = strip(unix_lines(F.col("value")))
     return files.select("path", position(0, F.lit(0)).alias("pos"), text.alias("value")).where(F.col("value") != "")
 
 

@@ -16,7 +16,7 @@ from .csvfiles import read_headers, read_rows
 from .files import (
     WHOLE_FILE_BYTES, has_larger_files, list_all_files, list_files, place, read_lines, read_whole,
 )
-from .textfiles import read_paragraphs
+from .textfiles import read_paragraphs, unix_lines
 
 PREVIEW_CHARS = 201
 
@@ -85,7 +85,7 @@ def json_file_facts(spark, root, glob, whole_file_bytes) -> DataFrame:
 def text_previews(spark, root, glob, whole_file_bytes) -> DataFrame:
     """``path, head, utf8``: the start of every text file that is not blank."""
     files = read_whole(spark, root, glob, True, up_to=whole_file_bytes).where(strip(F.col("value")) != "")
-    head = F.left(F.regexp_replace("value", "\r\n?", "\n"), F.lit(PREVIEW_CHARS))
+    head = F.left(unix_lines(F.col("value")), F.lit(PREVIEW_CHARS))
     previews = files.select("path", head.alias("head"), F.is_valid_utf8("value").alias("utf8"))
     if has_larger_files(spark, root, whole_file_bytes, glob, True):
         lines = read_lines(spark, root, glob, True, larger_than=whole_file_bytes)

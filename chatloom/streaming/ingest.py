@@ -12,6 +12,7 @@ from ..operators.generate import generate_batch
 from ..operators.records import text_messages, to_messages
 from ..operators.render import CHATML, ChatTemplate, render_training_text, single_prompt
 from ..session import prepare, shared_path
+from ..sources.textfiles import unix_lines
 from ..sources.prompts import prompts_from_records
 
 
@@ -42,7 +43,7 @@ def stream_messages(
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     files = reader.option("pathGlobFilter", glob or "*.txt").text(path, wholetext=True)
-    text = strip(F.regexp_replace("value", "\r\n?", "\n"))
+    text = strip(unix_lines(F.col("value")))
     files = files.select(F.col("_metadata.file_path").alias("path"), text.alias("value"))
     return files.where(F.col("value") != "").select("path", text_messages(F.col("value")).alias("messages"))
 

@@ -129,7 +129,7 @@ def test_salted_lookup_equals_join(spark):
     left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).alias("k"), "id")
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plain = sorted(map(tuple, left.join(right, "k", "left").select("id", "v").collect()), key=str)
-    for found in (joins.salted_lookup(left, right, "k"), joins.lookup(left, right, "k"), joins.lookup(left, right, "k", limit=5)):
+    for found in (joins.salted_lookup(left, right, "k"), joins.salted_lookup(left, right, "k", hot_rows=500), joins.lookup(left, right, "k"), joins.lookup(left, right, "k", limit=5)):
         assert sorted(map(tuple, found.select("id", "v").collect()), key=str) == plain
 
 

@@ -336,3 +336,13 @@ def test_prompts_json_narrow(spark, write):
 def test_no_prompts(spark, write):
     with pytest.raises(ValueError, match="no prompts"):
         prompts.read_prompts(spark, write("a.jsonl", '{"x":1}\n'))
+
+
+def test_csv_stray_quotes_in_splits(spark, write, splits):
+    rows = ['5" pipe,a', '"x ""y"" ,\n""z",b', 'n,"t\n\nu"', 'p"q,"r"', '"a"b,"c""\n"', 'plain,text', '"","""q"""']
+    text = "question,answer\n" + "".join(f"{r}\n" for r in rows) * 15
+    path = write("a.csv", text)
+    whole = pairs(load(spark, path))
+    assert len(whole) == 15 * len(rows)
+    assert whole[:4] == [('5" pipe', "a"), ('x "y" ,\n"z', "b"), ("n", "t\n\nu"), ('p"q', "r")]
+    assert pairs(load(spark, path, whole_file_bytes=0)) == whole
