@@ -67,3 +67,8 @@ def human_size(size: Column) -> Column:
 def human_count(count: Column) -> Column:
     """Counts in thousands, millions or billions."""
     return _scaled(count, [(count > 10**9, 1e9, "B"), (count > 10**6, 1e6, "M"), (None, 1e3, "K")])
+
+
+def clock(time: Column) -> Column:
+    """Time of day, as log lines show it."""
+    return F.date_format(time, "HH:mm:ss")

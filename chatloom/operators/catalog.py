@@ -141,8 +141,8 @@ def model_catalog(
     files = with_directory(files)
     root = base.rstrip("/")
     relative = F.rtrim(relative_name(F.concat("dir", F.lit("/")), root), F.lit("/"))
-    files = files.where(~_hidden(relative) & (F.size(F.split(relative, "/")) <= max_depth + 1))
     facts = model_facts(files).withColumn("_rel", relative)
+    facts = facts.where(~_hidden(F.col("_rel")) & (F.size(F.split("_rel", "/")) <= max_depth + 1))
     facts = facts.where((F.col("_rel") != "") | F.col("has_config"))
     shown = all_files(files) if list_all else first_files(files)
     joined = facts.join(model_config_fields(configs), "dir", "left").join(shown, "dir", "left")
@@ -443,7 +443,7 @@ def validation_totals(**sections: DataFrame) -> DataFrame:
 
 
 def report_rows(catalog: DataFrame, files: int = PREVIEW_FILES) -> DataFrame:
-    """Catalogue rows as the report shows them: status, name and joined lists."""
+    """Catalogue rows as the report shows them, by name: status and joined lists."""
     lists = [c for c in ("fields", "errors", "warnings") if c in catalog.columns]
     out = catalog.withColumn("status", status(F.col("valid")))
     for column in lists:
@@ -451,4 +451,4 @@ def report_rows(catalog: DataFrame, files: int = PREVIEW_FILES) -> DataFrame:
     if "files" in catalog.columns:
         more = F.when(F.col("n_files") > files, F.lit("...")).otherwise(F.lit(""))
         out = out.withColumn("files", F.concat(F.array_join(F.slice("files", 1, files), ", "), more))
-    return out
+    return out.orderBy("name")

@@ -112,10 +112,16 @@ def turn_prompts(
         _block(turn, block_turns).alias("_block"),
         segment(F.col(role), F.col(text), template).alias("_text"),
     )
+    short = fits_one_block(df, turn, block_turns)
+    if not short:
+        # prompts are far larger than the turns: a fixed number of partitions keeps
+        # adaptive execution from merging blocks by the size of the turns
+        count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        turns = turns.repartition(count, conv, "_block")
     running = W.partitionBy(conv, "_block").orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)
     recent = F.array_join(F.collect_list("_text").over(running), "")
     prompts = turns.withColumn("_recent", recent).where(F.col("_role") == "user").drop("_text", "_role")
-    if fits_one_block(df, turn, block_turns):
+    if short:
         return prompts.select(conv, "turn", F.concat("_recent", F.lit(template.generation)).alias("prompt"))
 
     ordered = F.array_join(F.transform(_in_order("turn", "_text"), lambda t: t["_text"]), "")

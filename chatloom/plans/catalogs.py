@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import strip
 from ..operators import catalog
 from ..session import shared_path
 from ..sources import trees
@@ -88,6 +89,18 @@ def model_status(spark, sf):
     return found.groupBy(catalog.status(F.col("valid")).alias("status")).agg(F.count("*").alias("folders"))
 
 
+@query(_MODEL_FACTS + """
+    SELECT CAST(k AS VARCHAR) AS name, CASE WHEN c AND w > 0 AND t THEN 'OK' ELSE 'FAIL' END AS status, replace(files, ',', ', ') AS files,
+      concat_ws(', ', CASE WHEN NOT c THEN 'missing_config' END, CASE WHEN c AND st = 'P' THEN 'bad_config_json' END,
+        CASE WHEN w = 0 THEN 'missing_weights' END, CASE WHEN NOT t THEN 'missing_tokenizer' END) AS errors
+    FROM m
+""")
+def model_report(spark, sf):
+    """Report rows of the model folders, in the order of their names."""
+    found = catalog.model_catalog(model_files(spark, sf), model_configs(spark, sf), "models")
+    return catalog.report_rows(found).select("name", "status", "files", "errors")
+
+
 @query(_MODEL_FACTS + "SELECT 'models/' || k AS path FROM m WHERE c AND w > 0 AND t")
 def valid_models(spark, sf):
     """Usable model folders."""
@@ -254,6 +267,7 @@ _TWO_PARTS = "CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || chr(10) || lang E
 def _text_verdicts(documents):
     text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\n\n"), "lang")).otherwise(F.col("text"))
     files = documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), text.alias("value"))
+    files = files.where(strip(F.col("value")) != "")
     paragraphs = files.select("path", F.explode(F.split("value", "\n\n")).alias("value")).where(F.trim("value") != "")
     previews = files.select("path", F.col("value").alias("head"), F.is_valid_utf8("value").alias("utf8"))
     return catalog.text_verdicts(paragraphs, previews)
@@ -301,17 +315,17 @@ def csv_verdicts(spark, sf):
 @query("""
     SELECT lang || '.json' AS path, count(*) AS sample_count,
       coalesce(CASE arg_min(doc_id % 8, doc_id) WHEN 0 THEN 'sharegpt' WHEN 1 THEN 'alpaca' WHEN 2 THEN 'alpaca'
-        WHEN 3 THEN 'jsonl' WHEN 4 THEN 'jsonl' END, 'json') AS format,
-      arg_min(doc_id % 8, doc_id) < 5 AS valid,
-      CASE WHEN arg_min(doc_id % 8, doc_id) < 5 THEN '' ELSE 'unknown_fields:messages,note' END AS warnings
-    FROM documents WHERE doc_id % 8 <> 7 GROUP BY lang
+        WHEN 3 THEN 'jsonl' WHEN 4 THEN 'jsonl' WHEN 7 THEN 'jsonl' END, 'json') AS format,
+      arg_min(doc_id % 8, doc_id) NOT IN (5, 6) AS valid,
+      CASE WHEN arg_min(doc_id % 8, doc_id) NOT IN (5, 6) THEN '' ELSE 'unknown_fields:messages,note' END AS warnings
+    FROM documents GROUP BY lang
 """)
 def array_verdicts(spark, sf):
-    """Verdict per JSON array file, the parsable records of a language being its elements."""
-    documents = table(spark, sf, "documents")
-    whole = mixed_json(documents).join(documents.select("doc_id", "lang"), "doc_id").where("doc_id % 8 <> 7")
+    """Verdict per JSON array file, the records of a language being its elements."""
+    records = mixed_json(table(spark, sf, "documents"), "doc_id", "lang")
+    closed = F.when(F.col("doc_id") % 8 == 7, F.concat("value", F.lit("}"))).otherwise(F.col("value"))
     position = F.struct(F.lit(0).alias("block"), F.col("doc_id").alias("row"), F.lit(0).alias("item"))
-    elements = whole.select(F.concat("lang", F.lit(".json")).alias("path"), position.alias("pos"), "value")
+    elements = records.withColumn("value", closed).select(F.concat("lang", F.lit(".json")).alias("path"), position.alias("pos"), "value")
     facts = catalog.array_facts(elements).withColumn("shape", F.lit("array"))
     found = catalog.array_verdicts(facts)
     return found.select("path", "sample_count", "format", "valid", F.array_join("warnings", ",").alias("warnings"))
@@ -319,16 +333,19 @@ def array_verdicts(spark, sf):
 
 @query(f"""
     SELECT name, {sql_size('length')} AS size, format, valid, sample_count, errors FROM (
-      SELECT doc_id || '.txt' AS name, n_chars AS length, 'txt' AS format, doc_id % 10 <> 0 AS valid,
-        CASE WHEN doc_id % 10 = 0 THEN 0 ELSE greatest({_paragraph_sql(_TWO_PARTS)}, 1) END AS sample_count,
-        CASE WHEN doc_id % 10 = 0 THEN 'empty_file' ELSE '' END AS errors FROM documents)
+      SELECT doc_id || '.txt' AS name, n_chars AS length, 'txt' AS format, lang <> 'es' AS valid,
+        CASE WHEN lang = 'es' THEN 0 ELSE greatest({_paragraph_sql(_TWO_PARTS)}, 1) END AS sample_count,
+        CASE WHEN lang = 'es' THEN 'empty_file' ELSE '' END AS errors FROM documents)
 """)
 def dataset_catalog(spark, sf):
     """Catalogue of text files, some of which have no content."""
     documents = table(spark, sf, "documents")
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
     listing = documents.select(name.alias("path"), name.alias("name"), F.col("n_chars").alias("length"))
-    found = catalog.dataset_catalog(listing, _text_verdicts(documents.where("doc_id % 10 <> 0")))
+    blank = F.col("lang") == "es"
+    text, lang = (F.when(blank, F.lit("")).otherwise(F.col(name)) for name in ("text", "lang"))
+    contents = documents.select("doc_id", text.alias("text"), lang.alias("lang"))
+    found = catalog.dataset_catalog(listing, _text_verdicts(contents))
     return found.select("name", "size", "format", "valid", "sample_count", F.array_join("errors", ",").alias("errors"))
 
 

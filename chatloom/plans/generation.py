@@ -104,15 +104,15 @@ def _echo():
 
 
 @query(f"""
-    SELECT item_id, {sql_strip(f"reverse({sql_segment(chr(39) + 'user' + chr(39), 'text')} || {SQL_GENERATION})")} AS reply,
+    SELECT doc_id, {sql_strip(f"reverse({sql_segment(chr(39) + 'user' + chr(39), 'text')} || {SQL_GENERATION})")} AS reply,
       length({sql_segment(chr(39) + 'user' + chr(39), 'text')} || {SQL_GENERATION}) AS new_tokens
-    FROM benchmark
+    FROM documents
 """)
 def generate_stub(spark, sf):
     """Batch generation with a model that gives its prompt back in reverse."""
-    items = table(spark, sf, "benchmark")
-    prompts = items.select("item_id", render.single_prompt(F.col("text")).alias("prompt"))
-    return generate.generate_batch(prompts, _echo).select("item_id", "reply", "new_tokens")
+    documents = table(spark, sf, "documents")
+    prompts = documents.select("doc_id", render.single_prompt(F.col("text")).alias("prompt"))
+    return generate.generate_batch(prompts, _echo).select("doc_id", "reply", "new_tokens")
 
 
 def _by_settings():

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import MESSAGES_TYPE
-from ..functions import escaped_preview, human_count, human_size
+from ..functions import escaped_preview, human_count, human_size, strip
+from ..functions.paths import directory, file_name, suffix
+from ..functions.text import clock
 from ..functions.jsontext import json_keys, parse_record
 from ..operators import catalog, records
 from ..operators.records import csv_messages, csv_plan, text_messages, to_messages
@@ -125,7 +127,7 @@ def csv_rows_to_messages(spark, sf):
     return pair(rows, "doc_id")
 
 
-def mixed_json(documents):
+def mixed_json(documents, *keep):
     """``doc_id, source, value``: records of every kind and broken ones."""
     k = F.col("doc_id") % 8
     body = F.to_json(F.struct(F.col("text").alias("t")))
@@ -144,7 +146,7 @@ def mixed_json(documents):
     for i, (head, tail) in enumerate(forms):
         form = F.concat(F.lit(head), inner, F.lit(tail))
         value = F.when(k == i, form) if value is None else value.when(k == i, form)
-    return documents.select("doc_id", "source", value.alias("value"))
+    return documents.select(*(keep or ("doc_id", "source")), value.alias("value"))
 
 
 @query("""
@@ -218,8 +220,6 @@ def paragraph_split(spark, sf):
     parts = table(spark, sf, "documents").select(
         "source", F.col("doc_id").alias("part"), F.explode(split_paragraphs(text)).alias("paragraph")
     )
-    from ..functions import strip
-
     return parts.withColumn("paragraph", strip(F.col("paragraph"))).where(F.col("paragraph") != "")
 
 
@@ -228,9 +228,7 @@ def paragraph_split(spark, sf):
 """)
 def strip_unicode(spark, sf):
     """Every kind of whitespace is removed from both ends."""
-    from ..functions import strip
-
-    padded = F.concat(F.lit("　\x1c "), "text", F.lit(" \t\xa0"))
+    padded = F.concat(F.lit("\u3000\x1c "), "text", F.lit(" \t\xa0"))
     return table(spark, sf, "documents").select("doc_id", strip(padded).alias("text"))
 
 
@@ -257,3 +255,22 @@ def size_labels(spark, sf):
 def text_preview(spark, sf):
     """First 200 characters on one line."""
     return table(spark, sf, "documents").select("doc_id", escaped_preview(F.col("text")).alias("preview"))
+
+
+@query("""
+    SELECT page_id, regexp_extract(url, '[^/]*$') AS name, left(url, length(url) - length(regexp_extract(url, '[^/]*$')) - 1) AS dir,
+      lower(regexp_extract(regexp_extract(url, '[^/]*$'), '^.+\\.([^.]+)$', 1)) AS suffix
+    FROM pages
+""")
+def path_parts(spark, sf):
+    """Name, folder and extension of paths."""
+    url = F.col("url")
+    return table(spark, sf, "pages").select(
+        "page_id", file_name(url).alias("name"), directory(url).alias("dir"), suffix(url).alias("suffix")
+    )
+
+
+@query("SELECT event_id, strftime(ts, '%H:%M:%S') AS clock FROM events")
+def event_clock(spark, sf):
+    """Time of day as log lines show it."""
+    return table(spark, sf, "events").select("event_id", clock(F.col("ts")).alias("clock"))

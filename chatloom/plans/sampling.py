@@ -39,12 +39,12 @@ def seeded_sample_large(spark, sf):
 
 
 @query("""
-    SELECT item_id, idx, idx + 1 AS number, (SELECT count(*) FROM benchmark) AS total
-    FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM benchmark)
+    SELECT doc_id, idx, idx + 1 AS number, (SELECT count(*) FROM documents) AS total
+    FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents)
 """)
 def prompt_index(spark, sf):
     """Number and total of every prompt, in the order of the prompts."""
-    return sampling.with_progress(table(spark, sf, "benchmark").select("item_id"), "item_id")
+    return sampling.with_progress(table(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS idx FROM documents")

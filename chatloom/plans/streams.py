@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import chat
+from ..operators.render import render_training_text
 from ..session import shared_path
 from ..streaming.chat import stream_chat
-from ..streaming.ingest import drain, drain_replies, stream_prompts as prompt_stream, stream_training_text
+from ..streaming.ingest import (
+    drain, drain_replies, stream_array_messages, stream_csv_messages, stream_prompts as prompt_stream,
+    stream_training_text,
+)
 from . import staging
-from .records import qa_json
+from .records import ALPACA_SQL, alpaca_json, qa_json
 from .registry import NL, SQL_GENERATION, query, sql_segment, sql_strip, table
 
 _QUESTION = sql_strip("CASE doc_id % 6 WHEN 4 THEN '0' ELSE text END")
@@ -25,6 +30,27 @@ def stream_ingest(spark, sf):
     return drain(stream, shared_path(spark, "stream-text")).select("text")
 
 
+@query(f"""
+    SELECT {sql_segment("'user'", sql_strip('text'))} || {sql_segment("'assistant'", 'lang')} AS text FROM documents
+""")
+def stream_csv(spark, sf):
+    """CSV files rendered as they arrive."""
+    documents = table(spark, sf, "documents")
+    path = staging.stage_csv(documents.selectExpr("lang as answer", "text as question"), "stream-csv")
+    samples = stream_csv_messages(spark, path, ["answer", "question"])
+    return drain(render_training_text(samples), shared_path(spark, "stream-csv-text")).select("text")
+
+
+@query(f"""
+    SELECT {sql_segment("'user'", "question")} || {sql_segment("'assistant'", "answer")} AS text FROM ({ALPACA_SQL})
+""")
+def stream_arrays(spark, sf):
+    """JSON array files rendered as they arrive."""
+    path = staging.stage_arrays(alpaca_json(table(spark, sf, "documents")), "stream-arrays")
+    samples = stream_array_messages(spark, path, "alpaca", on_bad="fail")
+    return drain(render_training_text(samples), shared_path(spark, "stream-arrays-text")).select("text")
+
+
 @query(f"""
     SELECT conv_id, {sql_segment("'assistant'", sql_strip(f"string_agg(text, {NL} ORDER BY turn)"))} AS text
     FROM conversations GROUP BY conv_id
@@ -32,8 +58,6 @@ def stream_ingest(spark, sf):
 def stream_text_files(spark, sf):
     """Whole text files rendered as they arrive."""
     turns = table(spark, sf, "conversations")
-    from ..operators import chat
-
     folded = chat.fold_messages(turns)
     texts = folded.select("conv_id", F.array_join(F.transform("messages", lambda m: m["content"]), "\n").alias("value"))
     path = staging.stage_text_files(texts, "conv_id", "stream-files")

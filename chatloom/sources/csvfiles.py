@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup
 from ..operators.records import csv_messages, csv_plan
 from ..session import cut_lineage
 from .files import (
@@ -13,15 +14,12 @@ from .files import (
     record_start, split_window, stitch,
 )
 
-# a header table this small is shipped to every task; larger ones are joined by shuffle
-BROADCAST_FILES = 100_000
-
 _QUOTING = {"quote": '"', "escape": '"'}
 
 
 def read_headers(spark: SparkSession, path, glob=None, recursive=False) -> DataFrame:
     """``path, header``: column names of each file, in order."""
-    lines = read_lines(spark, path, glob, recursive).where("block = 0")
+    lines = read_lines(spark, path, glob, recursive).where("block = 0 and value <> ''")
     first = cut_lineage(lines.groupBy("path").agg(F.min_by("value", "row").alias("line")))
     # as many columns as any header could have
     width = (first.agg(F.max(F.size(F.split("line", ",")))).first()[0]) or 1
@@ -89,10 +87,11 @@ def _with_quote_state(lines: DataFrame) -> DataFrame:
 def _large_rows(spark, path, glob, recursive, larger_than, width) -> DataFrame:
     """Rows of files beyond one split: a line starts a row unless a quoted cell is open."""
     lines = _with_quote_state(read_lines(spark, path, glob, recursive, larger_than=larger_than))
+    lines = lines.where((F.col("value") != "") | (F.col("open") == 1))
     first = (F.col("block") == 0) & (F.row_number().over(split_window()) == 1)
     lines = lines.withColumn("_header", first)
     rows = record_start(lines, F.col("open") == 0).where(~F.col("_header"))
-    rows = stitch(rows, "\n").where(F.col("value") != "")
+    rows = stitch(rows, "\n")
     parsed = rows.withColumn("_row", F.from_csv("value", _schema(width), {**_QUOTING, "multiLine": "true"}))
     return parsed.select("path", "pos", F.array(*[F.col(f"_row.c{i}") for i in range(width)]).alias("cells"))
 
@@ -102,8 +101,7 @@ def read_rows(
 ) -> DataFrame:
     """``path, pos, header, cells``: data rows with the header of their file."""
     headers = read_headers(spark, path, glob, recursive)
-    facts = headers.agg(F.count("*").alias("files"), F.max(F.size("header")).alias("width")).first()
-    width = facts["width"] or 1
+    width = headers.agg(F.max(F.size("header"))).first()[0] or 1
     reader = _reader(spark, glob, recursive).schema(_schema(width)).options(**_QUOTING)
     table = reader.csv(path, header=True, multiLine=True)
     table = table.where(F.col("_metadata.file_size") <= whole_file_bytes)
@@ -114,9 +112,7 @@ def read_rows(
     )
     if has_larger_files(spark, path, whole_file_bytes, glob, recursive):
         rows = rows.unionByName(_large_rows(spark, path, glob, recursive, whole_file_bytes, width))
-    if facts["files"] <= BROADCAST_FILES:
-        headers = F.broadcast(headers)
-    return rows.join(headers, "path").select("path", "pos", "header", "cells")
+    return lookup(rows, headers, "path").select("path", "pos", "header", "cells")
 
 
 def read_csv_messages(

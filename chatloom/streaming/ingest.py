@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.generate import generate_batch
-from ..operators.records import text_messages, to_messages
+from ..operators.records import csv_messages, csv_plan, text_messages, to_messages
 from ..operators.render import CHATML, ChatTemplate, render_training_text, single_prompt
 from ..session import prepare, shared_path
 from ..sources.textfiles import unix_lines
@@ -48,6 +48,38 @@ def stream_messages(
     return files.where(F.col("value") != "").select("path", text_messages(F.col("value")).alias("messages"))
 
 
+def stream_array_messages(
+    spark: SparkSession, path: str, fmt: str, glob: str | None = None, on_bad: str = "null",
+    files_per_batch: int | None = None,
+) -> DataFrame:
+    """``path, messages`` of arriving JSON array files; a task reads a whole file."""
+    reader = prepare(spark).readStream
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    files = reader.text(path, wholetext=True)
+    elements = files.select(
+        F.col("_metadata.file_path").alias("path"), F.explode(F.from_json("value", "array<string>")).alias("value")
+    )
+    return to_messages(elements, fmt, on_bad=on_bad)
+
+
+def stream_csv_messages(
+    spark: SparkSession, path: str, header: list[str], glob: str | None = None, files_per_batch: int | None = None
+) -> DataFrame:
+    """``path, messages`` of arriving CSV files that share a header."""
+    reader = prepare(spark).readStream.schema(", ".join(f"c{i} string" for i in range(len(header))))
+    reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    plan = csv_plan(F.array(*map(F.lit, header)))
+    cells = F.array(*[F.col(f"c{i}") for i in range(len(header))])
+    return reader.csv(path).select(F.col("_metadata.file_path").alias("path"), csv_messages(plan, cells).alias("messages"))
+
+
 def stream_training_text(spark, path, fmt, template: ChatTemplate = CHATML, **options) -> DataFrame:
     """``path, text``: rendered samples of arriving files."""
     return render_training_text(stream_messages(spark, path, fmt, **options), template)
