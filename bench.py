@@ -20,9 +20,10 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from chatloom.operators import catalog, chat, generate, render, sampling  # noqa: E402
 from chatloom.plans import QUERIES, staging  # noqa: E402
+from chatloom.plans.catalogs import model_configs, model_files  # noqa: E402
 from chatloom.plans.generation import _echo  # noqa: E402
 from chatloom.plans.records import alpaca_json, mixed_json, qa_json  # noqa: E402
-from chatloom.session import build_session  # noqa: E402
+from chatloom.session import build_session, shared_path  # noqa: E402
 from chatloom.sources import datasets  # noqa: E402
 from chatloom.sources.files import list_files  # noqa: E402
 
@@ -36,7 +37,7 @@ def workloads(spark):
     table = lambda name: spark.read.parquet(f"{SF_DIR}/{name}.parquet")
     turns, documents = table("conversations"), table("documents")
     size = lambda path: list_files(spark, path).agg(F.sum("length")).first()[0] / 1e6
-    n_turns, n_docs, n_lines = turns.count(), documents.count(), table("lineitem").count()
+    n_turns, n_docs = turns.count(), documents.count()
 
     qa = staging.stage_lines(qa_json(documents).select("value"), "bench-qa")
     alpaca = staging.stage_arrays(alpaca_json(documents), "bench-alpaca")
@@ -44,6 +45,14 @@ def workloads(spark):
     text = staging.stage_paragraphs(documents.select("text"), "bench-text")
     bad = staging.stage_lines(mixed_json(documents).select("value"), "bench-bad")
 
+    listing, configs = shared_path(spark, "bench-listing"), shared_path(spark, "bench-configs")
+    model_files(spark, SF_DIR).write.parquet(listing)
+    model_configs(spark, SF_DIR).write.parquet(configs)
+    n_files = spark.read.parquet(listing).count()
+
+    def models():
+        return catalog.model_catalog(spark.read.parquet(listing), spark.read.parquet(configs), "models")
+
     def quality():
         lines = datasets.read_json_records(spark, bad, "lines")
         return catalog.line_verdicts(lines)
@@ -65,7 +74,7 @@ def workloads(spark):
         "seeded_sample": (lambda: sampling.seeded_sample(table("documents"), "doc_id", 1000), n_docs, "rows/s"),
         "seeded_numbers": (lambda: sampling.seeded_numbers(table("documents"), "doc_id"), n_docs, "rows/s"),
         "batch_plan": (lambda: sampling.batch_plan(table("documents"), "doc_id"), n_docs, "rows/s"),
-        "model_catalog": (lambda: QUERIES["model_catalog"](spark, SF_DIR), n_lines, "rows/s"),
+        "model_catalog": (models, n_files, "rows/s"),
         "stub_generation": (replies, n_turns, "rows/s"),
     }
 

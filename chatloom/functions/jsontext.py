@@ -25,21 +25,21 @@ def parse_record(df: DataFrame, value: str = "value") -> DataFrame:
     """Add ``record`` (struct of known fields, null unless an object) and ``is_json``.
 
     The text is parsed inside an envelope, so anything left over after the value
-    makes the whole parse fail instead of being ignored.
+    makes the whole parse fail instead of being ignored. ``inline`` keeps the
+    parse in one place: filters on the result would otherwise repeat it.
     """
     raw = F.col(value)
     envelope = F.concat(F.lit('{"r":'), raw, F.lit(f',"e":"{_END}"}}'))
     listed = F.concat(F.lit("["), raw, F.lit(f',"{_END}"]'))
-    parsed = F.from_json(envelope, _ENVELOPE, _STRICT)
+    parsed = F.struct(
+        F.from_json(envelope, _ENVELOPE, _STRICT).alias("_parsed"), F.json_array_length(listed).alias("_listed")
+    )
+    whole = (F.col("_parsed.e") == _END) & (F.col("_listed") == 2)
     return (
-        df.withColumn("_parsed", parsed)
-        .withColumn(
-            "is_json",
-            F.coalesce(F.col("_parsed.e") == _END, F.lit(False))
-            & F.coalesce(F.json_array_length(listed) == 2, F.lit(False)),
-        )
+        df.select("*", F.inline(F.array(parsed)))
+        .withColumn("is_json", F.coalesce(whole, F.lit(False)))
         .withColumn("record", F.when(F.col("is_json"), F.col("_parsed.r")))
-        .drop("_parsed")
+        .drop("_parsed", "_listed")
     )
 
 

@@ -364,7 +364,7 @@ def validation_totals(spark, sf):
 
 
 @query(f"""
-    SELECT 'table' AS folder, count(*) AS sample_count, true AS all_valid FROM documents
+    SELECT 'table' AS folder, count(*) AS sample_count, true AS any_valid FROM documents
     UNION ALL SELECT 'texts', count(*), true FROM documents WHERE {sql_strip('text')} <> ''
     UNION ALL SELECT 'wrong', 0, false
 """)
@@ -380,5 +380,5 @@ def dataset_catalog_files(spark, sf):
     found = trees.scan_datasets(spark, root)
     folder = F.element_at(F.split("name", "/"), 1)
     return found.groupBy(folder.alias("folder")).agg(
-        F.sum("sample_count").alias("sample_count"), F.min("valid").alias("all_valid")
+        F.sum("sample_count").alias("sample_count"), F.max("valid").alias("any_valid")
     )

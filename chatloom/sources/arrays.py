@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .files import (
-    SPLIT, WHOLE_FILE_BYTES, attach_split_state, has_larger_files, position, read_lines,
-    read_whole, record_start, split_window, stitch,
+    SPLIT, WHOLE_FILE_BYTES, attach_split_state, has_larger_files, latest_mark, position, read_lines,
+    read_whole, split_window, stitch,
 )
 
 BAD_ITEM = -1
@@ -77,19 +77,19 @@ def _large_array_pieces(pieces: DataFrame) -> DataFrame:
     return pieces.select("path", "block", "row", "value", ((depth == 1) & real_brace).alias("ends"))
 
 
-def read_large_json_array(spark, path, glob, recursive, larger_than, typed, on_bad) -> DataFrame:
+def read_large_json_array(
+    spark: SparkSession, path, glob, recursive, larger_than: int, typed: bool = False, on_bad: str = "fail",
+    first_split: bool = False,
+) -> DataFrame:
+    """``path, pos, value`` of array files that are cut into splits.
+
+    Pieces end at every closing brace; a record is the pieces after the end of the one before.
+    With ``first_split`` only the elements that start in the first split of each file are read.
+    """
     pieces = read_lines(spark, path, glob, recursive, line_sep="}", larger_than=larger_than)
-    pieces = _large_array_pieces(pieces)
-    # a record starts right after the piece that ends the one before
-    ended = F.lag("ends").over(split_window())
-    first_of_split = F.row_number().over(split_window()) == 1
-    last_end = pieces.groupBy(*SPLIT).agg(F.max_by("ends", "row").alias("_last"))
-    file_order = W.partitionBy("path").orderBy("block")
-    last_end = last_end.select(*SPLIT, F.lag("_last").over(file_order).alias("previous_ended"))
-    pieces = pieces.withColumn("_ended", ended).withColumn("_first", first_of_split)
-    pieces = attach_split_state(pieces, last_end, "previous_ended")
-    starts = F.when(F.col("_first"), F.coalesce("previous_ended", F.lit(True))).otherwise(F.col("_ended"))
-    pieces = record_start(pieces, starts)
+    if first_split:
+        pieces = pieces.where("block = 0")
+    pieces = latest_mark(_large_array_pieces(pieces), F.col("ends"), upto_here=False)
     records = stitch(pieces, "}").withColumn("value", strip(F.col("value")))
     # between records stand a comma, the opening bracket and the closing one
     body = F.regexp_replace("value", r"^[\[,]", "")

@@ -11,7 +11,7 @@ from ..operators.records import csv_messages, csv_plan
 from ..session import cut_lineage
 from .files import (
     SPLIT, WHOLE_FILE_BYTES, _reader, attach_split_state, has_larger_files, position, read_lines,
-    record_start, split_window, stitch,
+    latest_mark, split_window, stitch,
 )
 
 _QUOTING = {"quote": '"', "escape": '"'}
@@ -90,7 +90,7 @@ def _large_rows(spark, path, glob, recursive, larger_than, width) -> DataFrame:
     lines = lines.where((F.col("value") != "") | (F.col("open") == 1))
     first = (F.col("block") == 0) & (F.row_number().over(split_window()) == 1)
     lines = lines.withColumn("_header", first)
-    rows = record_start(lines, F.col("open") == 0).where(~F.col("_header"))
+    rows = latest_mark(lines, F.col("open") == 0).where(~F.col("_header"))
     rows = stitch(rows, "\n")
     parsed = rows.withColumn("_row", F.from_csv("value", _schema(width), {**_QUOTING, "multiLine": "true"}))
     return parsed.select("path", "pos", F.array(*[F.col(f"_row.c{i}") for i in range(width)]).alias("cells"))
@@ -99,7 +99,7 @@ def _large_rows(spark, path, glob, recursive, larger_than, width) -> DataFrame:
 def read_rows(
     spark: SparkSession, path, glob=None, recursive=False, whole_file_bytes: int = WHOLE_FILE_BYTES
 ) -> DataFrame:
-    """``path, pos, header, cells``: data rows with the header of their file."""
+    """``path, pos, header, plan, cells``: data rows with the header and column plan of their file."""
     headers = read_headers(spark, path, glob, recursive)
     width = headers.agg(F.max(F.size("header"))).first()[0] or 1
     reader = _reader(spark, glob, recursive).schema(_schema(width)).options(**_QUOTING)
@@ -112,7 +112,9 @@ def read_rows(
     )
     if has_larger_files(spark, path, whole_file_bytes, glob, recursive):
         rows = rows.unionByName(_large_rows(spark, path, glob, recursive, whole_file_bytes, width))
-    return lookup(rows, headers, "path").select("path", "pos", "header", "cells")
+    # the column plan is worked out once per file
+    planned = headers.select("path", "header", csv_plan(F.col("header")).alias("plan"))
+    return lookup(rows, planned, "path").select("path", "pos", "header", "plan", "cells")
 
 
 def read_csv_messages(
@@ -120,4 +122,4 @@ def read_csv_messages(
 ) -> DataFrame:
     """``path, pos, messages``."""
     rows = read_rows(spark, path, glob, recursive, whole_file_bytes)
-    return rows.select("path", "pos", csv_messages(csv_plan(F.col("header")), F.col("cells")).alias("messages"))
+    return rows.select("path", "pos", csv_messages(F.col("plan"), F.col("cells")).alias("messages"))

@@ -90,7 +90,7 @@ def load_dataset(
     is_dir = _is_directory(spark, path)
     container, detected = ("lines", format)
     if format == "auto" or format in ("sharegpt", "alpaca", "jsonl"):
-        container, detected = detect_format(spark, path, whole_file_bytes)
+        container, detected = detect_format(spark, path)
     fmt = detected if format == "auto" else format
     glob = _directory_glob(spark, path, fmt) if is_dir and fmt != "text" else None
     if fmt == "csv":

@@ -125,31 +125,31 @@ def attach_split_state(rows: DataFrame, per_split: DataFrame, *columns: str) ->
     return joined.withColumn("row", check).drop("_has")
 
 
-def record_start(rows: DataFrame, starts: Column, name: str = "start") -> DataFrame:
-    """Place (block, row) of the latest row at or before this one for which ``starts`` holds.
+def latest_mark(rows: DataFrame, marked: Column, name: str = "mark", upto_here: bool = True) -> DataFrame:
+    """Place (block, row) of the latest marked row at or before this one, or before it only.
 
-    Rows before the first start get (-1, -1).
+    Rows before the first mark get (-1, -1). The place names the record a row belongs to.
     """
     here = F.struct(F.col("block").alias("block"), F.col("row").alias("row"))
-    rows = rows.withColumn("_start", F.when(starts, here))
-    last = rows.groupBy(*SPLIT).agg(F.max("_start").alias("_last"))
+    rows = rows.withColumn("_mark", F.when(marked, here))
+    last = rows.groupBy(*SPLIT).agg(F.max("_mark").alias("_last"))
     carried = F.max("_last").over(_file_window().rowsBetween(W.unboundedPreceding, -1))
     last = last.select(*SPLIT, carried.alias("_carried"))
-    inside = F.max("_start").over(split_window().rowsBetween(W.unboundedPreceding, 0))
+    inside = F.max("_mark").over(split_window().rowsBetween(W.unboundedPreceding, 0 if upto_here else -1))
     rows = rows.withColumn(name, inside)
     rows = attach_split_state(rows, last, "_carried")
     none = F.struct(F.lit(-1).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("row"))
-    return rows.withColumn(name, F.coalesce(name, "_carried", none)).drop("_start", "_carried")
+    return rows.withColumn(name, F.coalesce(name, "_carried", none)).drop("_mark", "_carried")
 
 
-def stitch(rows: DataFrame, separator: str, value: str = "value", start: str = "start") -> DataFrame:
+def stitch(rows: DataFrame, separator: str, value: str = "value", mark: str = "mark") -> DataFrame:
     """Join the rows of each record in file order: ``path, pos, value``."""
     piece = F.struct("block", "row", F.col(value).alias("v"))
     ordered = F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["v"])
     return (
-        rows.groupBy("path", start)
+        rows.groupBy("path", mark)
         .agg(F.array_join(ordered, separator).alias("value"))
-        .select("path", position(F.col(f"{start}.block"), F.col(f"{start}.row")).alias("pos"), "value")
+        .select("path", position(F.col(f"{mark}.block"), F.col(f"{mark}.row")).alias("pos"), "value")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.jsontext import has_any_keyset, json_keys, parse_record
 from ..functions.paths import directory, suffix
 from ..functions.text import strip
 from ..session import prepare
-from .arrays import read_json_array
+from .arrays import read_large_json_array
 from .files import (
     WHOLE_FILE_BYTES, has_larger_files, list_files, read_lines, read_whole,
 )
@@ -58,7 +60,9 @@ def first_json_records(
         F.when(is_array, F.get(elements, F.lit(0))).otherwise(_first_line(F.col("value"))).alias("value"),
     )
     if has_larger_files(spark, path, whole_file_bytes, glob, recursive):
-        elements = read_json_array(spark, path, glob, recursive, whole_file_bytes)
+        elements = read_large_json_array(
+            spark, path, glob, recursive, whole_file_bytes, on_bad="mark", first_split=True
+        )
         heads = elements.groupBy("path").agg(F.min_by("value", "pos").alias("element"))
         # a line of a large array may be the whole file: only its start is kept
         pieces = read_lines(spark, path, glob, recursive, line_sep="}", larger_than=whole_file_bytes)
@@ -106,7 +110,7 @@ def choose_files(listing: DataFrame) -> DataFrame:
     )
 
 
-def detect_format(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> tuple[str, str]:
+def detect_format(spark: SparkSession, path: str) -> tuple[str, str]:
     """(container, format) of a file, or of the deciding file of a directory.
 
     Reads no further than the first record.
@@ -123,16 +127,37 @@ def detect_format(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_
         return "lines", "csv"
     if kind == "txt":
         return "lines", "text"
-    head = read_lines(spark, target, line_sep="}").where("block = 0").select(
-        F.left(F.ltrim("value"), F.lit(1)).alias("head")
-    ).first()
-    if head is None:
+    first = _first_record(spark, target)
+    if first is None:
         return "lines", "text"
-    if head["head"] == "[":
-        first = read_json_array(spark, target, whole_file_bytes=whole_file_bytes)
-        first = first.select("path", F.lit("array").alias("container"), "value").limit(1)
-    else:
-        first = read_lines(spark, target).where("block = 0").limit(1)
-        first = first.select("path", F.lit("lines").alias("container"), strip(F.col("value")).alias("value"))
-    row = _classify(first).first()
-    return ("array", "sharegpt") if row is None else (row["container"], row["format"])
+    container, value = first
+    row = _classify(spark.createDataFrame([(target, container, value)], "path string, container string, value string")).first()
+    return row["container"], row["format"]
+
+
+def _first_record(spark: SparkSession, path: str) -> tuple[str, str | None] | None:
+    """(container, text) of a file's first record, reading only as far as its end.
+
+    ``take`` stops at the first rows of the first split; only as many pieces as the
+    first element of an array needs come to the driver.
+    """
+    pieces = read_lines(spark, path, line_sep="}").where("block = 0").select("value")
+    count = 16
+    while True:
+        head = [row["value"] for row in pieces.take(count)]
+        text = "}".join(head) + ("}" if len(head) == count else "")
+        if not head:
+            return None
+        if not text.split("\n", 1)[0].strip().startswith("["):
+            line = read_lines(spark, path).where("block = 0").select("value").first()["value"]
+            return "lines", line.strip()
+        body = text.lstrip()[1:].lstrip()
+        if body.startswith("]"):
+            return "array", None
+        try:
+            _, end = json.JSONDecoder().raw_decode(body)
+            return "array", body[:end]
+        except json.JSONDecodeError:
+            if len(head) < count:
+                raise ValueError(f"not a JSON array: {path}") from None
+            count *= 4

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .files import (
-    WHOLE_FILE_BYTES, has_larger_files, place, position, read_lines, read_whole, record_start, stitch,
+    WHOLE_FILE_BYTES, has_larger_files, place, position, read_lines, read_whole, latest_mark, stitch,
 )
 
 
@@ -35,7 +35,7 @@ def read_paragraphs(
     parts = parts.select("path", position(0, F.col("row")).alias("pos"), "value")
     if has_larger_files(spark, path, whole_file_bytes, glob, recursive):
         lines = read_lines(spark, path, glob, recursive, larger_than=whole_file_bytes)
-        runs = record_start(lines, F.col("value") == "").where(F.col("value") != "")
+        runs = latest_mark(lines, F.col("value") == "").where(F.col("value") != "")
         parts = parts.unionByName(stitch(runs, "\n"))
     return parts.withColumn("value", strip(F.col("value"))).where(F.col("value") != "")
 
