@@ -47,13 +47,27 @@ def _bucket_offsets(keys: DataFrame) -> DataFrame:
     return counts.select("_bucket", "_n", F.coalesce(earlier, F.lit(0)).alias("_before"))
 
 
-def seeded_sample(df: DataFrame, id_col: str, n: int | None, seed: int = SHUFFLE_SEED) -> DataFrame:
-    """First ``n`` rows of the seeded order; None, 0 and n beyond the data keep every row."""
+def seeded_sample(
+    df: DataFrame, id_col: str, n: int | None, seed: int = SHUFFLE_SEED, ordered: bool = True
+) -> DataFrame:
+    """First ``n`` rows of the seeded order; None, 0 and n beyond the data keep every row.
+
+    A large sample takes whole buckets as they are and numbers only the bucket that the
+    cut falls into, so without ``ordered`` next to nothing is shuffled.
+    """
     if not n:
-        return seeded_shuffle(df, id_col, seed)
+        return seeded_shuffle(df, id_col, seed) if ordered else df
     if n <= TOP_K_ROWS:
         return seeded_shuffle(df, id_col, seed).limit(n)
-    return _numbered_sample(df, id_col, n, seed).drop("_number")
+    key = seeded_key(seed, id_col)
+    offsets = _bucket_offsets(df.select(key.alias("_key"))).where(F.col("_before") < n)
+    offsets = offsets.withColumn("_whole", F.col("_before") + F.col("_n") <= n).drop("_n")
+    keyed = df.withColumn("_key", key).withColumn("_bucket", _bucket(F.col("_key")))
+    keyed = keyed.join(F.broadcast(offsets), "_bucket")
+    whole = keyed.where("_whole").drop("_whole", "_key", "_bucket", "_before")
+    cut = _number(keyed.where("not _whole").drop("_whole"), id_col, "_number").where(F.col("_number") < n)
+    sample = whole.unionByName(cut.drop("_number"))
+    return seeded_shuffle(sample, id_col, seed) if ordered else sample
 
 
 def _numbered_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:

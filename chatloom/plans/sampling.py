@@ -33,7 +33,7 @@ def seeded_sample(spark, sf):
        "ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 12000) o ON l.l_orderkey = o.o_orderkey")
 def seeded_sample_large(spark, sf):
     """Lines of 12000 sampled orders: a sample too large for a top-k is cut by bucket counts."""
-    orders = sampling.seeded_sample(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 12_000)
+    orders = sampling.seeded_sample(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 12_000, ordered=False)
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,8 +12,8 @@ from ..operators.joins import lookup
 from ..operators.records import csv_messages, csv_plan
 from ..session import cut_lineage
 from .files import (
-    SPLIT, WHOLE_FILE_BYTES, _reader, attach_split_state, has_larger_files, position, read_lines,
-    latest_mark, split_window, stitch,
+    SPLIT, WHOLE_FILE_BYTES, _reader, attach_split_state, has_larger_files, latest_mark, list_files, position,
+    read_lines, split_window, stitch,
 )
 
 _QUOTING = {"quote": '"', "escape": '"'}
@@ -96,12 +98,22 @@ def _large_rows(spark, path, glob, recursive, larger_than, width) -> DataFrame:
     return parsed.select("path", "pos", F.array(*[F.col(f"_row.c{i}") for i in range(width)]).alias("cells"))
 
 
+def _only_header(spark: SparkSession, path, glob, recursive) -> list[str] | None:
+    """Column names when there is a single file; reads no further than its first line."""
+    files = list_files(spark, path, glob, recursive).select("path").take(2)
+    if len(files) != 1:
+        return None
+    line = read_lines(spark, path, glob, recursive).where("block = 0 and value <> ''").select("value").first()
+    return next(csv.reader([line["value"]])) if line else None
+
+
 def read_rows(
     spark: SparkSession, path, glob=None, recursive=False, whole_file_bytes: int = WHOLE_FILE_BYTES
 ) -> DataFrame:
     """``path, pos, header, plan, cells``: data rows with the header and column plan of their file."""
-    headers = read_headers(spark, path, glob, recursive)
-    width = headers.agg(F.max(F.size("header"))).first()[0] or 1
+    only = _only_header(spark, path, glob, recursive)
+    headers = None if only else read_headers(spark, path, glob, recursive)
+    width = len(only) if only else headers.agg(F.max(F.size("header"))).first()[0] or 1
     reader = _reader(spark, glob, recursive).schema(_schema(width)).options(**_QUOTING)
     table = reader.csv(path, header=True, multiLine=True)
     table = table.where(F.col("_metadata.file_size") <= whole_file_bytes)
@@ -112,6 +124,9 @@ def read_rows(
     )
     if has_larger_files(spark, path, whole_file_bytes, glob, recursive):
         rows = rows.unionByName(_large_rows(spark, path, glob, recursive, whole_file_bytes, width))
+    if only:
+        header = F.array(*map(F.lit, only))
+        return rows.select("path", "pos", header.alias("header"), csv_plan(header).alias("plan"), "cells")
     # the column plan is worked out once per file
     planned = headers.select("path", "header", csv_plan(F.col("header")).alias("plan"))
     return lookup(rows, planned, "path").select("path", "pos", "header", "plan", "cells")

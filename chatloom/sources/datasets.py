@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import MESSAGES_TYPE, SHUFFLE_SEED
 from ..functions.text import strip
 from ..operators.records import text_messages, to_messages
-from ..operators.sampling import limit_samples, seeded_sample, seeded_shuffle
+from ..operators.sampling import limit_samples, seeded_sample
 from ..session import prepare
 from .arrays import read_json_array
 from .csvfiles import read_csv_messages
@@ -102,11 +102,5 @@ def load_dataset(
         records = read_json_records(spark, path, container, glob, whole_file_bytes=whole_file_bytes)
         samples = to_messages(records, fmt, on_bad=on_bad)
     if shuffle:
-        samples = sample_id(samples)
-        ordered = (
-            seeded_sample(samples, "sample_id", max_samples, seed)
-            if max_samples
-            else seeded_shuffle(samples, "sample_id", seed)
-        )
-        return ordered.drop("sample_id")
+        return seeded_sample(sample_id(samples), "sample_id", max_samples, seed).drop("sample_id")
     return limit_samples(samples, max_samples, "path", "pos")

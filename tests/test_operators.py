@@ -152,7 +152,9 @@ def test_large_sample_equals_top_k(spark, monkeypatch):
         monkeypatch.setattr(sampling, "BUCKET_DIGITS", digits)
         for n in (11, 1234, 4999, 5000, 9000):
             rows = [r["id"] for r in sampling.seeded_sample(ids, "id", n).collect()]
-            assert sorted(rows) == sorted(order[:n])
+            assert rows == order[:n]
+            loose = [r["id"] for r in sampling.seeded_sample(ids, "id", n, ordered=False).collect()]
+            assert sorted(loose) == sorted(rows)
         numbers = {r["id"]: r["number"] for r in sampling.seeded_numbers(ids, "id").collect()}
         assert [numbers[i] for i in order] == list(range(5000))
 
