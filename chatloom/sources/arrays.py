@@ -32,7 +32,7 @@ def _balance(text):
     return opened - closed
 
 
-def _large_array_pieces(pieces: DataFrame) -> DataFrame:
+def _large_array_pieces(pieces: DataFrame, skip_others: bool) -> DataFrame:
     """Mark, for pieces cut at every closing brace, where an element of the top array ends.
 
     Whether a piece starts inside a string is known only from what precedes it,
@@ -70,34 +70,45 @@ def _large_array_pieces(pieces: DataFrame) -> DataFrame:
     splits = splits.withColumn("state", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
     splits = splits.withColumn("d", F.when(F.col("state") == 0, F.col("d0")).otherwise(F.col("d1")))
     splits = splits.withColumn("base", F.coalesce(F.sum("d").over(earlier), F.lit(0)))
-    pieces = attach_split_state(pieces, splits, "state", "base", "is_array").where("is_array")
+    # the piece after the last brace counts a brace that is not there
+    splits = splits.withColumn("closed", F.sum("d").over(W.partitionBy("path")) == -1)
+    pieces = attach_split_state(pieces, splits, "state", "base", "is_array", "closed")
+    if skip_others:
+        pieces = pieces.where("is_array")
+    else:
+        pieces = pieces.withColumn("closed", F.col("closed") & F.col("is_array"))
 
     depth = F.col("base") + F.when(F.col("state") == 0, F.col("depth0")).otherwise(F.col("depth1"))
     real_brace = (F.col("odd_after") + F.col("state")) % 2 == 0
-    return pieces.select("path", "block", "row", "value", ((depth == 1) & real_brace).alias("ends"))
+    return pieces.select("path", "block", "row", "value", "closed", ((depth == 1) & real_brace).alias("ends"))
 
 
 def read_large_json_array(
     spark: SparkSession, path, glob, recursive, larger_than: int, typed: bool = False, on_bad: str = "fail",
-    first_split: bool = False,
+    first_split: bool = False, skip_others: bool = False,
 ) -> DataFrame:
     """``path, pos, value`` of array files that are cut into splits.
 
+    A file that does not parse fails the query or, with ``on_bad="mark"``, gives an element
+    with item number -1. Files that do not start as an array fail unless skipped or marked.
+
     Pieces end at every closing brace; a record is the pieces after the end of the one before.
     With ``first_split`` only the elements that start in the first split of each file are read.
     """
     pieces = read_lines(spark, path, glob, recursive, line_sep="}", larger_than=larger_than)
     if first_split:
         pieces = pieces.where("block = 0")
-    pieces = latest_mark(_large_array_pieces(pieces), F.col("ends"), upto_here=False)
-    records = stitch(pieces, "}").withColumn("value", strip(F.col("value")))
+    pieces = latest_mark(_large_array_pieces(pieces, skip_others), F.col("ends"), upto_here=False)
+    records = stitch(pieces, "}", F.max("ends").alias("_ended"), F.min("closed").alias("_closed"))
     # between records stand a comma, the opening bracket and the closing one
-    body = F.regexp_replace("value", r"^[\[,]", "")
-    tail = F.regexp_extract(body, r"(?s)^(.*)\]$", 1)
-    complete = F.concat(F.lit("["), body, F.lit("}]"))
-    closing = F.concat(F.lit("["), tail, F.lit("]"))
+    text = strip(F.col("value"))
+    body = F.regexp_replace(text, r"^[\[,]", "")
+    complete = F.when(text.rlike(r"^[\[,]"), F.concat(F.lit("["), body, F.lit("}]")))
     # only the text after the last record lacks its closing brace
-    chosen = F.coalesce(_items(complete, typed), _items(closing, typed))
+    rest = F.when(text.rlike(r"(?s)^(\[?\s*\]|[\[,]\s*[^\s\]].*\])$"), F.concat(F.lit("["), body))
+    chosen = _items(F.when(F.col("_ended"), complete).otherwise(rest), typed)
+    if not first_split:
+        chosen = F.when(F.col("_closed"), chosen)
     items = F.transform(chosen, lambda v, i: F.struct(i.alias("item"), v.alias("value")))
     if on_bad == "fail":
         failure = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("path")))
@@ -110,25 +121,31 @@ def read_large_json_array(
 
 
 def _small_arrays(files: DataFrame, typed: bool) -> DataFrame:
-    rows = files.select("path", F.posexplode(_items(F.col("value"), typed)).alias("item", "value"))
+    """Elements of files that are read whole; anything left over after the array fails."""
+    whole = F.json_array_length(F.concat(F.lit("["), F.col("value"), F.lit(",0]"))) == 2
+    items = F.when(whole, _items(F.col("value"), typed))
+    failure = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("path"))).cast("array<string>")
+    rows = files.select("path", F.posexplode(F.coalesce(items, failure)).alias("item", "value"))
     return rows.select("path", position(0, F.col("item")).alias("pos"), "value")
 
 
 def read_json_array(
     spark: SparkSession, path, glob=None, recursive=False, whole_file_bytes: int = WHOLE_FILE_BYTES,
-    typed: bool = False, on_bad: str = "fail",
+    typed: bool = False, skip_others: bool = False,
 ) -> DataFrame:
     """``path, pos, value``: JSON text of every element of array files.
 
     Strings lose their quotes unless ``typed``, which in turn does not keep the order of keys.
-    A large file that does not parse fails the query or, with ``on_bad="mark"``, gives an
-    element with item number -1; a small one gives no elements.
+    A file that does not parse fails the query, and so does one that does not start as an
+    array unless ``skip_others``.
     """
     files = read_whole(spark, path, glob, recursive, up_to=whole_file_bytes)
-    files = files.where(F.startswith(F.ltrim("value"), F.lit("[")))
+    if skip_others:
+        files = files.where(F.startswith(F.ltrim("value"), F.lit("[")))
     elements = _small_arrays(files, typed)
     if has_larger_files(spark, path, whole_file_bytes, glob, recursive):
-        elements = elements.unionByName(
-            read_large_json_array(spark, path, glob, recursive, whole_file_bytes, typed, on_bad)
+        large = read_large_json_array(
+            spark, path, glob, recursive, whole_file_bytes, typed, skip_others=skip_others
         )
+        elements = elements.unionByName(large)
     return elements

@@ -13,7 +13,7 @@ from ..session import prepare
 from .arrays import read_json_array
 from .csvfiles import read_csv_messages
 from .files import WHOLE_FILE_BYTES, list_files, place, read_lines, sample_id
-from .formats import detect_format
+from .formats import detect_container, detect_format
 from .textfiles import read_paragraphs, read_text_files
 
 
@@ -88,10 +88,7 @@ def load_dataset(
     """
     prepare(spark)
     is_dir = _is_directory(spark, path)
-    container, detected = ("lines", format)
-    if format == "auto" or format in ("sharegpt", "alpaca", "jsonl"):
-        container, detected = detect_format(spark, path)
-    fmt = detected if format == "auto" else format
+    container, fmt = detect_format(spark, path) if format == "auto" else (None, format)
     glob = _directory_glob(spark, path, fmt) if is_dir and fmt != "text" else None
     if fmt == "csv":
         samples = read_csv(spark, path, glob, whole_file_bytes=whole_file_bytes)
@@ -99,6 +96,7 @@ def load_dataset(
         options = {} if is_dir else {"whole_file_bytes": whole_file_bytes}
         samples = read_text(spark, path, directory=is_dir, **options)
     else:
+        container = container or detect_container(spark, path, glob)
         records = read_json_records(spark, path, container, glob, whole_file_bytes=whole_file_bytes)
         samples = to_messages(records, fmt, on_bad=on_bad)
     if shuffle:

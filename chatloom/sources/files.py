@@ -142,14 +142,15 @@ def latest_mark(rows: DataFrame, marked: Column, name: str = "mark", upto_here:
     return rows.withColumn(name, F.coalesce(name, "_carried", none)).drop("_mark", "_carried")
 
 
-def stitch(rows: DataFrame, separator: str, value: str = "value", mark: str = "mark") -> DataFrame:
-    """Join the rows of each record in file order: ``path, pos, value``."""
+def stitch(rows: DataFrame, separator: str, *more: Column, value: str = "value", mark: str = "mark") -> DataFrame:
+    """Join the rows of each record in file order: ``path, pos, value`` and further aggregates."""
     piece = F.struct("block", "row", F.col(value).alias("v"))
     ordered = F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["v"])
     return (
         rows.groupBy("path", mark)
-        .agg(F.array_join(ordered, separator).alias("value"))
-        .select("path", position(F.col(f"{mark}.block"), F.col(f"{mark}.row")).alias("pos"), "value")
+        .agg(F.array_join(ordered, separator).alias("value"), *more)
+        .withColumn("pos", position(F.col(f"{mark}.block"), F.col(f"{mark}.row")))
+        .drop(mark)
     )
 
 

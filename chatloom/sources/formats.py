@@ -61,7 +61,7 @@ def first_json_records(
     )
     if has_larger_files(spark, path, whole_file_bytes, glob, recursive):
         elements = read_large_json_array(
-            spark, path, glob, recursive, whole_file_bytes, on_bad="mark", first_split=True
+            spark, path, glob, recursive, whole_file_bytes, on_bad="mark", first_split=True, skip_others=True
         )
         heads = elements.groupBy("path").agg(F.min_by("value", "pos").alias("element"))
         # a line of a large array may be the whole file: only its start is kept
@@ -135,6 +135,12 @@ def detect_format(spark: SparkSession, path: str) -> tuple[str, str]:
     return row["container"], row["format"]
 
 
+def detect_container(spark: SparkSession, path, glob: str | None = None) -> str:
+    """Whether JSON files hold an array or lines, by the first character found."""
+    head = read_lines(spark, path, glob, line_sep="}").where("block = 0").select(F.left(F.ltrim("value"), F.lit(1))).first()
+    return "array" if head is not None and head[0] == "[" else "lines"
+
+
 def _first_record(spark: SparkSession, path: str) -> tuple[str, str | None] | None:
     """(container, text) of a file's first record, reading only as far as its end.
 

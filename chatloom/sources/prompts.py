@@ -39,7 +39,7 @@ def read_prompts_json(
     Strings are stripped and kept even when empty. The narrow form leaves them as they are
     and keeps an empty prompt for objects without a key.
     """
-    elements = read_json_array(spark, path, glob, typed=True)
+    elements = read_json_array(spark, path, glob, typed=True, skip_others=True)
     elements = elements.withColumn("is_string", F.startswith("value", F.lit('"')))
     string = F.try_parse_json(F.col("value")).try_cast("string")
     if narrow:

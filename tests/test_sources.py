@@ -205,7 +205,23 @@ def test_large_file_that_is_no_array(spark, write, splits):
     write("d/a.json", '{"a":1}\n' * 50)
     path = write("d/b.json", json.dumps([{"a": i} for i in range(50)]))
     folder = path.rsplit("/", 1)[0]
-    assert read_json_array(spark, folder, whole_file_bytes=0).count() == 50
+    assert read_json_array(spark, folder, whole_file_bytes=0, skip_others=True).count() == 50
+    for whole in (10**9, 0):
+        with pytest.raises(Exception, match="not a JSON array"):
+            read_json_array(spark, folder, whole_file_bytes=whole).collect()
+
+
+@pytest.mark.parametrize("tail", ["", '{"a":', "] junk", "]]", ", ]", '{"a":1}', ' {"a":1}]'])
+@pytest.mark.parametrize("whole", [10**9, 0])
+def test_broken_array_fails(spark, write, splits, tail, whole):
+    path = write("a.json", "[" + ",".join('{"question":"q"}' for _ in range(20)) + tail)
+    with pytest.raises(Exception, match="not a JSON array"):
+        read_json_array(spark, path, whole_file_bytes=whole).collect()
+
+
+def test_explicit_format_ignores_the_file_name(spark, write):
+    path = write("a.txt", '[{"messages":[{"role":"user","content":"x"}]}]')
+    assert turns(load(spark, path, format="sharegpt")) == [[("user", "x")]]
 
 
 # ---- detection ------------------------------------------------------------
