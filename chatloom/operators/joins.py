@@ -16,7 +16,7 @@ def lookup(
     left: DataFrame, right: DataFrame, key: str, limit: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Left join to a table with unique keys: broadcast after a row count, salted beyond the limit."""
-    if right.limit(limit + 1).count() <= limit:
+    if right.count() <= limit:
         return left.join(F.broadcast(right), key, "left")
     return salted_lookup(left, right, key, hot_rows)
 

@@ -12,7 +12,7 @@ from ..operators.joins import lookup
 from ..operators.records import csv_messages, csv_plan
 from ..session import cut_lineage
 from .files import (
-    SPLIT, WHOLE_FILE_BYTES, _reader, attach_split_state, has_larger_files, latest_mark, list_files, position,
+    SPLIT, WHOLE_FILE_BYTES, _reader, attach_split_state, file_path, has_larger_files, latest_mark, list_files, position,
     read_lines, split_window, stitch,
 )
 
@@ -118,7 +118,7 @@ def read_rows(
     table = reader.csv(path, header=True, multiLine=True)
     table = table.where(F.col("_metadata.file_size") <= whole_file_bytes)
     rows = table.select(
-        F.col("_metadata.file_path").alias("path"),
+        file_path().alias("path"),
         position(0, F.monotonically_increasing_id()).alias("pos"),
         _cells(width).alias("cells"),
     )

@@ -28,10 +28,21 @@ def _reader(spark: SparkSession, glob: str | None, recursive: bool):
     return reader
 
 
+def readable(uri: Column) -> Column:
+    """A file URI as a path: names with blanks and other marks come percent-encoded."""
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.when(F.contains(uri, F.lit("%")), decoded).otherwise(uri)
+
+
+def file_path() -> Column:
+    """Path of the file a row was read from."""
+    return readable(F.col("_metadata.file_path"))
+
+
 def list_files(spark: SparkSession, path, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """``path, length`` of every file. File contents are not read."""
     files = _reader(spark, glob, recursive).format("binaryFile").load(path)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"))
+    return files.select(file_path().alias("path"), F.col("_metadata.file_size").alias("length"))
 
 
 def list_all_files(spark: SparkSession, path, glob: str | None = None, recursive: bool = True) -> DataFrame:
@@ -42,7 +53,7 @@ def list_all_files(spark: SparkSession, path, glob: str | None = None, recursive
     listed = list_files(spark, path, glob, recursive)
     names = spark.createDataFrame([(n,) for n in listed.inputFiles()], "path string")
     # the index and the scan may spell the scheme differently
-    names = names.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    names = names.withColumn("path", F.regexp_replace(readable(F.col("path")), "^file:/+", "file:/"))
     empty = names.join(listed, "path", "left_anti").withColumn("length", F.lit(0).cast("bigint"))
     return listed.unionByName(empty)
 
@@ -73,7 +84,7 @@ def read_lines(
     if up_to is not None:
         lines = lines.where(F.col("_metadata.file_size") <= up_to)
     return lines.select(
-        F.col("_metadata.file_path").alias("path"),
+        file_path().alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
         "value",
@@ -85,7 +96,7 @@ def read_whole(spark, path, glob=None, recursive=False, up_to: int | None = None
     files = _reader(spark, glob, recursive).text(path, wholetext=True)
     if up_to is not None:
         files = files.where(F.col("_metadata.file_size") <= up_to)
-    return files.select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.select(file_path().alias("path"), "value")
 
 
 def position(block, row, item=None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ADAPTER_CONFIG, MODEL_CONFIG
 from ..functions.jsontext import parse_record
-from ..functions.paths import directory, relative_name
+from ..functions.paths import directory, relative_name, suffix
 from ..functions.text import strip
 from ..operators import catalog as c
 from .arrays import read_large_json_array
@@ -33,21 +33,19 @@ def scan_datasets(spark: SparkSession, root: str, whole_file_bytes: int = WHOLE_
     def kept(df: DataFrame) -> DataFrame:
         return df.where(c.is_dataset_file(relative_name(F.col("path"), root)))
 
-    def present(extension: str) -> bool:
-        return not list_files(spark, root, _glob(extension)).isEmpty()
-
+    kinds = {row["kind"] for row in listing.select(suffix(F.col("path")).alias("kind")).distinct().collect()}
     verdicts = []
-    if present("jsonl"):
+    if "jsonl" in kinds:
         lines = kept(place(read_lines(spark, root, _glob("jsonl"), True)))
         lines = lines.withColumn("value", strip(F.col("value"))).where(F.col("value") != "")
         verdicts.append(c.line_verdicts(lines))
-    if present("json"):
+    if "json" in kinds:
         verdicts.append(c.array_verdicts(kept(json_file_facts(spark, root, _glob("json"), whole_file_bytes))))
-    if present("csv"):
+    if "csv" in kinds:
         headers = kept(read_headers(spark, root, _glob("csv"), True))
         rows = kept(read_rows(spark, root, _glob("csv"), True, whole_file_bytes))
         verdicts.append(c.csv_verdicts(headers, rows))
-    if present("txt"):
+    if "txt" in kinds:
         paragraphs = kept(read_paragraphs(spark, root, _glob("txt"), True, whole_file_bytes))
         previews = kept(text_previews(spark, root, _glob("txt"), whole_file_bytes))
         verdicts.append(c.text_verdicts(paragraphs, previews))

@@ -12,6 +12,7 @@ from ..operators.generate import generate_batch
 from ..operators.records import csv_messages, csv_plan, text_messages, to_messages
 from ..operators.render import CHATML, ChatTemplate, render_training_text, single_prompt
 from ..session import prepare, shared_path
+from ..sources.files import file_path
 from ..sources.textfiles import unix_lines
 from ..sources.prompts import prompts_from_records
 
@@ -25,7 +26,7 @@ def stream_lines(
         reader = reader.option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    lines = reader.text(path).select(F.col("_metadata.file_path").alias("path"), strip(F.col("value")).alias("value"))
+    lines = reader.text(path).select(file_path().alias("path"), strip(F.col("value")).alias("value"))
     return lines.where(F.col("value") != "")
 
 
@@ -44,7 +45,7 @@ def stream_messages(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     files = reader.option("pathGlobFilter", glob or "*.txt").text(path, wholetext=True)
     text = strip(unix_lines(F.col("value")))
-    files = files.select(F.col("_metadata.file_path").alias("path"), text.alias("value"))
+    files = files.select(file_path().alias("path"), text.alias("value"))
     return files.where(F.col("value") != "").select("path", text_messages(F.col("value")).alias("messages"))
 
 
@@ -60,7 +61,7 @@ def stream_array_messages(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     files = reader.text(path, wholetext=True)
     elements = files.select(
-        F.col("_metadata.file_path").alias("path"), F.explode(F.from_json("value", "array<string>")).alias("value")
+        file_path().alias("path"), F.explode(F.from_json("value", "array<string>")).alias("value")
     )
     return to_messages(elements, fmt, on_bad=on_bad)
 
@@ -77,7 +78,7 @@ def stream_csv_messages(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     plan = csv_plan(F.array(*map(F.lit, header)))
     cells = F.array(*[F.col(f"c{i}") for i in range(len(header))])
-    return reader.csv(path).select(F.col("_metadata.file_path").alias("path"), csv_messages(plan, cells).alias("messages"))
+    return reader.csv(path).select(file_path().alias("path"), csv_messages(plan, cells).alias("messages"))
 
 
 def stream_training_text(spark, path, fmt, template: ChatTemplate = CHATML, **options) -> DataFrame:

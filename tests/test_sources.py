@@ -362,3 +362,12 @@ def test_csv_stray_quotes_in_splits(spark, write, splits):
     assert len(whole) == 15 * len(rows)
     assert whole[:4] == [('5" pipe', "a"), ('x "y" ,\n"z', "b"), ("n", "t\n\nu"), ('p"q', "r")]
     assert pairs(load(spark, path, whole_file_bytes=0)) == whole
+
+
+def test_names_with_marks(spark, write):
+    path = write("d e/a b+c%41.jsonl", '{"question":"q"}\n')
+    assert detect_format(spark, path.rsplit("/", 1)[0]) == ("lines", "jsonl")
+    rows = load(spark, path.rsplit("/", 1)[0]).collect()
+    assert [r["path"].removeprefix("file:") for r in rows] == [path]
+    table = write("f g/t u.csv", "question,answer\nq,a\n")
+    assert pairs(load(spark, table)) == [("q", "a")]
