@@ -204,11 +204,15 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BATCH
     bits = min(64, max(32, size.bit_length() + 8))  # a word takes two bytes at least
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
 
+    def ordered(table):
+        # bits speak of places, so every pass must have a batch's rows in the same order, however they arrived
+        return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+
     def batch_of(table) -> Batch:
-        return Batch(table.column("doc_id").to_pylist(), texts_of(table.combine_chunks()), window)
+        return Batch(table.column("doc_id").to_pylist(), texts_of(table), window)
 
     def probe(table):
-        values, grid, several, _, _ = batch_of(table).blocks(bits)
+        values, grid, several, _, _ = batch_of(ordered(table)).blocks(bits)
         cuts, number = _cuts(values, bits, buckets), table.column("batch")[0].as_py()
         rows = [(i, number, b - a, _pack_sorted(values[a:b]), _bits(grid[a:b]), _bits(several[a:b]))
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
@@ -229,7 +233,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BATCH
     def extend(table, answer):
         if not table.num_rows:
             return _table([], SENT)
-        batch, number = batch_of(table), table.column("batch")[0].as_py()
+        batch, number = batch_of(ordered(table)), table.column("batch")[0].as_py()
         _, _, _, at, inverse = batch.blocks(bits)
         at = batch.candidates(at[_joined(answer)[inverse]])
         one, two, least, _ = batch.windows(at)
@@ -262,7 +266,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BATCH
 
         if not table.num_rows:
             return pa.table({name: pa.array([], kind) for name, kind in zip([f[0] for f in fields], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()], strict=False)})
-        table = table.combine_chunks()
+        table = ordered(table)
         batch, texts = batch_of(table), texts_of(table)
         own = [(n, bits) for bucket, n, bits in _of_rows(answer, "bucket", "n", "bits") if bucket < 0]
         gone = np.zeros(batch.words.size, bool)
