@@ -195,7 +195,7 @@ def _exchange(bins, fill, lengths, room, source, others) -> bool:
     sizes, left = lengths[items], room - fill[holder]
     best = (0, None)
     for x in own:  # move: into the fullest bin with room
-        fits = np.flatnonzero(space >= lengths[x])
+        fits = np.flatnonzero((space >= lengths[x]) & (fill[others] + lengths[x] > fill[source]))
         if fits.size:
             best = (int(lengths[x]), ([x], [], int(others[fits[np.argmin(space[fits])]])))
             break

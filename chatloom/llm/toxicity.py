@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import schema, split_hash, staged, texts_of
 
-SAMPLE, CLASS_ROWS, SHARED_ROWS = 6_000, 1 << 19, 1 << 18
+SAMPLE, CLASS_ROWS, SHARED_ROWS = 6_000, 1 << 18, 1 << 17
 ORDER, CLASS_FROM, DISCOUNT = 7, 5, 0.75
 STRETCH, FOLDS = 32, 5
 TEXT_AT_ONCE = 8 << 20
