@@ -51,7 +51,7 @@ def workloads(spark):
     n_files = spark.read.parquet(listing).count()
 
     def models():
-        return catalog.model_catalog(spark.read.parquet(listing), spark.read.parquet(configs), "models")
+        return catalog.model_catalog(spark.read.parquet(listing), spark.read.parquet(configs), "models", list_all=False)
 
     def quality():
         lines = datasets.read_json_records(spark, bad, "lines")

@@ -131,12 +131,12 @@ def model_config_fields(configs: DataFrame) -> DataFrame:
 
 
 def model_catalog(
-    files: DataFrame, configs: DataFrame, base: str, max_depth: int = 3, list_all: bool = False
+    files: DataFrame, configs: DataFrame, base: str, max_depth: int = 3, list_all: bool = True
 ) -> DataFrame:
     """Verdict per directory that holds files, down to ``max_depth`` + 1 levels below the base.
 
     The base itself counts only when it has a configuration file. Each directory
-    shows its first file names; ``list_all`` gives the whole list.
+    lists all its file names; without ``list_all`` only the first ones.
     """
     files = with_directory(files)
     root = base.rstrip("/")

@@ -40,7 +40,8 @@ def fold_text(
 ) -> DataFrame:
     """``conv, n_messages, n_dropped, text``: training text of every conversation."""
     if fits_one_block(df, turn, block_turns):
-        return _joined_segments(_segments(df, conv, turn, role, text, template), conv)
+        whole = _joined_segments(_segments(df, conv, turn, role, text, template), conv)
+        return whole.withColumn("text", F.concat(F.lit(template.start), "text")) if template.start else whole
     parts = fold_text_parts(df, conv, turn, role, text, template, block_turns)
     whole = F.array_join(F.transform(_in_order("part", "text"), lambda p: p["text"]), "")
     return parts.groupBy(conv).agg(
@@ -58,7 +59,15 @@ def fold_text_parts(
     conversation may outgrow one cell.
     """
     turns = _segments(df, conv, turn, role, text, template)
-    return _joined_segments(turns.withColumn("part", _block("_turn", block_turns)), conv, "part")
+    parts = _joined_segments(turns.withColumn("part", _block("_turn", block_turns)), conv, "part")
+    if not template.start:
+        return parts
+    # the template's start opens the first part of every conversation
+    first = turns.groupBy(conv).agg(F.min("_turn").alias("_least"))
+    first = first.select(F.col(conv).alias("_conv"), _block("_least", block_turns).alias("_first"))
+    joined = parts.join(first, F.col(conv).eqNullSafe(F.col("_conv")))
+    opened = F.when(F.col("part").eqNullSafe(F.col("_first")), F.concat(F.lit(template.start), "text")).otherwise(F.col("text"))
+    return joined.withColumn("text", opened).select(*parts.columns)
 
 
 def _segments(df, conv, turn, role, text, template) -> DataFrame:
@@ -108,7 +117,7 @@ def turn_prompts(
     one long conversation are spread over its blocks.
     """
     turns = df.select(
-        conv, F.col(turn).alias("turn"), F.col(role).alias("_role"),
+        conv, F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit(template.default_role)).alias("_role"),
         _block(turn, block_turns).alias("_block"),
         segment(F.col(role), F.col(text), template).alias("_text"),
     )
@@ -122,7 +131,7 @@ def turn_prompts(
     recent = F.array_join(F.collect_list("_text").over(running), "")
     prompts = turns.withColumn("_recent", recent).where(F.col("_role") == "user").drop("_text", "_role")
     if short:
-        return prompts.select(conv, "turn", F.concat("_recent", F.lit(template.generation)).alias("prompt"))
+        return prompts.select(conv, "turn", F.concat(F.lit(template.start), "_recent", F.lit(template.generation)).alias("prompt"))
 
     ordered = F.array_join(F.transform(_in_order("turn", "_text"), lambda t: t["_text"]), "")
     blocks = turns.groupBy(conv, "_block").agg(ordered.alias("_text"))
@@ -135,7 +144,7 @@ def turn_prompts(
         ).alias("_earlier"),
     )
     joined = prompts.join(earlier, [conv, "_block"], "left")
-    whole = F.concat(F.coalesce("_earlier", F.lit("")), "_recent", F.lit(template.generation))
+    whole = F.concat(F.lit(template.start), F.coalesce("_earlier", F.lit("")), "_recent", F.lit(template.generation))
     return joined.select(conv, "turn", whole.alias("prompt"))
 
 
@@ -150,7 +159,7 @@ def prompt_spans(
     linear-size form of ``turn_prompts``.
     """
     turns = df.select(
-        conv, F.col(turn).alias("turn"), F.col(role).alias("_role"),
+        conv, F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit(template.default_role)).alias("_role"),
         _block(turn, block_turns).alias("_block"),
         F.char_length(segment(F.col(role), F.col(text), template)).cast("bigint").alias("_chars"),
     )
@@ -164,7 +173,7 @@ def prompt_spans(
         F.coalesce(F.sum("_bsum").over(before), F.lit(0)).alias("_sum0"),
     )
     joined = counted.where(F.col("_role") == "user").join(blocks, [conv, "_block"])
-    history = F.col("_sum") + F.col("_sum0")
+    history = F.col("_sum") + F.col("_sum0") + len(template.start)
     return joined.select(
         conv, "turn", (F.col("_n") + F.col("_n0")).alias("n_messages"), history.alias("history_chars"),
         (history + len(template.generation)).alias("prompt_chars"),

@@ -71,7 +71,7 @@ def _flat(df):
 @query(_MODEL_SQL)
 def model_catalog(spark, sf):
     """Verdict of every model folder."""
-    return _flat(catalog.model_catalog(model_files(spark, sf), model_configs(spark, sf), "models"))
+    return _flat(catalog.model_catalog(model_files(spark, sf), model_configs(spark, sf), "models", list_all=False))
 
 
 @query(_MODEL_SQL)
@@ -85,7 +85,7 @@ def model_catalog_all_files(spark, sf):
 """)
 def model_status(spark, sf):
     """Folders by status label."""
-    found = catalog.model_catalog(model_files(spark, sf), model_configs(spark, sf), "models")
+    found = catalog.model_catalog(model_files(spark, sf), model_configs(spark, sf), "models", list_all=False)
     return found.groupBy(catalog.status(F.col("valid")).alias("status")).agg(F.count("*").alias("folders"))
 
 
@@ -97,14 +97,14 @@ def model_status(spark, sf):
 """)
 def model_report(spark, sf):
     """Report rows of the model folders, in the order of their names."""
-    found = catalog.model_catalog(model_files(spark, sf), model_configs(spark, sf), "models")
+    found = catalog.model_catalog(model_files(spark, sf), model_configs(spark, sf), "models", list_all=False)
     return catalog.report_rows(found).select("name", "status", "files", "errors")
 
 
 @query(_MODEL_FACTS + "SELECT 'models/' || k AS path FROM m WHERE c AND w > 0 AND t")
 def valid_models(spark, sf):
     """Usable model folders."""
-    found = catalog.model_catalog(model_files(spark, sf), model_configs(spark, sf), "models")
+    found = catalog.model_catalog(model_files(spark, sf), model_configs(spark, sf), "models", list_all=False)
     return catalog.valid_only(found).select("path")
 
 
@@ -359,7 +359,7 @@ def validation_totals(spark, sf):
     lines = mixed_json(table(spark, sf, "documents")).select(
         F.concat("source", F.lit(".jsonl")).alias("path"), F.col("doc_id").alias("pos"), "value"
     )
-    models = catalog.model_catalog(model_files(spark, sf), model_configs(spark, sf), "models")
+    models = catalog.model_catalog(model_files(spark, sf), model_configs(spark, sf), "models", list_all=False)
     return catalog.validation_totals(models=models, datasets=catalog.line_verdicts(lines))
 
 

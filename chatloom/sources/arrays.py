@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..constants import JSON_SPACE
 from ..functions.text import strip
 from .files import (
     SPLIT, WHOLE_FILE_BYTES, attach_split_state, has_larger_files, latest_mark, position, read_lines,
@@ -141,7 +142,7 @@ def read_json_array(
     """
     files = read_whole(spark, path, glob, recursive, up_to=whole_file_bytes)
     if skip_others:
-        files = files.where(F.startswith(F.ltrim("value"), F.lit("[")))
+        files = files.where(F.startswith(F.ltrim("value", F.lit(JSON_SPACE)), F.lit("[")))
     elements = _small_arrays(files, typed)
     if has_larger_files(spark, path, whole_file_bytes, glob, recursive):
         large = read_large_json_array(

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import FORMAT_EXAMPLES, QA_KEY_SETS
+from ..constants import FORMAT_EXAMPLES, JSON_SPACE, QA_KEY_SETS
 from ..functions.jsontext import has_any_keyset, json_keys, parse_record
 from ..functions.paths import directory, suffix
 from ..functions.text import strip
@@ -67,7 +67,7 @@ def first_json_records(
         # a line of a large array may be the whole file: only its start is kept
         pieces = read_lines(spark, path, glob, recursive, line_sep="}", larger_than=whole_file_bytes)
         kinds = pieces.where("block = 0").groupBy("path").agg(
-            F.min_by(F.left(F.ltrim("value"), F.lit(1)), "row").alias("head")
+            F.min_by(F.left(F.ltrim("value", F.lit(JSON_SPACE)), F.lit(1)), "row").alias("head")
         )
         lines = read_lines(spark, path, glob, recursive, larger_than=whole_file_bytes).where("block = 0")
         lines = lines.groupBy("path").agg(F.min_by(F.when(~F.startswith("value", F.lit("[")), strip(F.col("value"))), "row").alias("line"))
@@ -137,7 +137,7 @@ def detect_format(spark: SparkSession, path: str) -> tuple[str, str]:
 
 def detect_container(spark: SparkSession, path, glob: str | None = None) -> str:
     """Whether JSON files hold an array or lines, by the first character found."""
-    head = read_lines(spark, path, glob, line_sep="}").where("block = 0").select(F.left(F.ltrim("value"), F.lit(1))).first()
+    head = read_lines(spark, path, glob, line_sep="}").where("block = 0").select(F.left(F.ltrim("value", F.lit(JSON_SPACE)), F.lit(1))).first()
     return "array" if head is not None and head[0] == "[" else "lines"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import QUESTION_KEYS
+from ..constants import JSON_SPACE, QUESTION_KEYS
 from ..functions.jsontext import first_truthy, json_keys, parse_record
 from ..functions.text import strip
 from .arrays import read_json_array
@@ -52,7 +52,7 @@ def read_prompts_json(
     listed = listed.where(F.col("prompt").isNotNull())
     if narrow:
         return listed
-    files = read_whole(spark, path, glob).where(F.startswith(F.ltrim("value"), F.lit("{")))
+    files = read_whole(spark, path, glob).where(F.startswith(F.ltrim("value", F.lit(JSON_SPACE)), F.lit("{")))
     by_key = files.select("path", F.posexplode(json_keys(F.col("value"))).alias("row", "prompt"))
     return listed.unionByName(by_key.select("path", position(0, F.col("row")).alias("pos"), "prompt"))
 

@@ -50,7 +50,8 @@ def scan_datasets(spark: SparkSession, root: str, whole_file_bytes: int = WHOLE_
         previews = kept(text_previews(spark, root, _glob("txt"), whole_file_bytes))
         verdicts.append(c.text_verdicts(paragraphs, previews))
     if not verdicts:
-        raise ValueError(f"no dataset files below {root}")
+        none = spark.createDataFrame([], "path string, pos bigint, value string")
+        verdicts.append(c.line_verdicts(none))  # an empty folder has an empty catalogue
     return c.dataset_catalog(listing, *verdicts)
 
 
@@ -109,7 +110,7 @@ def _config_texts(spark: SparkSession, root: str, name: str) -> DataFrame:
     return texts.select(directory(F.col("path")).alias("dir"), "value")
 
 
-def scan_models(spark: SparkSession, root: str, max_depth: int = 3, list_all: bool = False) -> DataFrame:
+def scan_models(spark: SparkSession, root: str, max_depth: int = 3, list_all: bool = True) -> DataFrame:
     """Catalogue of the model folders below a folder."""
     configs = _config_texts(spark, root, MODEL_CONFIG)
     return c.model_catalog(list_all_files(spark, root), configs, root, max_depth, list_all)

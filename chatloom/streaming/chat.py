@@ -38,7 +38,7 @@ def stream_chat(events: DataFrame, template: ChatTemplate = CHATML) -> DataFrame
         out, parts, bound = [], [body], last
         columns = ["conv_id", "turn", "prompt", "late"]
         for turn, role, text in zip(events["turn"], events["role"], events["text"]):
-            turn = int(turn)
+            turn, role = int(turn), template.default_role if pd.isna(role) else role
             if bound is not None and turn <= bound:
                 out.append((key[0], turn, None, True))
                 continue
@@ -53,7 +53,7 @@ def stream_chat(events: DataFrame, template: ChatTemplate = CHATML) -> DataFrame
                     # earlier turns are joined once, not again for every prompt
                     parts = ["".join(parts)]
                     head = shown("system", system) if system is not None else ""
-                    out.append((key[0], turn, head + parts[0] + generation, False))
+                    out.append((key[0], turn, template.start + head + parts[0] + generation, False))
             if len(out) >= OUTPUT_ROWS:
                 yield pd.DataFrame(out, columns=columns)
                 out = []

@@ -60,9 +60,9 @@ def stream_array_messages(
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     files = reader.text(path, wholetext=True)
-    elements = files.select(
-        file_path().alias("path"), F.explode(F.from_json("value", "array<string>")).alias("value")
-    )
+    # a file that holds no array is one bad record, which to_messages fails or keeps as a row by on_bad
+    items = F.coalesce(F.from_json("value", "array<string>"), F.array(F.lit("not a JSON array")))
+    elements = files.select(file_path().alias("path"), F.explode(items).alias("value"))
     return to_messages(elements, fmt, on_bad=on_bad)
 
 

@@ -217,3 +217,35 @@ def test_model_is_loaded_once_per_task(spark, tmp_path):
     assert {r["id"]: r["reply"] for r in rows} == {i: f"P{i}" for i in range(100)}
     assert all(r["elapsed"] >= 0 for r in rows)
     assert len(list(tmp_path.iterdir())) == 4
+
+
+def test_start_of_template_and_null_roles(spark):
+    from chatloom.operators import chat
+    from chatloom.operators.render import ChatTemplate
+
+    template = ChatTemplate({"user": ("[", "]"), "assistant": ("", "|")}, generation=">", start="<s>")
+    turns = [("c", 0, None, "hi"), ("c", 1, "assistant", "yo"), ("c", 2, "user", "ok"), ("d", 5, "user", "x")]
+    df = spark.createDataFrame(turns, "conv_id string, turn long, role string, text string")
+    for size in (1, 256):
+        folded = {r.conv_id: r.text for r in chat.fold_text(df, template=template, block_turns=size).collect()}
+        assert folded == {"c": "<s>[hi]yo|[ok]", "d": "<s>[x]"}
+        prompts = {(r.conv_id, r.turn): r.prompt for r in chat.turn_prompts(df, template=template, block_turns=size).collect()}
+        assert prompts == {("c", 0): "<s>[hi]>", ("c", 2): "<s>[hi]yo|[ok]>", ("d", 5): "<s>[x]>"}
+        spans = {(r.conv_id, r.turn): r.prompt_chars for r in chat.prompt_spans(df, template=template, block_turns=size).collect()}
+        assert spans == {k: len(v) for k, v in prompts.items()}
+
+
+def test_prompt_file_with_leading_line_feed(spark, write):
+    from chatloom.sources.prompts import read_prompts
+
+    assert [r.prompt for r in read_prompts(spark, write("a.json", '\n\t["one", "two"]')).orderBy("pos").collect()] == ["one", "two"]
+    assert [r.prompt for r in read_prompts(spark, write("b.json", '\n {"k1": 1}')).collect()] == ["k1"]
+
+
+def test_empty_folder_has_an_empty_catalogue(spark, write):
+    import os
+
+    from chatloom.sources.trees import scan_datasets
+
+    folder = os.path.dirname(write("notes.bin", "x"))
+    assert scan_datasets(spark, folder).count() == 0

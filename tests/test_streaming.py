@@ -83,3 +83,18 @@ def test_batch_and_stream_share_the_projection(spark, write):
     lines = spark.read.text(path).where(F.col("value") != "")
     batch = render_training_text(to_messages(lines, "alpaca"))
     assert sorted(r["text"] for r in streamed.collect()) == sorted(r["text"] for r in batch.collect())
+
+
+def test_array_files_that_do_not_parse_give_a_row(spark, write, tmp_path):
+    import os
+
+    from chatloom.streaming.ingest import stream_array_messages
+
+    folder = os.path.dirname(write("in/a.json", '[{"instruction": "a", "output": "b"}]'))
+    write("in/b.json", "[broken")
+    write("in/c.json", '{"instruction": "a", "output": "b"}')
+    frame = stream_array_messages(spark, folder, "alpaca")
+    query = frame.writeStream.format("memory").queryName("bad_arrays").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.table("bad_arrays").collect()
+    assert len(rows) == 3 and sum(r.messages is None for r in rows) == 2
