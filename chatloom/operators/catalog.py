@@ -20,7 +20,6 @@ from ..constants import (
 from ..functions.jsontext import json_keys, parse_record
 from ..functions.paths import directory, file_name, relative_name, suffix
 from ..functions.text import escaped_preview, human_size, strip
-from .joins import lookup
 from .records import record_format
 
 PREVIEW_FILES = 8
@@ -222,6 +221,11 @@ def adapter_config_fields(configs: DataFrame) -> DataFrame:
     )
 
 
+def adapter_settings(paths: DataFrame, configs: DataFrame) -> DataFrame:
+    """Settings of every given adapter path; null where it has no configuration or an unreadable one."""
+    return paths.join(adapter_config_fields(configs).withColumnRenamed("dir", "path"), "path", "left")
+
+
 def resolve_base(adapters: DataFrame, models: DataFrame, base: str = "base_model") -> DataFrame:
     """Add ``resolved`` and ``is_local``: a known path, else the model directory of that name, else the id.
 
@@ -231,7 +235,8 @@ def resolve_base(adapters: DataFrame, models: DataFrame, base: str = "base_model
     rows = adapters.withColumn("_path", wanted).withColumn("_name", file_name(F.rtrim(wanted, F.lit("/"))))
     by_path = models.select(F.col("path").alias("_path")).distinct().withColumn("_by_path", F.col("_path"))
     by_name = models.groupBy(F.col("name").alias("_name")).agg(F.min("path").alias("_by_name"))
-    rows = lookup(lookup(rows, by_path, "_path"), by_name, "_name")
+    # adaptive execution ships small tables by their measured size and cuts partitions that one key blows up
+    rows = rows.join(by_path, "_path", "left").join(by_name, "_name", "left")
     return (
         rows.withColumn("resolved", F.coalesce("_by_path", "_by_name", "_path"))
         .withColumn("is_local", F.coalesce("_by_path", "_by_name").isNotNull())
@@ -243,7 +248,7 @@ def check_adapters(requested: DataFrame, files: DataFrame, path: str = "path") -
     """Add ``check``: ok, not_an_adapter (no configuration file) or missing (no files)."""
     known = with_directory(files)
     known = known.groupBy("dir").agg(F.max(F.col("file") == ADAPTER_CONFIG).alias("_ok"))
-    joined = lookup(requested, known.withColumnRenamed("dir", path), path)
+    joined = requested.join(known.withColumnRenamed("dir", path), path, "left")
     verdict = F.when(F.col("_ok").isNull(), "missing").when(F.col("_ok"), "ok").otherwise("not_an_adapter")
     return joined.withColumn("check", verdict).drop("_ok")
 

@@ -93,11 +93,12 @@ def tokenize_with(factory: Callable[[], Callable], text: Column) -> Column:
 def generate_batch(
     df: DataFrame, factory: Callable[[], Callable], prompt: str = "prompt", settings: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Add ``reply, new_tokens, elapsed``: one call of the user's model per prompt.
+    """Add ``reply, new_tokens, elapsed``: one call of the user's model per Arrow batch of prompts.
 
-    ``factory`` loads the model once per task and returns ``generate(prompt, **settings)``,
-    which gives a reply or (reply, number of new tokens). Rows keep their key columns,
-    so the order of the prompts never depends on the order of rows.
+    ``factory`` loads the model once per task and returns ``generate(prompts, **settings)``. It is given
+    a list of prompts and, per setting, a list as long, and gives one reply or (reply, number of new
+    tokens) per prompt. ``elapsed`` is a prompt's share of its batch. Rows keep their key columns, so the
+    order of the prompts never depends on the order of rows.
     """
     schema = T.StructType(df.schema.fields + [
         T.StructField("reply", T.StringType()),
@@ -108,14 +109,16 @@ def generate_batch(
     def run(batches):
         model = None
         for batch in batches:
+            if batch.empty:
+                continue
             model = model or factory()
-            out = []
-            for row in batch.to_dict("records"):
-                begin = time.perf_counter()
-                result = model(row[prompt], **{s: row[s] for s in settings})
-                reply, count = result if isinstance(result, tuple) else (result, len(result.split()))
-                out.append((reply.strip(), count, time.perf_counter() - begin))
-            replies, counts, seconds = zip(*out) if out else ((), (), ())
-            yield batch.assign(reply=list(replies), new_tokens=list(counts), elapsed=list(seconds))
+            begin = time.perf_counter()
+            results = list(model(batch[prompt].tolist(), **{s: batch[s].tolist() for s in settings}))
+            if len(results) != len(batch):
+                raise ValueError(f"{len(results)} replies to {len(batch)} prompts")
+            results = [r if isinstance(r, tuple) else (r, len(r.split())) for r in results]
+            share = (time.perf_counter() - begin) / len(batch)
+            replies, counts = zip(*results)
+            yield batch.assign(reply=[r.strip() for r in replies], new_tokens=list(counts), elapsed=share)
 
     return df.mapInPandas(run, schema)

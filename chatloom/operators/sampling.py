@@ -115,13 +115,19 @@ def limit_samples(df: DataFrame, n: int | None, *order: str) -> DataFrame:
 def ordered_numbers(df: DataFrame, *order: str, name: str = "number", partitions: int | None = None) -> DataFrame:
     """Add the 0-based place of every row in the given total order.
 
-    Rows are range partitioned and sorted, that layout is fixed by a reliable
-    checkpoint, and only the row count of each partition is brought together.
     """
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged = cut_lineage(ranged.withColumn("_row", F.monotonically_increasing_id()))
+    return row_places(df.repartitionByRange(parts, *order).sortWithinPartitions(*order), name)
+
+
+def row_places(df: DataFrame, name: str = "number") -> DataFrame:
+    """Add the 0-based place of every row in the order the frame has.
+
+    That layout is fixed by a reliable checkpoint, and only the row count of each
+    partition is brought together.
+    """
+    ranged = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
     shift = 33  # monotonically_increasing_id keeps the partition number above this bit
     ranged = ranged.withColumn("_part", F.shiftright("_row", shift))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))

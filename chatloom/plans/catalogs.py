@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strip
 from ..operators import catalog
+from ..operators.sampling import row_places
 from ..session import shared_path
 from ..sources import trees
 from ..sources.formats import choose_files
@@ -90,7 +91,8 @@ def model_status(spark, sf):
 
 
 @query(_MODEL_FACTS + """
-    SELECT CAST(k AS VARCHAR) AS name, CASE WHEN c AND w > 0 AND t THEN 'OK' ELSE 'FAIL' END AS status, replace(files, ',', ', ') AS files,
+    SELECT row_number() OVER (ORDER BY CAST(k AS VARCHAR)) - 1 AS place,
+      CAST(k AS VARCHAR) AS name, CASE WHEN c AND w > 0 AND t THEN 'OK' ELSE 'FAIL' END AS status, replace(files, ',', ', ') AS files,
       concat_ws(', ', CASE WHEN NOT c THEN 'missing_config' END, CASE WHEN c AND st = 'P' THEN 'bad_config_json' END,
         CASE WHEN w = 0 THEN 'missing_weights' END, CASE WHEN NOT t THEN 'missing_tokenizer' END) AS errors
     FROM m
@@ -98,7 +100,7 @@ def model_status(spark, sf):
 def model_report(spark, sf):
     """Report rows of the model folders, in the order of their names."""
     found = catalog.model_catalog(model_files(spark, sf), model_configs(spark, sf), "models", list_all=False)
-    return catalog.report_rows(found).select("name", "status", "files", "errors")
+    return row_places(catalog.report_rows(found).select("name", "status", "files", "errors"), "place")
 
 
 @query(_MODEL_FACTS + "SELECT 'models/' || k AS path FROM m WHERE c AND w > 0 AND t")
@@ -174,7 +176,7 @@ def adapter_catalog(spark, sf):
 
 @query("""
     WITH b AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'models/' || c_nationkey WHEN 1 THEN 'org/NATION_' || c_nationkey
-        WHEN 2 THEN 'hub/' || c_mktsegment WHEN 3 THEN '' END AS base_model FROM customer WHERE c_nationkey <> 3)
+        WHEN 2 THEN 'hub/' || c_mktsegment WHEN 3 THEN '' END AS found, CASE WHEN c_nationkey <> 3 THEN found END AS base_model FROM customer)
     SELECT 'outputs/' || k AS path, base_model,
       coalesce(p.path, n.path, nullif(base_model, '')) AS resolved, coalesce(p.path, n.path) IS NOT NULL AS is_local
     FROM b LEFT JOIN (SELECT 'models/' || n_nationkey AS path FROM nation) p ON base_model = p.path
@@ -182,13 +184,14 @@ def adapter_catalog(spark, sf):
       ON split_part(base_model, '/', -1) = n.name
 """)
 def adapter_base(spark, sf):
-    """Base model of every adapter: a known path, a folder of that name, or the id itself."""
-    configs = catalog.adapter_config_fields(adapter_configs(spark, sf)).withColumnRenamed("dir", "path")
+    """Base model of every adapter: a known path, a folder of that name, the id itself, or none without a configuration."""
+    paths = table(spark, sf, "customer").select(F.concat(F.lit("outputs/"), F.col("c_custkey").cast("string")).alias("path"))
+    adapters = catalog.adapter_settings(paths, adapter_configs(spark, sf))
     key = F.col("n_nationkey").cast("string")
     models = table(spark, sf, "nation").select(
         F.concat(F.lit("models/"), key).alias("path"), F.concat(F.lit("NATION_"), key).alias("name")
     )
-    return catalog.resolve_base(configs, models).select("path", "base_model", "resolved", "is_local")
+    return catalog.resolve_base(adapters, models).select("path", "base_model", "resolved", "is_local")
 
 
 @query("""

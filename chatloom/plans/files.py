@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chat, render
+from ..operators.records import to_messages
 from ..sources import datasets, prompts
-from ..sources.formats import detect_formats
+from ..sources.files import list_files
+from ..sources.formats import classify_first, detect_formats, first_json_records
 from ..sources.sinks import as_json_lines, write_training_set
 from ..session import shared_path
 from . import staging
@@ -152,6 +154,45 @@ def scan_csv_headers(spark, sf):
     return pair(datasets.read_csv(spark, path))
 
 
+@query(_CSV_SQL)
+def scan_csv_long_header(spark, sf):
+    """CSV files with line ends in the names of their columns."""
+    documents = table(spark, sf, "documents")
+    named = documents.select(F.col("source").alias("no\nte"), F.col("text").alias("question"), F.col("lang").alias("answer"))
+    return pair(datasets.read_csv(spark, staging.stage_csv(named, "csv-long-header")))
+
+
+@query(f"SELECT {sql_strip('text')} AS question, {sql_strip('lang')} AS answer FROM documents")
+def load_mixed_folder(spark, sf):
+    """A folder in which one half of the files holds arrays and the other lines, each read by what it holds."""
+    documents = table(spark, sf, "documents")
+    value = F.to_json(F.struct(F.col("text").alias("question"), F.col("lang").alias("answer")))
+    values = documents.select("doc_id", value.alias("value"))
+    path = staging.stage_arrays(values.where("doc_id % 2 = 0"), "load-mixed")
+    values.where("doc_id % 2 = 1").select("value").write.mode("append").text(path)
+    return pair(datasets.read_mixed_records(spark, path).transform(lambda r: to_messages(r, "jsonl")))
+
+
+@query(f"""
+    SELECT CASE WHEN lang = 'en' THEN 'sharegpt' ELSE 'alpaca' END AS format, count(*) > 0 AS found FROM documents GROUP BY 1
+""")
+def detect_arrays(spark, sf):
+    """Formats of array files whose first element starts after white space."""
+    documents = table(spark, sf, "documents")
+    english = F.col("lang") == "en"
+    chat_record = F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"))
+    task_record = F.struct(F.col("text").alias("instruction"), F.col("lang").alias("output"))
+    path = staging.stage_arrays(documents.where(english).select(F.concat(F.lit("  "), F.to_json(chat_record)).alias("value")), "detect-arrays")
+    other = staging.stage_arrays(documents.where(~english).select(F.concat(F.lit("\n"), F.to_json(task_record)).alias("value")), "detect-tasks")
+    found = None
+    for folder in (path, other):
+        files = list_files(spark, folder, "*.txt")
+        kinds = first_json_records(spark, folder, "*.txt", whole_file_bytes=SMALL_WHOLE_FILE)
+        rows = classify_first(kinds).join(files, "path")
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("format").agg((F.count("*") > 0).alias("found"))
+
+
 @query(f"""
     SELECT 'chat' AS dataset, 'lines' AS container, 'sharegpt' AS format, count(DISTINCT conv_id) AS records FROM conversations
     UNION ALL SELECT 'instructions', 'lines', 'alpaca', count(*) FROM documents

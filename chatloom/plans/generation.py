@@ -100,7 +100,7 @@ def tokenizer_hook(spark, sf):
 
 
 def _echo():
-    return lambda prompt, **settings: (f" {prompt[::-1]} ", len(prompt))
+    return lambda prompts, **settings: [(f" {p[::-1]} ", len(p)) for p in prompts]
 
 
 @query(f"""
@@ -116,7 +116,7 @@ def generate_stub(spark, sf):
 
 
 def _by_settings():
-    return lambda prompt, max_new_tokens: (prompt[::-1], min(max_new_tokens, len(prompt)))
+    return lambda prompts, max_new_tokens: [(p[::-1], min(n, len(p))) for p, n in zip(prompts, max_new_tokens)]
 
 
 @query("""

@@ -28,17 +28,17 @@ def alpaca_json(documents):
     """``doc_id, value``: instruction records that differ in which fields they have."""
     k = F.col("doc_id") % 4
     fields = F.struct(
-        F.concat(F.lit("  Tell me about "), "lang", F.lit(" ")).alias("instruction"),
+        F.concat(F.lit("  Tell me about "), "lang", F.lit(" "), F.when(k == 3, F.col("text")).otherwise("")).alias("instruction"),
         F.when(k < 2, F.col("text")).when(k == 2, F.lit("")).alias("input"),
-        F.when(k % 2 == 0, F.concat(F.lit("\n"), F.col("source"))).alias("output"),
+        F.when(k == 0, F.concat(F.lit("\n"), F.col("source"))).when(k == 2, F.col("text")).alias("output"),
         F.when(k == 1, F.col("text")).alias("response"),
     )
     return documents.select("doc_id", F.to_json(fields).alias("value"))
 
 
 ALPACA_SQL = f"""
-    SELECT doc_id, {sql_strip("'  Tell me about ' || lang || ' ' || CASE WHEN doc_id % 4 < 2 THEN chr(10) || chr(10) || text ELSE '' END")} AS question,
-      {sql_strip("CASE doc_id % 4 WHEN 0 THEN source WHEN 2 THEN source WHEN 1 THEN text ELSE '' END")} AS answer
+    SELECT doc_id, {sql_strip("'  Tell me about ' || lang || ' ' || CASE WHEN doc_id % 4 < 2 THEN chr(10) || chr(10) || text WHEN doc_id % 4 = 3 THEN text ELSE '' END")} AS question,
+      {sql_strip("CASE doc_id % 4 WHEN 0 THEN source WHEN 2 THEN text WHEN 1 THEN text ELSE '' END")} AS answer
     FROM documents
 """
 

@@ -16,11 +16,11 @@ def seeded_numbers(spark, sf):
     return sampling.seeded_numbers(table(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
-@query("SELECT doc_id, md5('42:' || doc_id) AS order_key, n_chars FROM documents")
+@query(f"SELECT doc_id, n_chars, row_number() OVER (ORDER BY {_ORDER}) - 1 AS place FROM documents")
 def seeded_shuffle(spark, sf):
-    """The seeded permutation keeps every row."""
-    shuffled = sampling.seeded_shuffle(table(spark, sf, "documents"), "doc_id")
-    return shuffled.select("doc_id", sampling.seeded_key(42, "doc_id").alias("order_key"), "n_chars")
+    """The seeded permutation keeps every row; with the place each row has in it."""
+    documents = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return sampling.row_places(sampling.seeded_shuffle(documents, "doc_id"), "place")
 
 
 @query(f"SELECT doc_id, text FROM documents ORDER BY {_ORDER} LIMIT 100")
@@ -72,8 +72,8 @@ def batch_plan(spark, sf):
     return sampling.batch_plan(table(spark, sf, "documents"), "doc_id")
 
 
-@query(_PLAN.format(batch=4, device=1, steps=40, interval=2))
+@query(_PLAN.format(batch=4, device=1, steps=2000, interval=100))
 def batch_plan_cpu(spark, sf):
     """Training batches with the limits of a machine without an accelerator."""
     per_device, _ = sampling.cpu_limits(2, 1024)
-    return sampling.batch_plan(table(spark, sf, "documents"), "doc_id", per_device=per_device, max_steps=40)
+    return sampling.batch_plan(table(spark, sf, "documents"), "doc_id", per_device=per_device)

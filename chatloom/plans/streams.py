@@ -112,7 +112,7 @@ def stream_prompts(spark, sf):
 
 
 def _length_model():
-    return lambda prompt: (prompt[::-1], len(prompt))
+    return lambda prompts: [(p[::-1], len(p)) for p in prompts]
 
 
 @query(f"""

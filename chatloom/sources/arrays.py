@@ -86,7 +86,7 @@ def _large_array_pieces(pieces: DataFrame, skip_others: bool) -> DataFrame:
 
 def read_large_json_array(
     spark: SparkSession, path, glob, recursive, larger_than: int, typed: bool = False, on_bad: str = "fail",
-    first_split: bool = False, skip_others: bool = False,
+    skip_others: bool = False,
 ) -> DataFrame:
     """``path, pos, value`` of array files that are cut into splits.
 
@@ -94,11 +94,8 @@ def read_large_json_array(
     with item number -1. Files that do not start as an array fail unless skipped or marked.
 
     Pieces end at every closing brace; a record is the pieces after the end of the one before.
-    With ``first_split`` only the elements that start in the first split of each file are read.
     """
     pieces = read_lines(spark, path, glob, recursive, line_sep="}", larger_than=larger_than)
-    if first_split:
-        pieces = pieces.where("block = 0")
     pieces = latest_mark(_large_array_pieces(pieces, skip_others), F.col("ends"), upto_here=False)
     records = stitch(pieces, "}", F.max("ends").alias("_ended"), F.min("closed").alias("_closed"))
     # between records stand a comma, the opening bracket and the closing one
@@ -108,8 +105,7 @@ def read_large_json_array(
     # only the text after the last record lacks its closing brace
     rest = F.when(text.rlike(r"(?s)^(\[?\s*\]|[\[,]\s*[^\s\]].*\])$"), F.concat(F.lit("["), body))
     chosen = _items(F.when(F.col("_ended"), complete).otherwise(rest), typed)
-    if not first_split:
-        chosen = F.when(F.col("_closed"), chosen)
+    chosen = F.when(F.col("_closed"), chosen)
     items = F.transform(chosen, lambda v, i: F.struct(i.alias("item"), v.alias("value")))
     if on_bad == "fail":
         failure = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("path")))

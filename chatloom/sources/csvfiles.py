@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.joins import lookup
 from ..operators.records import csv_messages, csv_plan
 from ..session import cut_lineage
 from .files import (
@@ -16,13 +15,20 @@ from .files import (
     read_lines, split_window, stitch,
 )
 
+#: Headers of at most so many bytes are shipped to every task.
+BROADCAST_BYTES = 32 * 1024 * 1024
 _QUOTING = {"quote": '"', "escape": '"'}
 
 
 def read_headers(spark: SparkSession, path, glob=None, recursive=False) -> DataFrame:
     """``path, header``: column names of each file, in order."""
     lines = read_lines(spark, path, glob, recursive).where("block = 0 and value <> ''")
-    first = cut_lineage(lines.groupBy("path").agg(F.min_by("value", "row").alias("line")))
+    first = lines.groupBy("path").agg(F.min_by("value", "row").alias("line"))
+    first = cut_lineage(first.withColumn("_more", _open_after(F.col("line"), False) == 1))
+    longer = first.where("_more").select("path")
+    first = first.select("path", "line", "_more")
+    if not longer.isEmpty():
+        first = first.where("not _more").unionByName(_long_headers(spark, path, glob, recursive, longer))
     # as many columns as any header could have
     width = (first.agg(F.max(F.size(F.split("line", ",")))).first()[0]) or 1
     cells = F.from_csv("line", _schema(width), _QUOTING)
@@ -30,6 +36,21 @@ def read_headers(spark: SparkSession, path, glob=None, recursive=False) -> DataF
     return first.select("path", header.alias("header"))
 
 
+def _long_headers(spark: SparkSession, path, glob, recursive, wanted: DataFrame) -> DataFrame:
+    """``path, line, _more``: headers with line ends in quoted cells, up to the first line that starts outside one."""
+    lines = _with_quote_state(read_lines(spark, path, glob, recursive).join(wanted, "path", "left_semi"))
+    here = F.struct("block", "row")
+    text = (F.col("value") != "") | (F.col("open") == 1)
+    lines = lines.where(text).withColumn("_start", F.when(F.col("open") == 0, here))
+    starts = lines.groupBy("path").agg(F.min("_start").alias("_first"))
+    lines = lines.join(starts, "path")
+    ends = lines.where(here > F.col("_first")).groupBy("path").agg(F.min("_start").alias("_end"))
+    header = lines.join(ends, "path", "left").where(F.col("_end").isNull() | (here < F.col("_end")))
+    return stitch(header.withColumn("mark", F.col("_first")), "\n").select(
+        "path", F.col("value").alias("line"), F.lit(True).alias("_more")
+    )
+
+
 def _schema(width: int) -> str:
     return ", ".join(f"c{i} string" for i in range(width))
 
@@ -92,19 +113,29 @@ def _large_rows(spark, path, glob, recursive, larger_than, width) -> DataFrame:
     lines = lines.where((F.col("value") != "") | (F.col("open") == 1))
     first = (F.col("block") == 0) & (F.row_number().over(split_window()) == 1)
     lines = lines.withColumn("_header", first)
-    rows = latest_mark(lines, F.col("open") == 0).where(~F.col("_header"))
-    rows = stitch(rows, "\n")
+    rows = latest_mark(lines, F.col("open") == 0)
+    # the header goes with all its lines
+    rows = stitch(rows, "\n", F.max("_header").alias("_header")).where(~F.col("_header"))
     parsed = rows.withColumn("_row", F.from_csv("value", _schema(width), {**_QUOTING, "multiLine": "true"}))
     return parsed.select("path", "pos", F.array(*[F.col(f"_row.c{i}") for i in range(width)]).alias("cells"))
 
 
 def _only_header(spark: SparkSession, path, glob, recursive) -> list[str] | None:
-    """Column names when there is a single file; reads no further than its first line."""
+    """Column names when there is a single file; reads little further than its header."""
     files = list_files(spark, path, glob, recursive).select("path").take(2)
     if len(files) != 1:
         return None
-    line = read_lines(spark, path, glob, recursive).where("block = 0 and value <> ''").select("value").first()
-    return next(csv.reader([line["value"]])) if line else None
+    lines, count = read_lines(spark, path, glob, recursive).select("value"), 16
+    while True:
+        head = [row["value"] + "\n" for row in lines.take(count)]
+        cells = csv.reader(head)
+        for header in cells:
+            # a header that takes all lines read may go on
+            if header and (cells.line_num < count or len(head) < count):
+                return header
+        if len(head) < count:
+            return None
+        count *= 4
 
 
 def read_rows(
@@ -129,7 +160,11 @@ def read_rows(
         return rows.select("path", "pos", header.alias("header"), csv_plan(header).alias("plan"), "cells")
     # the column plan is worked out once per file
     planned = headers.select("path", "header", csv_plan(F.col("header")).alias("plan"))
-    return lookup(rows, planned, "path").select("path", "pos", "header", "plan", "cells")
+    # shipped by the measured bytes of the headers; beyond that, adaptive execution cuts the rows of large files
+    names = F.sum(F.octet_length("path") + F.octet_length(F.concat_ws("", "header")) + 32 * F.size("header"))
+    small = (headers.agg(names).first()[0] or 0) <= BROADCAST_BYTES
+    joined = rows.join(F.broadcast(planned) if small else planned, "path", "left")
+    return joined.select("path", "pos", "header", "plan", "cells")
 
 
 def read_csv_messages(

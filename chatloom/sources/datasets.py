@@ -13,7 +13,7 @@ from ..session import prepare
 from .arrays import read_json_array
 from .csvfiles import read_csv_messages
 from .files import WHOLE_FILE_BYTES, list_files, place, read_lines, sample_id
-from .formats import detect_container, detect_format
+from .formats import detect_container, detect_format, json_containers
 from .textfiles import read_paragraphs, read_text_files
 
 
@@ -27,6 +27,17 @@ def read_json_records(
     return lines.withColumn("value", strip(F.col("value"))).where(F.col("value") != "")
 
 
+def read_mixed_records(spark: SparkSession, path, glob=None, whole_file_bytes=WHOLE_FILE_BYTES) -> DataFrame:
+    """``path, pos, value`` of JSON files each of which holds an array or lines."""
+    kinds = json_containers(spark, path, glob)
+    found = {row["container"] for row in kinds.select("container").distinct().collect()}
+    if found == {"array", "lines"}:
+        arrays = read_json_array(spark, path, glob, whole_file_bytes=whole_file_bytes, skip_others=True)
+        lines = read_json_records(spark, path, "lines", glob)
+        return arrays.unionByName(lines.join(kinds.where("container = 'lines'"), "path", "left_semi"))
+    return read_json_records(spark, path, "array" if found == {"array"} else "lines", glob, whole_file_bytes=whole_file_bytes)
+
+
 def read_sharegpt(spark, path, container="array", glob=None, on_bad="fail", **options) -> DataFrame:
     return to_messages(read_json_records(spark, path, container, glob, **options), "sharegpt", on_bad=on_bad)
 
@@ -96,8 +107,11 @@ def load_dataset(
         options = {} if is_dir else {"whole_file_bytes": whole_file_bytes}
         samples = read_text(spark, path, directory=is_dir, **options)
     else:
-        container = container or detect_container(spark, path, glob)
-        records = read_json_records(spark, path, container, glob, whole_file_bytes=whole_file_bytes)
+        if is_dir:
+            records = read_mixed_records(spark, path, glob, whole_file_bytes)
+        else:
+            container = container or detect_container(spark, path)
+            records = read_json_records(spark, path, container, whole_file_bytes=whole_file_bytes)
         samples = to_messages(records, fmt, on_bad=on_bad)
     if shuffle:
         return seeded_sample(sample_id(samples), "sample_id", max_samples, seed).drop("sample_id")

@@ -36,7 +36,8 @@ def record_based_format(container: Column, is_json: Column, keys: Column) -> Col
     return F.when(container == "array", in_array).otherwise(in_lines)
 
 
-def _classify(first: DataFrame) -> DataFrame:
+def classify_first(first: DataFrame) -> DataFrame:
+    """``path, container, format`` from the first record of every file (path, container, value)."""
     parsed = parse_record(first, "value")
     return parsed.select(
         "path", "container", record_based_format(F.col("container"), F.col("is_json"), json_keys(F.col("value"))).alias("format")
@@ -61,7 +62,7 @@ def first_json_records(
     )
     if has_larger_files(spark, path, whole_file_bytes, glob, recursive):
         elements = read_large_json_array(
-            spark, path, glob, recursive, whole_file_bytes, on_bad="mark", first_split=True, skip_others=True
+            spark, path, glob, recursive, whole_file_bytes, on_bad="mark", skip_others=True
         )
         heads = elements.groupBy("path").agg(F.min_by("value", "pos").alias("element"))
         # a line of a large array may be the whole file: only its start is kept
@@ -86,7 +87,7 @@ def detect_formats(
     spark: SparkSession, path, recursive: bool = True, whole_file_bytes: int = WHOLE_FILE_BYTES
 ) -> DataFrame:
     """``path, container, format`` of every dataset file below the path."""
-    json_files = _classify(first_json_records(spark, path, JSON_GLOB, recursive, whole_file_bytes))
+    json_files = classify_first(first_json_records(spark, path, JSON_GLOB, recursive, whole_file_bytes))
     others = list_files(spark, path, "*.{csv,txt}", recursive).select(
         "path",
         F.lit("lines").alias("container"),
@@ -131,23 +132,36 @@ def detect_format(spark: SparkSession, path: str) -> tuple[str, str]:
     if first is None:
         return "lines", "text"
     container, value = first
-    row = _classify(spark.createDataFrame([(target, container, value)], "path string, container string, value string")).first()
+    row = classify_first(spark.createDataFrame([(target, container, value)], "path string, container string, value string")).first()
     return row["container"], row["format"]
 
 
-def detect_container(spark: SparkSession, path, glob: str | None = None) -> str:
-    """Whether JSON files hold an array or lines, by the first character found."""
-    head = read_lines(spark, path, glob, line_sep="}").where("block = 0").select(F.left(F.ltrim("value", F.lit(JSON_SPACE)), F.lit(1))).first()
-    return "array" if head is not None and head[0] == "[" else "lines"
+def _heads(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
+    """``path, pos, container`` by the first character of every piece that is not blank."""
+    head = F.left(F.ltrim("value", F.lit(JSON_SPACE)), F.lit(1))
+    container = F.when(head == "[", "array").otherwise("lines")
+    pieces = read_lines(spark, path, glob, line_sep="}").where(head != "")
+    return pieces.select("path", F.struct("block", "row").alias("pos"), container.alias("container"))
+
+
+def json_containers(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
+    """``path, container``: whether each JSON file holds an array or lines."""
+    return _heads(spark, path, glob).groupBy("path").agg(F.min_by("container", "pos").alias("container"))
+
+
+def detect_container(spark: SparkSession, path: str) -> str:
+    """Whether one JSON file holds an array or lines; reads no further than its first pieces."""
+    head = _heads(spark, path).first()
+    return head["container"] if head else "lines"
 
 
 def _first_record(spark: SparkSession, path: str) -> tuple[str, str | None] | None:
     """(container, text) of a file's first record, reading only as far as its end.
 
-    ``take`` stops at the first rows of the first split; only as many pieces as the
+    ``take`` reads splits in file order and stops early; only as many pieces as the
     first element of an array needs come to the driver.
     """
-    pieces = read_lines(spark, path, line_sep="}").where("block = 0").select("value")
+    pieces = read_lines(spark, path, line_sep="}").select("value")
     count = 16
     while True:
         head = [row["value"] for row in pieces.take(count)]

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatloom.functions import human_count, human_size, relative_name, strip, suffix
-from chatloom.operators import chat, generate, joins, render, sampling
+from chatloom.operators import catalog, chat, generate, render, sampling
 
 
 def one(spark, column):
@@ -125,12 +125,19 @@ def test_clear_history(long_conversation):
     assert {r["conv_id"]: r["count"] for r in rows} == {c: 6 for c in range(1, 141)}
 
 
-def test_salted_lookup_equals_join(spark):
-    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).alias("k"), "id")
-    right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    plain = sorted(map(tuple, left.join(right, "k", "left").select("id", "v").collect()), key=str)
-    for found in (joins.salted_lookup(left, right, "k"), joins.salted_lookup(left, right, "k", hot_rows=500), joins.lookup(left, right, "k"), joins.lookup(left, right, "k", limit=5)):
-        assert sorted(map(tuple, found.select("id", "v").collect()), key=str) == plain
+def test_row_places_follow_the_order(spark):
+    rows = spark.range(500).select((F.col("id") * 7 % 500).alias("k")).repartition(6)
+    assert sorted(map(tuple, sampling.row_places(rows.orderBy("k"), "place").collect())) == [(i, i) for i in range(500)]
+    assert sampling.row_places(rows.where("k < 0").orderBy("k")).count() == 0
+
+
+def test_adapters_without_configuration_have_no_base(spark):
+    paths = spark.createDataFrame([("o/a",), ("o/b",), ("o/c",)], "path string")
+    configs = spark.createDataFrame([("o/a", '{"base_model_name_or_path": "m/x"}'), ("o/b", "{")], "dir string, value string")
+    models = spark.createDataFrame([("models/x", "x")], "path string, name string")
+    found = catalog.resolve_base(catalog.adapter_settings(paths, configs), models).select("path", "base_model", "resolved", "is_local")
+    assert sorted(map(tuple, found.collect())) == [
+        ("o/a", "m/x", "models/x", True), ("o/b", None, None, False), ("o/c", None, None, False)]
 
 
 # ---- sampling -------------------------------------------------------------
@@ -210,7 +217,7 @@ def test_model_is_loaded_once_per_task(spark, tmp_path):
         import uuid
 
         open(os.path.join(folder, uuid.uuid4().hex), "w").close()
-        return lambda prompt: prompt.upper()
+        return lambda prompts: [p.upper() for p in prompts]
 
     prompts = spark.range(100).select("id", F.concat(F.lit("p"), F.col("id")).alias("prompt")).repartition(4)
     rows = generate.generate_batch(prompts, factory).collect()

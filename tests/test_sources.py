@@ -371,3 +371,34 @@ def test_names_with_marks(spark, write):
     assert [r["path"].removeprefix("file:") for r in rows] == [path]
     table = write("f g/t u.csv", "question,answer\nq,a\n")
     assert pairs(load(spark, table)) == [("q", "a")]
+
+
+LONG_HEADER = '\n"ques\n\ntion","an""swer\n",question,answer\n'
+
+
+@pytest.mark.parametrize("whole", [10**9, 0])
+def test_csv_header_over_lines(spark, write, splits, whole):
+    rows = "".join(f'x{i},y,"q\n{i}",a{i}\n' for i in range(40))
+    path = write("d/a.csv", LONG_HEADER + rows)
+    expected = [(f"q\n{i}", f"a{i}") for i in range(40)]
+    assert pairs(load(spark, path, whole_file_bytes=whole)) == expected
+    write("d/b.csv", "answer,question\nA,Q\n")
+    write("d/c.csv", '"question\n"\n')
+    assert pairs(load(spark, path.rsplit("/", 1)[0], whole_file_bytes=whole)) == expected + [("Q", "A")]
+
+
+@pytest.mark.parametrize("whole", [10**9, 0])
+def test_first_element_beyond_a_split(spark, write, splits, whole):
+    items = [{"instruction": "i" * 900 + "{}[", "output": "o"}, {"instruction": "j", "output": "p"}]
+    path = write("a.json", json.dumps(items))
+    assert detect_format(spark, path) == ("array", "alpaca")
+    assert [r["format"] for r in detect_formats(spark, path, whole_file_bytes=whole).collect()] == ["alpaca"]
+    assert pairs(load(spark, path, whole_file_bytes=whole)) == [(items[0]["instruction"], "o"), ("j", "p")]
+
+
+@pytest.mark.parametrize("whole", [10**9, 0])
+def test_folder_of_arrays_and_lines(spark, write, whole):
+    write("d/a.jsonl", '{"messages": [{"role": "user", "content": "l"}]}\n')
+    write("d/b.json", '[{"messages": [{"role": "user", "content": "x"}]},\n {"messages": [{"role": "user", "content": "y"}]}]')
+    path = write("d/c.json", '{"messages": [{"role": "user", "content": "z"}]}\n\n{"messages": [{"role": "user", "content": "w"}]}\n')
+    assert turns(load(spark, path.rsplit("/", 1)[0], whole_file_bytes=whole)) == [[("user", c)] for c in "xyzw"]
