@@ -109,7 +109,8 @@ def limit_samples(df: DataFrame, n: int | None, *order: str) -> DataFrame:
         return df
     if n <= TOP_K_ROWS:
         return df.orderBy(*order).limit(n)
-    return ordered_numbers(df, *order, name="_number").where(F.col("_number") < n).drop("_number")
+    first = ordered_numbers(df, *order, name="_number").where(F.col("_number") < n)
+    return first.orderBy("_number").drop("_number")
 
 
 def ordered_numbers(df: DataFrame, *order: str, name: str = "number", partitions: int | None = None) -> DataFrame:
