@@ -9,22 +9,31 @@ many words, an inflected form never seen before still speaks. A document's score
 per word, and on that of its most toxic stretch, through a logistic curve fitted to labelled documents that the
 counts have not seen.
 
-Class counts come from a bounded, documented sample of labelled rows (SAMPLE per class); the model that is sent to
-the tasks has at most CLASS_ROWS runs of ORDER bytes and SHARED_ROWS shared ones, whatever the corpus.
+Class counts come from a bounded, documented sample of labelled rows (SAMPLE per class); every run of these rows counts,
+and every shared run of the corpus. No task holds them all: whatever a run's estimate rests on has the same three bytes
+before its last one, so the runs of the corpus and those of the sample are dealt to shards by these bytes, a shard's
+estimates are made from its own runs, and they go back to the portion of text whose different words have these runs.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from .common import schema, split_hash, staged, texts_of
 
-SAMPLE, CLASS_ROWS, SHARED_ROWS = 6_000, 1 << 18, 1 << 17
+SAMPLE = 6_000
 ORDER, CLASS_FROM, DISCOUNT = 7, 5, 0.75
 STRETCH, FOLDS = 32, 5
 TEXT_AT_ONCE = 8 << 20
+#: Bytes of text whose different words are looked up together; a shard has about the runs of as much text.
+PORTION, LEAST_SHARDS = 32 << 20, 64
 #: Marks worn at the edges of words that are not part of them.
 EDGES = b".,;:!?\"'()[]{}#*$%&|<>"
 
@@ -32,23 +41,33 @@ EDGES = b".,;:!?\"'()[]{}#*$%&|<>"
 class Words:
     """The words of some texts: the different ones, and for every text which ones it has."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes] = ()):
+        self.number = defaultdict(count().__next__)
+        self.texts = self.add(texts)
+
+    def add(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [[w.strip(EDGES) for w in text.lower().split()] for text in texts]
-        number = {w: i for i, w in enumerate(set().union(*split))}
-        self.different = list(number)
-        self.texts = [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in split]
+        return [np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)) for words in split]
+
+    @property
+    def different(self) -> list[bytes]:
+        return list(self.number)
 
     def runs(self):
-        """The last ORDER bytes up to every byte of every different word and its end, as numbers; each word's first place."""
-        pad = b"\x01" * (ORDER - 1)
-        joined = np.frombuffer(b"".join([pad + w + b"\x02" for w in self.different]), np.uint8).astype(np.uint64)
-        lengths = np.fromiter(map(len, self.different), np.int64, len(self.different))
-        keys = np.zeros(max(0, joined.size - ORDER + 1), np.uint64)
-        for k in range(ORDER):
-            keys = (keys << np.uint64(8)) | joined[k : k + keys.size]
-        starts = np.cumsum(lengths + ORDER) - (lengths + ORDER)
-        take = np.repeat(starts, lengths + 1) + np.arange(int((lengths + 1).sum())) - np.repeat(np.cumsum(lengths + 1) - (lengths + 1), lengths + 1)
-        return keys[take], np.cumsum(lengths + 1) - (lengths + 1), lengths + 1
+        return _runs(self.different)
+
+
+def _runs(different: list[bytes]):
+    """The last ORDER bytes up to every byte of every different word and its end, as numbers; each word's first place."""
+    pad = b"\x01" * (ORDER - 1)
+    joined = np.frombuffer(b"".join([pad + w + b"\x02" for w in different]), np.uint8).astype(np.uint64)
+    lengths = np.fromiter(map(len, different), np.int64, len(different))
+    keys = np.zeros(max(0, joined.size - ORDER + 1), np.uint64)
+    for k in range(ORDER):
+        keys = (keys << np.uint64(8)) | joined[k : k + keys.size]
+    starts = np.cumsum(lengths + ORDER) - (lengths + ORDER)
+    take = np.repeat(starts, lengths + 1) + np.arange(int((lengths + 1).sum())) - np.repeat(np.cumsum(lengths + 1) - (lengths + 1), lengths + 1)
+    return keys[take], np.cumsum(lengths + 1) - (lengths + 1), lengths + 1
 
 
 def _portions(batch):
@@ -66,33 +85,120 @@ def _summed(keys: np.ndarray, *weights: np.ndarray):
     return different, [np.bincount(inverse, weights=w, minlength=different.size).astype(np.int64) for w in weights]
 
 
-def _run_counts(docs: DataFrame, size: int, classes: bool) -> DataFrame:
-    """(run, t, o): how often runs of `size` bytes occur in texts with toxic = 1 and 0; all in o without classes."""
-    mask = np.uint64((1 << (8 * size)) - 1)
+def _run_counts(docs: DataFrame) -> DataFrame:
+    """(run, t, o): how often runs of ORDER bytes occur in texts with toxic = 1 and 0."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            toxic = batch.column(1).to_pylist() if classes else None
+            toxic = batch.column(1).to_pylist()
             for start, texts in _portions(batch):
                 words = Words(texts)
-                if not words.different:
+                if not words.number:
                     continue
-                counts = [np.zeros(len(words.different)) for _ in (0, 1)]
+                counts = [np.zeros(len(words.number)) for _ in (0, 1)]
                 for i, some in enumerate(words.texts, start):
-                    counts[1 if toxic and toxic[i] else 0] += np.bincount(some, minlength=len(words.different)) if some.size > len(words.different) // 8 else 0
-                    if some.size <= len(words.different) // 8:
-                        np.add.at(counts[1 if toxic and toxic[i] else 0], some, 1)
+                    np.add.at(counts[1 if toxic[i] else 0], some, 1)
                 keys, _, lengths = words.runs()
-                keys, (o, t) = _summed(keys & mask, *[np.repeat(c, lengths) for c in counts])
+                keys, (o, t) = _summed(keys, *[np.repeat(c, lengths) for c in counts])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(t), pa.array(o)], ["run", "t", "o"])
 
-    columns = ["text", "toxic"] if classes else ["text"]
-    counted = docs.select(*columns).mapInArrow(run, schema(("run", "long"), ("t", "long"), ("o", "long")))
+    counted = docs.select("text", "toxic").mapInArrow(run, schema(("run", "long"), ("t", "long"), ("o", "long")))
     return counted.groupBy("run").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers as their byte planes, compressed."""
+    import pyarrow as pa
+
+    raw = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True) if raw else b"")
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    import pyarrow as pa
+
+    size = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _shard_of(runs: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each run, by the three bytes before its last one; as _run_shard says it in Spark."""
+    return (((runs >> np.uint64(8) & np.uint64(0xFFFFFF)) * np.uint64(2654435761)) >> np.uint64(24)) & np.uint64(shards - 1)
+
+
+def _run_shard(shards: int):
+    context = F.shiftrightunsigned("run", 8).bitwiseAND(F.lit(0xFFFFFF).cast("long"))
+    return F.shiftrightunsigned(context * F.lit(2654435761).cast("long"), 24).bitwiseAND(F.lit(shards - 1).cast("long"))
+
+
+def _shards(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(LEAST_SHARDS, 1 << (size // PORTION).bit_length())
+
+
+def _spelled(docs: DataFrame, shards: int, portion_bytes: int = PORTION) -> DataFrame:
+    """The corpus as portions of about `portion_bytes` of text, each in one task, in three kinds of rows:
+
+    (portion, ids, sizes, codes): some texts, as the numbers of their words in the portion;
+    (portion, words): the different words of the portion; (portion, shard, runs, times): their different runs of one shard.
+    """
+    kind = docs.schema["doc_id"].dataType
+    names = ["portion", "ids", "sizes", "codes", "words", "shard", "runs", "times"]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        def rows(many, **columns):
+            kinds = dict(zip(names, (pa.int64(), ids, pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True))
+            arrays = [columns[n] if n in columns else pa.nulls(many, kinds[n]) for n in names]
+            return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, kinds[n]) for n, a in zip(names, arrays, strict=True)], names)
+
+        def closed():
+            # numbered anew, the most frequent first and else in order: this is what compresses well
+            counts = np.bincount(np.concatenate([flat for *_, flat in held]), minlength=len(words.number))
+            different = words.different
+            order = np.array(sorted(range(len(different)), key=different.__getitem__), np.int64)
+            order = order[np.argsort(-counts[order], kind="stable")]
+            different, rank = [different[i] for i in order.tolist()], np.empty(order.size, np.uint32)
+            rank[order] = np.arange(order.size)
+            for some, sizes, flat in held:
+                yield rows(1, portion=[portion], ids=some, sizes=[_packed(sizes)], codes=[_packed(rank[flat])])
+            yield rows(1, portion=[portion], words=[_packed(np.frombuffer(b" ".join(different), np.uint8))])
+            if not different:
+                return
+            keys, _, lengths = _runs(different)
+            keys, (times,) = _summed(keys, np.repeat(counts[order], lengths))
+            shard = _shard_of(keys, shards)
+            order = np.argsort(shard, kind="stable")
+            keys, times, shard = keys[order], times[order], shard[order]
+            cuts = np.flatnonzero(np.diff(shard, prepend=shard[:1])).tolist()
+            ends = list(zip([0, *cuts], [*cuts, keys.size], strict=True))
+            yield rows(len(ends), portion=[portion] * len(ends), shard=[int(shard[i]) for i, _ in ends],
+                       runs=[_packed(np.diff(keys[i:j], prepend=np.uint64(0))) for i, j in ends], times=[_packed(times[i:j]) for i, j in ends])
+
+        portion, words, held, size = TaskContext.get().partitionId() << 32, Words(), [], 0
+        for batch in batches:
+            ids = pa.list_(batch.schema.field(0).type)
+            for start, texts in _portions(batch):
+                codes = words.add(texts)
+                some = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(0).slice(start, len(texts)))
+                held.append((some.cast(ids), np.array([c.size for c in codes], np.uint32), np.concatenate(codes).astype(np.uint32)))
+                size += sum(map(len, texts))
+                if size >= portion_bytes:
+                    yield from closed()
+                    portion, words, held, size = portion + 1, Words(), [], 0
+        if held:
+            yield from closed()
+
+    out = schema(("portion", "long"), ("ids", T.ArrayType(kind)), ("sizes", "binary"), ("codes", "binary"), ("words", "binary"),
+                 ("shard", "long"), ("runs", "binary"), ("times", "binary"))
+    return docs.select("doc_id", "text").mapInArrow(run, out)
+
+
 def _sampled(labels: DataFrame, folds: tuple[int, ...], most: int) -> DataFrame:
     """(doc_id, toxic) of at most `most` rows a class whose fold is one of `folds`, in a seeded order."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
@@ -144,37 +250,70 @@ class Model:
                 p[c] = np.where(seen, np.maximum(counts[c] - DISCOUNT, 0) / whole + DISCOUNT * kinds / whole * p[c], p[c])
         return np.log(p[0]) - np.log(p[1])
 
-    def features(self, texts: list[bytes]) -> list[tuple[float, float]]:
-        """Of every text, the mean log ratio per word, and that of its most toxic stretch of STRETCH words."""
-        words = Words(texts)
-        if not words.different:
-            return [(0.0, 0.0)] * len(texts)
-        keys, starts, _ = words.runs()
-        different, inverse = np.unique(keys, return_inverse=True)
-        scores = np.add.reduceat(self.ratios(different)[inverse], starts)
-        out = []
-        for some in words.texts:
-            if not some.size:
-                out.append((0.0, 0.0))
-                continue
-            total = np.concatenate([[0.0], np.cumsum(scores[some])])
-            width = min(STRETCH, some.size)
-            out.append((float(total[-1] / some.size), float((total[width:] - total[:-width]).max() / STRETCH)))
-        return out
-
-
-def _features(docs: DataFrame, model: Model, key: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+def _weighed(spelled: DataFrame, classes: DataFrame, shards: int) -> DataFrame:
+    """(portion, shard, ratios): the log ratio of each run of a portion that is in the shard, in the order of runs.
+
+    The shared counts are sums over all portions, and a shard has every run that they are summed from.
+    """
+
+    def run(met, counted):
         import pyarrow as pa
 
-        for batch in batches:
-            found = [f for _, texts in _portions(batch) for f in sent.value.features(texts)]
-            columns = [batch.column(0)] + [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, [key, "mean", "peak"])
+        runs = [np.cumsum(_unpacked(r, np.uint64), dtype=np.uint64) for r in met.column("runs").to_pylist()]
+        if not runs:
+            return pa.table({"portion": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), "ratios": pa.array([], pa.binary())})
+        times = np.concatenate([_unpacked(n, np.int64) for n in met.column("times").to_pylist()])
+        different, inverse = np.unique(np.concatenate(runs), return_inverse=True)
+        times = np.bincount(inverse, weights=times, minlength=different.size)
+        shared = _summed(different & np.uint64((1 << (8 * (CLASS_FROM - 1))) - 1), times)
+        own = counted.column("run").to_numpy().astype(np.int64).view(np.uint64)
+        model = Model(own, *[counted.column(n).to_numpy().astype(np.float64) for n in ("t", "o")], shared[0], shared[1][0])
+        ratios, ends = model.ratios(different)[inverse], np.cumsum([r.size for r in runs])
+        packed = [_packed(ratios[end - r.size : end]) for r, end in zip(runs, ends.tolist(), strict=True)]
+        return pa.table({"portion": met.column("portion"), "shard": met.column("shard"), "ratios": pa.array(packed, pa.binary())})
+
+    met = spelled.where("shard is not null").select("portion", "shard", "runs", "times")
+    counted = classes.withColumn("shard", _run_shard(shards))
+    return met.groupBy("shard").cogroup(counted.groupBy("shard")).applyInArrow(run, schema(("portion", "long"), ("shard", "long"), ("ratios", "binary")))
+
+
+def _feature(some: np.ndarray, scores: np.ndarray) -> tuple[float, float]:
+    """The mean log ratio per word, and that of the most toxic stretch of STRETCH words."""
+    if not some.size:
+        return 0.0, 0.0
+    total = np.concatenate([[0.0], np.cumsum(scores[some])])
+    width = min(STRETCH, some.size)
+    return float(total[-1] / some.size), float((total[width:] - total[:-width]).max() / STRETCH)
+
+
+def _features(spelled: DataFrame, weighed: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, mean, peak) of every text."""
+    kind = spelled.schema["ids"].dataType.elementType
+
+    def run(texts, weights):
+        import pyarrow as pa
 
-    return docs.select(key, "text").mapInArrow(run, schema((key, docs.schema[key].dataType), ("mean", "double"), ("peak", "double")))
+        pieces = texts.filter(texts.column("codes").is_valid())
+        scores = np.zeros(0)
+        if weights.num_rows:
+            words = next(w for w in texts.column("words").to_pylist() if w is not None)
+            different = _unpacked(words, np.uint8).tobytes().split(b" ")
+            keys, starts, _ = _runs(different)
+            keys, inverse = np.unique(keys, return_inverse=True)
+            ratios = np.empty(keys.size)
+            given = sorted(zip(weights.column("shard").to_pylist(), weights.column("ratios").to_pylist(), strict=True))
+            ratios[np.argsort(_shard_of(keys, shards), kind="stable")] = np.concatenate([_unpacked(r, np.float64) for _, r in given])
+            scores = np.add.reduceat(ratios[inverse], starts)
+        found = []
+        for sizes, codes in zip(pieces.column("sizes").to_pylist(), pieces.column("codes").to_pylist(), strict=True):
+            flat, ends = _unpacked(codes, np.uint32), np.cumsum(_unpacked(sizes, np.uint32), dtype=np.int64)
+            found += [_feature(some, scores) for some in np.split(flat, ends[:-1])]
+        ids = pa.chunked_array([c.flatten() for c in pieces.column("ids").chunks], type=pieces.schema.field("ids").type.value_type)
+        return pa.table({"doc_id": ids, "mean": pa.array([f[0] for f in found], pa.float64()), "peak": pa.array([f[1] for f in found], pa.float64())})
+
+    texts = spelled.where("shard is null").select("portion", "ids", "sizes", "codes", "words")
+    return texts.groupBy("portion").cogroup(weighed.groupBy("portion")).applyInArrow(run, schema(("doc_id", kind), ("mean", "double"), ("peak", "double")))
 
 
 def _curve(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,13 +330,7 @@ def _curve(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[np.ndarray,
     return centre, scale, w
 
 
-def _top(counts: DataFrame, rows: int):
-    """The most frequent runs: at most `rows` come to the driver, a parameter and not a matter of the corpus."""
-    kept = counts.orderBy(F.desc(F.col("t") + F.col("o")), "run").limit(rows).toPandas()
-    return kept["run"].to_numpy(np.int64).view(np.uint64), kept["t"].to_numpy(np.float64), kept["o"].to_numpy(np.float64)
-
-
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, portion_bytes: int = PORTION) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per input row.
 
     Folds are crc32(doc_id as text) mod 5. Fold 0 is held out, folds 1 to 3 are counted, fold 4 fits the curve.
@@ -207,15 +340,14 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     """
     counted, fitted = _sampled(labels, (1, 2, 3), sample), _sampled(labels, (4,), sample)
     # at most 2 x sample rows of two numbers, a bound by parameter: small enough to go to every task
-    learn = lambda some: docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    runs, toxic, ordinary = _top(_run_counts(learn(counted), ORDER, True), CLASS_ROWS)
-    shared = _top(_run_counts(docs, CLASS_FROM - 1, False), SHARED_ROWS)
-    model = Model(runs, toxic, ordinary, shared[0], shared[2])
-    known = _features(learn(fitted), model, "toxic").toPandas()  # at most 2 x sample rows
+    classes = staged(_run_counts(docs.select("doc_id", "text").join(F.broadcast(counted), "doc_id")), "class-runs")
+    shards = _shards(docs)
+    spelled = staged(_spelled(docs, shards, portion_bytes), "spelled")
+    found = staged(_features(spelled, _weighed(spelled, classes, shards), shards), "features")
+    known = found.join(F.broadcast(fitted), "doc_id").select("toxic", "mean", "peak").toPandas().sort_values(["toxic", "mean", "peak"])  # at most 2 x sample rows
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     held_out = F.coalesce(fold == 0, F.lit(False)).alias("held_out")
-    found = _features(docs.select("doc_id", "text"), model, "doc_id")
-    if known["toxic"].nunique() < 2 or not toxic.any():
+    if known["toxic"].nunique() < 2 or classes.where("t > 0").isEmpty():
         score = F.lit(0.0)
     else:
         centre, scale, w = _curve(known[["mean", "peak"]].to_numpy(np.float64), known["toxic"].to_numpy(np.float64))

@@ -326,6 +326,37 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(r.predicted == labels[r.doc_id][2] for r in held) / len(held) > 0.97
 
 
+def test_toxicity_counts_every_run(spark):
+    """More runs than any list of the most frequent ones would keep, against one model of all of them in memory."""
+    rng = random.Random(16)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(200)) + " zq" * (i % 2)) for i in range(600)]
+    frame, labels = (spark.createDataFrame(r, s) for r, s in ((rows, "doc_id long, text string"), ([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")))
+    fold, texts = [zlib.crc32(str(i).encode()) % 5 for i, _ in rows], [t.encode() for _, t in rows]
+
+    def counts(of):
+        words = toxicity.Words([texts[i] for i in of])
+        keys, _, lengths = words.runs()
+        return keys, np.repeat(np.bincount(np.concatenate(words.texts), minlength=len(words.different)), lengths)
+
+    (t, nt), (o, no) = (counts([i for i in range(600) if fold[i] in (1, 2, 3) and i % 2 == c]) for c in (1, 0))
+    runs, sums = toxicity._summed(np.concatenate([t, o]), np.concatenate([nt, 0 * no]), np.concatenate([0 * nt, no]))
+    assert runs.size > 1 << 18
+    keys, n = counts(range(600))
+    shared, (total,) = toxicity._summed(keys & np.uint64(0xFFFFFFFF), n)
+    model, features = toxicity.Model(runs, *sums, shared, total), []
+    for text in texts:
+        words = toxicity.Words([text])
+        keys, starts, _ = words.runs()
+        scores = np.add.reduceat(model.ratios(keys), starts)[words.texts[0]]
+        features.append((scores.mean(), max(scores[k : k + 32].sum() / 32 for k in range(len(scores) - 31))))
+    known, y = np.array([f for f, k in zip(features, fold) if k == 4]), np.array([i % 2 for i in range(600) if fold[i] == 4], float)
+    centre, scale, w = toxicity._curve(known, y)
+    expected = 1 / (1 + np.exp(-np.clip((np.array(features) - centre) / scale @ w[:2] + w[2], -30, 30)))
+    for settings in ({}, {"portion_bytes": 50_000}):
+        found = {r.doc_id: r.score for r in toxicity.scored(frame, labels, **settings).collect()}
+        assert np.allclose([found[i] for i in range(600)], expected, rtol=1e-6, atol=1e-9)
+
+
 def test_kneser_ney_sums_to_one():
     runs = np.array([int.from_bytes(bytes([1] * 5) + w[:2]) for w in (b"ab", b"ab", b"ac", b"bc")], np.uint64)
     keys, (counts,) = toxicity._summed(runs, np.ones(4))
