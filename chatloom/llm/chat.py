@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def examples(formatted: DataFrame, block: int = BLOCK) -> DataFrame:
     """(conv_id, turn, context_end, loss_start, loss_end, example_end): one row per assistant turn of `chunks`.
 
     Offsets are places in the conversation's stream; an example is the stream up to example_end. Turns are in the
-    order of turn (null first), then role and chunk, so repeated turns have a fixed order up to equal rows. Lengths are
+    order of turn (null first), then role and a hash of the chunk, so repeated turns have a fixed order. Lengths are
     summed block by block: a conversation of any length is never one window group.
     """
     sized = formatted.select("conv_id", "turn", "role", "loss_start", "loss_end", F.length("chunk").alias("long"), F.xxhash64("chunk").alias("tie"))
@@ -75,54 +76,69 @@ def rendered(formatted: DataFrame) -> DataFrame:
 
     The output is as large as the sum of all contexts, which grows with the square of a conversation's length.
     """
-    order = F.struct("turn", "role", "chunk")
+    order = F.struct("turn", "role", F.xxhash64("chunk").alias("tie"), "chunk")
     stream = formatted.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["chunk"]), "").alias("stream"))
     joined = examples(formatted).join(stream.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")))
     return joined.select("conv_id", "turn", F.substring("stream", F.lit(1), F.col("example_end")).alias("text"), "loss_start", "loss_end")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation, what its chunks hold when they are read again: counts and digests of turns and trainable text.
+    """Per conversation, counts and digests of its turns and of the trainable text of its `examples`.
 
-    A conversation's rows are sorted and streamed through one task, which holds one Arrow batch and the digests;
-    a digest of a sequence cannot be had otherwise. Conversations with a null conv_id are one.
+    Turns are read from the stream, trainable text from the loss spans of the examples, by their offsets in the stream; an
+    example whose context and reply do not end where turns do is an error. A conversation's rows are sorted and streamed
+    through one task, which holds one Arrow batch, the spans of one turn number and the digests; a digest of a sequence
+    cannot be had otherwise. Conversations with a null conv_id are one.
     """
     fields = [("conv_id", formatted.schema["conv_id"].dataType), ("n_turns", "long"), ("turns_sha256", "string"), ("loss_chars", "long"),
               ("loss_sha256", "string"), ("formatted_chars", "long"), ("n_examples", "long")]
+    offsets = ["context_end", "loss_start", "loss_end", "example_end"]
 
     def run(batches):
         import pyarrow as pa
 
-        kind, current, state = None, None, None
+        kind, current, state, spans = None, None, None, deque()
 
         def closed():
+            if spans:
+                raise ValueError(f"conversation {current}: no turn begins where the context of an example ends, at {spans[0][0]}")
             key, turns, loss, n, chars, long, targets = state
             return key, n, turns.hexdigest(), chars, loss.hexdigest(), long, targets
 
         for batch in batches:
             kind, done = batch.schema.field(0).type, []
-            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("conv_id", "chunk", "loss_start", "loss_end")]
-            for key, chunk, start, end in zip(*columns, strict=True):
+            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("conv_id", "chunk", *offsets)]
+            for key, chunk, *span in zip(*columns, strict=True):
                 if state is None or key != current:
                     if state is not None:
                         done.append(closed())
                     current, state = key, [key, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0]
+                if chunk is None:
+                    spans.append(span)
+                    continue
                 role, text = _CHUNK.fullmatch(chunk).groups()
-                role = unescaped(role)
-                state[1].update(f"{role}\n{unescaped(text)}\n".encode())
-                trained = unescaped(chunk[start:end])
-                state[2].update(trained.encode())
+                state[1].update(f"{unescaped(role)}\n{unescaped(text)}\n".encode())
+                begin, state[5] = state[5], state[5] + len(chunk)
+                if spans and spans[0][0] == begin:
+                    _, start, end, last = spans.popleft()
+                    if last != state[5]:
+                        raise ValueError(f"conversation {current}: the example at {begin} does not end with its reply")
+                    trained = unescaped(chunk[start - begin : end - begin])
+                    state[2].update(trained.encode())
+                    state[4] += len(trained)
+                    state[6] += 1
                 state[3] += 1
-                state[4] += len(trained)
-                state[5] += len(chunk)
-                state[6] += role == TARGET
             if done:
                 yield _rows(pa, done, kind, fields)
         if state is not None:
             yield _rows(pa, [closed()], kind, fields)
 
-    placed = formatted.select("conv_id", "turn", "role", "chunk", "loss_start", "loss_end").repartition("conv_id")
-    ordered = placed.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "chunk")
+    # the spans of a turn number come before its turns
+    turns = formatted.select("conv_id", "turn", F.lit(1).alias("part"), "role", F.xxhash64("chunk").alias("tie"), "chunk", *[F.lit(None).cast("long").alias(n) for n in offsets])
+    nothing = [F.lit(None).cast(turns.schema[n].dataType).alias(n) for n in ("role", "tie", "chunk")]
+    targets = examples(formatted).select("conv_id", "turn", F.lit(0).alias("part"), *nothing, *[F.col(n).cast("long") for n in offsets])
+    placed = turns.union(targets).repartition("conv_id")
+    ordered = placed.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "part", "context_end", "role", "tie", "chunk")
     return ordered.mapInArrow(run, schema(*fields))
 
 

@@ -1,7 +1,10 @@
 """Every operator and stage on nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables."""
 
+import hashlib
+
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chatloom.llm import chat, embedding, mixing, packing, pii, quality, secrets, simhash, substring, toxicity
@@ -83,3 +86,23 @@ def test_conversations(spark):
     assert {k: r.n_turns for k, r in back.items()} == {1: 3, None: 1, 2: 1, 3: 1}
     assert back[None].loss_chars == 1 and chat.examples(frame).count() == 2
     assert chat.read_back(frame.limit(0)).count() == 0 and chat.examples(frame.limit(0)).count() == 0
+
+
+def test_digests_come_from_examples(spark, monkeypatch):
+    """A long conversation over several blocks, repeated and null turns; what examples() leaves out is not trained."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"<|t{i}") for i in range(3000)]
+    rows += [(2, None, "assistant", "a\\n"), (2, 0, "assistant", "longer"), (2, 0, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "user", "d")]
+    frame = chat.chunks(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    back = {r.conv_id: r for r in chat.read_back(frame).collect()}
+    assert back[1].loss_sha256 == hashlib.sha256("".join(t for *_, role, t in rows[:3000] if role == "assistant").encode()).hexdigest()
+    assert (back[1].n_examples, back[2].n_examples, back[2].n_turns, back[2].loss_chars) == (1500, 3, 5, 10)
+    for r in chat.rendered(frame.where("conv_id = 2")).collect():
+        assert chat.unescaped(r.text[r.loss_start : r.loss_end]) in ("a\\n", "longer", "b")
+    examples = chat.examples
+    monkeypatch.setattr(chat, "examples", lambda formatted: examples(formatted).where("turn < 1501"))
+    less = {r.conv_id: r for r in chat.read_back(frame).collect()}
+    assert (less[1].n_examples, less[1].n_turns, less[2].n_examples) == (750, 3000, 2)
+    assert less[1].loss_sha256 != back[1].loss_sha256 and less[1].turns_sha256 == back[1].turns_sha256
+    monkeypatch.setattr(chat, "examples", lambda formatted: examples(formatted).withColumn("context_end", F.col("context_end") + 1))
+    with pytest.raises(Exception, match="no turn begins"):
+        chat.read_back(frame).collect()
