@@ -229,7 +229,7 @@ def sampled_fingerprints(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, same, bits, views): a digest of the text's words, its fingerprint and those of its samples."""
+    """(doc_id, same, bits, size, views): a digest of the text's words, its fingerprint, its shingles and its samples' fingerprints."""
     import hashlib
 
     def run(batches):
@@ -238,16 +238,18 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             texts = texts_of(batch)
             same = [hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() for t in texts]
-            views = [sampled_fingerprints(shingle_set(t, words)).tolist() for t in texts]
+            sets = [shingle_set(t, words) for t in texts]
+            views = [sampled_fingerprints(x).tolist() for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(same, pa.binary()), pa.array([fingerprint_bits(t, words) for t in texts], pa.int64()), pa.array(views, pa.list_(pa.int64()))],
-                ["doc_id", "same", "bits", "views"],
+                [batch.column(0), pa.array(same, pa.binary()), pa.array([fingerprint_bits(t, words) for t in texts], pa.int64()),
+                 pa.array([x.size for x in sets], pa.int64()), pa.array(views, pa.list_(pa.int64()))],
+                ["doc_id", "same", "bits", "size", "views"],
             )
 
     from pyspark.sql import types as T
 
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, schema(("doc_id", docs.schema["doc_id"].dataType), ("same", "binary"), ("bits", "long"), ("views", T.ArrayType(T.LongType()))))
+    return docs.mapInArrow(run, schema(("doc_id", docs.schema["doc_id"].dataType), ("same", "binary"), ("bits", "long"), ("size", "long"), ("views", T.ArrayType(T.LongType()))))
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -276,24 +278,35 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bi
 
     Fingerprints of whole texts differ in 10 of 64 bits on average at a similarity of 0.8, where no search within a few
     bits finds them. Candidates are therefore texts whose fingerprints are within max_bits, and texts with the same
-    fingerprint of one of VIEWS min-wise samples of their shingles; each goes with the least doc_id of its
-    group and is then compared in full. Texts with the same words are one text. Rows without doc_id are left out,
-    repeated doc_ids are one document. No rows give no rows.
+    fingerprint of one of VIEWS min-wise samples of their shingles. Each is compared in full, first with the least doc_id
+    of its group; then, in groups that this has not made one component, every two texts of different components are
+    compared, but for those whose numbers of shingles rule the similarity out. So only pairs that are in no group together
+    are missed. Texts with the same words are one text. Rows without doc_id are left out, repeated doc_ids are one
+    document. No rows give no rows.
     """
     rows = docs.where("doc_id is not null").select("doc_id", "text")
     sketches = staged(_sketches(rows, words), "sketches")
-    classes = staged(sketches.groupBy("same").agg(F.min("doc_id").alias("first"), F.min(F.struct("bits", "views")).alias("s")).select("same", "first", "s.*"), "texts")
-    prints = classes.groupBy("bits").agg(F.min("first").alias("least"))
-    links = near_links(prints.select("bits"), max_bits)
-    of = lambda name: prints.select(F.col("bits").alias(name), F.col("least").alias(f"{name}_id"))
-    near = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    equal = classes.join(prints, "bits").select(F.col("first").alias("a"), F.col("least").alias("b"))
-    views = classes.select("first", F.posexplode("views").alias("view", "bits"))
-    leaders = views.groupBy("view", "bits").agg(F.min("first").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    sampled = views.join(leaders, ["view", "bits"]).select(F.col("first").alias("a"), "b")
-    pairs = staged(near.union(equal).union(sampled).where("a <> b").distinct(), "candidates")
-    alike = staged(_alike(pairs, rows, words, similarity), "copies")
-    ids = component_ids(classes.select(F.col("first").alias("key"), F.col("first").alias("first")).distinct(), alike)
+    classes = staged(sketches.groupBy("same").agg(F.min("doc_id").alias("first"), F.min(F.struct("bits", "size", "views")).alias("s")).select("same", "first", "s.*"), "texts")
+    links = near_links(classes.select("bits").distinct(), max_bits)
+    roots = component_ids(classes.select(F.col("bits").alias("key"), F.col("bits").alias("first")).distinct(), links)
+    near = classes.join(roots.select(F.col("key").alias("bits"), F.col("component_id").alias("group")), "bits")
+    views = classes.select(F.posexplode("views").alias("view", "group"), "first", "bits", "size")
+    groups = near.select(F.lit(-1).alias("view"), "group", "first", "bits", "size").distinct().union(views.distinct())
+    leaders = groups.groupBy("view", "group").agg(F.min("first").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = staged(groups.join(leaders, ["view", "group"]), "groups")
+    led = staged(members.select(F.col("first").alias("a"), "b").where("a <> b").distinct(), "candidates")
+    alike = staged(_alike(led, rows, words, similarity), "copies")
+    nodes = classes.select(F.col("first").alias("key"), F.col("first").alias("first")).distinct()
+    ids = staged(component_ids(nodes, alike), "led")
+    known = members.join(ids.withColumnRenamed("key", "first"), "first")
+    split = known.groupBy("view", "group").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x <> y").select("view", "group")
+    open_ = staged(known.join(split, ["view", "group"]).select("view", "group", "first", "bits", "size", "component_id"), "open")
+    one, two = (open_.select("view", "group", *[F.col(c).alias(f"{c}_{end}") for c in ("first", "bits", "size", "component_id")]) for end in "ab")
+    together = (F.col("view") >= 0) | (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= max_bits)
+    possible = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
+    pairs = one.join(two, ["view", "group"]).where((F.col("first_a") > F.col("first_b")) & (F.col("component_id_a") != F.col("component_id_b")) & together & possible)
+    pairs = pairs.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
+    ids = component_ids(nodes, alike.union(_alike(staged(pairs, "pairs"), rows, words, similarity)))
     least = classes.select("same", F.col("first").alias("key")).join(ids, "key").select("same", "component_id")
     return sketches.join(least, "same").select("doc_id", "component_id")
 

@@ -240,6 +240,29 @@ def test_near_copies(spark, texts):
     assert missed == 0
 
 
+def test_near_copies_beside_their_leaders(spark):
+    """Families on one template just under 0.8: every pair in a group together is compared, whoever leads the group."""
+    rng, rows = random.Random(7), []
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template = [word() for _ in range(300)]
+    for i in range(60):
+        own = [word() for _ in range(38)]
+        rows.append((i, " ".join(template + own)))
+        if i >= 45:
+            rows.append((100 + i, " ".join(template + own[:3] + [word() for _ in range(35)])))
+    sets = {i: simhash.shingle_set(t.encode(), 5) for i, t in rows}
+    views = {i: simhash.sampled_fingerprints(x) for i, x in sets.items()}
+    bits = {i: simhash.fingerprint_bits(t.encode(), 5) for i, t in rows}
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = 0
+    for a, b in itertools.combinations(sets, 2):
+        common = np.intersect1d(sets[a], sets[b], assume_unique=True).size
+        if common >= 0.8 * (sets[a].size + sets[b].size - common) and ((views[a] == views[b]).any() or ((bits[a] ^ bits[b]) & (2**64 - 1)).bit_count() <= 3):
+            linked += 1
+            assert found[a] == found[b]
+    assert linked > 10 and len(set(found.values())) > 1
+
+
 def test_counts_against_python(texts):
     for text in [*texts.values(), "a b c d e f g h " * 3, "x\n\nx\n x\n"]:
         words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
