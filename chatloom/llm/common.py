@@ -41,3 +41,11 @@ def texts_of(batch, name: str = "text") -> list[bytes]:
 def split_hash(*columns, seed: int = 0):
     """A number from 0 to 2^31 - 1 that spreads rows evenly; null columns are allowed."""
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 31))
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes in DuckDB's SQL, which has no such function: the remainder bit by bit."""
+    digit = lambda at: f"instr('0123456789ABCDEF', substring(hex({text}), {at}, 1)) - 1"
+    codes = f"list_transform(range(1, strlen({text}) + 1), lambda i: 16 * ({digit('2 * i - 1')}) + {digit('2 * i')})"
+    byte = "list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce([4294967295] || {codes}, lambda c, b: {byte}), 4294967295)"

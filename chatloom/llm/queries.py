@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, embedding, mixing, packing, pii, quality, secrets, simhash, substring, toxicity
+from . import chat, embedding, factors, merkle, mixing, packing, pii, quality, secrets, simhash, spelling, substring, toxicity
 from .common import table
 
 
@@ -56,7 +56,21 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embeddings, op2_mixing, op3_packing, op4_secrets, op5_simhash, op6_pii, op7_quality, op8_chat, op9_substrings, op10_toxicity)}
+def op11_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_classifier(spark, sf_dir):
+    return factors.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_embeddings, op2_mixing, op3_packing, op4_secrets, op5_simhash, op6_pii, op7_quality, op8_chat, op9_substrings, op10_toxicity,
+    op11_manifest, op12_spelling, op13_classifier)}
 
 _OP1 = """
 WITH RECURSIVE v AS (
@@ -122,4 +136,4 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM d LEFT JOIN lost ON d.doc_id = lost.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""
 
-ORACLES = {"op1_embeddings": _OP1, "op4_secrets": _op4(), "op8_chat": _OP8, "op9_substrings": _OP9}
+ORACLES = {"op1_embeddings": _OP1, "op4_secrets": _op4(), "op8_chat": _OP8, "op9_substrings": _OP9, "op11_manifest": merkle.sql(), "op12_spelling": spelling.sql()}
