@@ -201,6 +201,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, shard_po
 
 #: Samples per text and shingles per sample: texts of similarity 0.8 share one of 20 samples of 5 with 99.96 % chance.
 VIEWS, VIEW_SHINGLES = 20, 5
+#: Numbers of 64 bits in the parity map of a set of shingles.
+MAP_LONGS = 8
 _ODD = (np.arange(1, VIEWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -266,21 +268,71 @@ def _alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) ->
             for one, two in zip(texts_of(batch, "left"), texts_of(batch, "right"), strict=True):
                 x, y = shingle_set(one, words), shingle_set(two, words)
                 common = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(common >= similarity * (x.size + y.size - common))
+                keep.append(common >= similarity * (x.size + y.size - common) - 1e-9)  # 12 of 15 is 0.8
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType
     return both.mapInArrow(run, schema(("a", kind), ("b", kind)))
 
 
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of shingles falls to place i: two maps differ in no more bits than their sets in shingles."""
+    odd = np.bincount((shingles % np.uint64(64 * MAP_LONGS)).astype(np.int64), minlength=64 * MAP_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _shingled(docs: DataFrame, words: int) -> DataFrame:
+    """(first, component_id, shingles, map) of `docs` (first, component_id, text)."""
+    from pyspark.sql import types as T
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in texts_of(batch)]
+            lists = [pa.array([f(x).view(np.int64).tolist() for x in sets], pa.list_(pa.int64())) for f in (np.asarray, parity_map)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["first", "component_id", "shingles", "map"])
+
+    docs = docs.select("first", "component_id", "text")
+    kinds = [(f.name, f.dataType) for f in docs.schema.fields[:2]]
+    return docs.mapInArrow(run, schema(*kinds, ("shingles", T.ArrayType(T.LongType())), ("map", T.ArrayType(T.LongType()))))
+
+
+def _rare_pairs(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b), a > b: pairs of `docs` (first, component_id, text) of different components that may reach the similarity.
+
+    Two sets of that similarity share one of the |x| - ceil(similarity |x|) + 1 shingles of either that come first in any
+    order common to all; here the rarest come first, so what many texts have in common is seldom a key. Under each key
+    only texts outside its largest component look for partners, and a pair is a row only if the parity maps of its sets
+    do not show that they differ in more shingles than the similarity allows.
+    """
+    sets = staged(_shingled(docs, words), "shingles")
+    single = sets.select(F.explode("shingles").alias("shingle"), "first")
+    often = single.groupBy("shingle").agg(F.count("*").alias("n"))
+    ranked = single.join(often, "shingle").groupBy("first").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("order"))
+    size = F.size("order")
+    rare = F.slice("order", F.lit(1), (size - F.ceil(F.lit(similarity) * size - F.lit(1e-9)) + 1).cast("int"))
+    keys = ranked.select("first", size.alias("size"), F.explode(F.filter(rare, lambda x: x["n"] > 1)).alias("key"))
+    keys = staged(keys.join(sets.select("first", "component_id", "map"), "first").select("first", "size", "component_id", "map", "key.shingle"), "rare-shingles")
+    largest = keys.groupBy("shingle", "component_id").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("component_id", F.struct("n", "component_id")).alias("largest"))
+    looking = keys.join(largest, "shingle").where("component_id <> largest")
+    one, two = (side.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("first", "size", "component_id", "map")]) for side, end in ((looking, "a"), (keys, "b")))
+    differ = sum((F.bit_count(F.get(F.col("map_a"), F.lit(i)).bitwiseXOR(F.get(F.col("map_b"), F.lit(i)))) for i in range(MAP_LONGS)), F.lit(0))
+    # sets of similarity s differ in at most (1 - s) / (1 + s) of the sum of their sizes
+    possible = (F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")) & (
+        differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) + 1e-6)
+    found = one.join(two, (one["shingle"] == two["shingle"]) & (F.col("component_id_a") != F.col("component_id_b")) & possible)
+    return found.select(F.greatest("first_a", "first_b").alias("a"), F.least("first_a", "first_b").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
     """(doc_id, component_id) of texts linked by shingle sets of at least the given similarity.
 
     Fingerprints of whole texts differ in 10 of 64 bits on average at a similarity of 0.8, where no search within a few
     bits finds them. Candidates are therefore texts whose fingerprints are within max_bits, and texts with the same
-    fingerprint of one of VIEWS min-wise samples of their shingles. Each is compared in full, first with the least doc_id
-    of its group; then, in groups that this has not made one component, every two texts of different components are
-    compared, but for those whose numbers of shingles rule the similarity out. So only pairs that are in no group together
+    fingerprint of one of VIEWS min-wise samples of their shingles. Each is compared in full with the least doc_id of its
+    group. The members of groups that this has not made one component go through an exact join on rare shingles, see
+    _rare_pairs, which compares every two of different components that can reach the similarity: the pairs of a group are not listed. So only pairs that are in no group together
     are missed. Texts with the same words are one text. Rows without doc_id are left out, repeated doc_ids are one
     document. No rows give no rows.
     """
@@ -290,23 +342,20 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bi
     links = near_links(classes.select("bits").distinct(), max_bits)
     roots = component_ids(classes.select(F.col("bits").alias("key"), F.col("bits").alias("first")).distinct(), links)
     near = classes.join(roots.select(F.col("key").alias("bits"), F.col("component_id").alias("group")), "bits")
-    views = classes.select(F.posexplode("views").alias("view", "group"), "first", "bits", "size")
-    groups = near.select(F.lit(-1).alias("view"), "group", "first", "bits", "size").distinct().union(views.distinct())
+    views = classes.select(F.posexplode("views").alias("view", "group"), "first", "size")
+    groups = near.select(F.lit(-1).alias("view"), "group", "first", "size").distinct().union(views.distinct())
     leaders = groups.groupBy("view", "group").agg(F.min("first").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = staged(groups.join(leaders, ["view", "group"]), "groups")
-    led = staged(members.select(F.col("first").alias("a"), "b").where("a <> b").distinct(), "candidates")
-    alike = staged(_alike(led, rows, words, similarity), "copies")
-    nodes = classes.select(F.col("first").alias("key"), F.col("first").alias("first")).distinct()
+    alike = staged(_alike(staged(members.select(F.col("first").alias("a"), "b").where("a <> b").distinct(), "candidates"), rows, words, similarity), "copies")
+    nodes = staged(classes.select(F.col("first").alias("key"), F.col("first").alias("first")).distinct(), "nodes")
     ids = staged(component_ids(nodes, alike), "led")
-    known = members.join(ids.withColumnRenamed("key", "first"), "first")
-    split = known.groupBy("view", "group").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x <> y").select("view", "group")
-    open_ = staged(known.join(split, ["view", "group"]).select("view", "group", "first", "bits", "size", "component_id"), "open")
-    one, two = (open_.select("view", "group", *[F.col(c).alias(f"{c}_{end}") for c in ("first", "bits", "size", "component_id")]) for end in "ab")
-    together = (F.col("view") >= 0) | (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= max_bits)
-    possible = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
-    pairs = one.join(two, ["view", "group"]).where((F.col("first_a") > F.col("first_b")) & (F.col("component_id_a") != F.col("component_id_b")) & together & possible)
-    pairs = pairs.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
-    ids = component_ids(nodes, alike.union(_alike(staged(pairs, "pairs"), rows, words, similarity)))
+    known = members.drop("b").join(ids.withColumnRenamed("key", "first"), "first")
+    split = known.groupBy("view", "group").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x <> y")
+    open_ = known.join(split.select("view", "group"), ["view", "group"], "left_semi")
+    open_ = staged(open_.select("first", "component_id").distinct(), "open")
+    texts = open_.join(rows.groupBy("doc_id").agg(F.min("text").alias("text")), open_["first"] == F.col("doc_id")).select("first", "component_id", "text")
+    pairs = staged(_rare_pairs(texts, words, similarity), "pairs")
+    ids = component_ids(nodes, alike.union(_alike(pairs, rows, words, similarity)))
     least = classes.select("same", F.col("first").alias("key")).join(ids, "key").select("same", "component_id")
     return sketches.join(least, "same").select("doc_id", "component_id")
 

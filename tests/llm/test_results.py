@@ -263,6 +263,36 @@ def test_near_copies_beside_their_leaders(spark):
     assert linked > 10 and len(set(found.values())) > 1
 
 
+def test_rare_pairs_are_exact(spark):
+    """Every pair of the similarity, and of other components, comes out of the join; a common template does not multiply its rows."""
+    rng, rows = random.Random(11), []
+    template = [f"t{i}" for i in range(60)]
+    for i in range(120):
+        words = template[:]
+        for at in rng.sample(range(60), rng.choice([0, 1, 1, 2, 3, 9])):
+            words[at] = f"x{rng.randrange(5)}"
+        rows.append((i, i % 3 if i % 4 else i, " ".join(words)))
+    rows += [(200, 200, "a b"), (201, 201, "a b c d e"), (202, 202, ""), (203, 203, None), (204, 204, "A B"), (205, 205, " ".join(f"y{i}" for i in range(19))), (206, 206, " ".join(f"y{i}" for i in range(16)))]
+    found = {(r.a, r.b) for r in simhash._rare_pairs(spark.createDataFrame(rows, "first long, component_id long, text string"), 5, 0.8).collect()}
+    sets = {i: (c, simhash.shingle_set((t or "").encode(), 5)) for i, c, t in rows}
+    alike = set()
+    for b, a in itertools.combinations(sorted(sets), 2):
+        (one, x), (two, y) = sets[a], sets[b]
+        common = np.intersect1d(x, y, assume_unique=True).size
+        if common and one != two and 5 * common >= 4 * (x.size + y.size - common):
+            alike.add((a, b))
+    assert alike <= found and len(alike) > 20 and (204, 200) in found and (206, 205) in found
+    assert len(found) < 2 * len(alike)
+
+
+@pytest.mark.parametrize("sizes", [(0, 0), (1, 3), (900, 1000)])
+def test_parity_maps_never_overstate(sizes):
+    rng = np.random.default_rng(5)
+    x, y = (np.unique(rng.integers(0, 1500, n).astype(np.uint64)) for n in sizes)
+    differ = sum(int(a ^ b).bit_count() for a, b in zip(simhash.parity_map(x).view(np.uint64).tolist(), simhash.parity_map(y).view(np.uint64).tolist(), strict=True))
+    assert differ <= np.setxor1d(x, y).size
+
+
 def test_counts_against_python(texts):
     for text in [*texts.values(), "a b c d e f g h " * 3, "x\n\nx\n x\n"]:
         words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
