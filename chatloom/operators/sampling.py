@@ -70,12 +70,15 @@ def seeded_sample(
     return seeded_shuffle(sample, id_col, seed) if ordered else sample
 
 
-def _numbered_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """Rows whose number in the seeded order is below ``n``. Later buckets are filtered out before the shuffle."""
+def sample_places(df: DataFrame, id_col: str, n: int, seed: int = SHUFFLE_SEED, name: str = "place") -> DataFrame:
+    """Rows whose 0-based number in the seeded order is below ``n``, with that number.
+
+    Later buckets are filtered out before the shuffle: about ``n`` rows and one bucket's are shuffled.
+    """
     key = seeded_key(seed, id_col)
     wanted = _bucket_offsets(df.select(key.alias("_key"))).where(F.col("_before") < n).drop("_n")
     keyed = df.withColumn("_key", key).withColumn("_bucket", _bucket(F.col("_key")))
-    return _number(keyed.join(F.broadcast(wanted), "_bucket"), id_col, "_number").where(F.col("_number") < n)
+    return _number(keyed.join(F.broadcast(wanted), "_bucket"), id_col, name).where(F.col(name) < n)
 
 
 def _number(keyed: DataFrame, id_col: str, name: str, by=()) -> DataFrame:
@@ -192,7 +195,7 @@ def batch_plan(
     if epochs == 1:
         # the hash of epoch 0
         first = rows.withColumn("_id", F.concat(F.lit("0:"), F.col(id_col).cast("string")))
-        planned = _numbered_sample(first, "_id", needed, seed).withColumn("epoch", F.lit(0).cast("bigint")).drop("_id")
+        planned = sample_places(first, "_id", needed, seed, "_number").withColumn("epoch", F.lit(0).cast("bigint")).drop("_id")
     else:
         planned = epoch_numbers(rows, id_col, epochs, seed, "_number")
     number = F.col("_number")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import chat, render
 from ..operators.records import to_messages
-from ..sources import datasets, prompts
-from ..sources.files import list_files
+from ..constants import SHUFFLE_SEED
+from ..sources import datasets, prompts, samples as sampling
+from ..sources.files import list_files, place, read_lines
 from ..sources.formats import classify_first, detect_formats, first_json_records
 from ..sources.sinks import as_json_lines, write_training_set
 from ..session import shared_path
@@ -236,6 +237,28 @@ def load_auto(spark, sf):
     return pair(datasets.load_dataset(spark, path))
 
 
+SAMPLED, PARTS = 100, 16
+
+
+@query(f"""
+    WITH r AS (SELECT text, lang, 'part=' || doc_id % {PARTS} || '#' || (row_number() OVER (PARTITION BY doc_id % {PARTS} ORDER BY doc_id) - 1) AS id FROM documents),
+    o AS (SELECT *, row_number() OVER (ORDER BY md5('{SHUFFLE_SEED}:' || id), id) - 1 AS place FROM r)
+    SELECT place, {sql_strip('text')} AS question, {sql_strip('lang')} AS answer FROM o WHERE place < {SAMPLED}
+""")
+def load_sample_places(spark, sf):
+    """A seeded sample of JSON line files, settled on ids, with each record's place in the shuffled order."""
+    documents = table(spark, sf, "documents").withColumn("part", F.col("doc_id") % PARTS)
+    value = F.to_json(F.struct(F.col("text").alias("question"), F.col("lang").alias("answer")))
+    path = shared_path(spark, "load-sample")
+    ordered = documents.repartition(PARTS, "part").sortWithinPartitions("part", "doc_id")
+    ordered.select("part", F.concat(value, F.lit("\n")).alias("value")).write.partitionBy("part").text(path)
+    records = place(read_lines(spark, f"{path}/*")).where("value <> ''")
+    # files are named by their folders: the names of the files below differ from run to run
+    records = records.withColumn("path", F.regexp_extract("path", "part=[0-9]+", 0))
+    found = to_messages(sampling.sampled_records(records, SAMPLED), "jsonl")
+    return pair(found, "place")
+
+
 @query(f"SELECT {sql_strip('text')} AS question, {sql_strip('lang')} AS answer FROM documents")
 def load_csv_folder(spark, sf):
     """The load entry point on a folder of CSV files."""

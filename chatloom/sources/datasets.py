@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..constants import MESSAGES_TYPE, SHUFFLE_SEED
 from ..functions.text import strip
 from ..operators.records import text_messages, to_messages
-from ..operators.sampling import limit_samples, seeded_sample
+from ..operators.sampling import limit_samples, seeded_shuffle
 from ..session import prepare
 from .arrays import read_json_array
 from .csvfiles import read_csv_messages
-from .files import WHOLE_FILE_BYTES, list_files, place, read_lines, sample_id
+from .files import WHOLE_FILE_BYTES, list_files, place, read_lines
 from .formats import detect_container, detect_format, json_containers
+from .samples import sampled_records, with_sample_id
 from .textfiles import read_paragraphs, read_text_files
 
 
@@ -29,13 +30,19 @@ def read_json_records(
 
 def read_mixed_records(spark: SparkSession, path, glob=None, whole_file_bytes=WHOLE_FILE_BYTES) -> DataFrame:
     """``path, pos, value`` of JSON files each of which holds an array or lines."""
+    return _mixed_records(spark, path, glob, whole_file_bytes)[0]
+
+
+def _mixed_records(spark, path, glob, whole_file_bytes) -> tuple[DataFrame, bool]:
+    """The records, and whether they come straight from a line scan."""
     kinds = json_containers(spark, path, glob)
     found = {row["container"] for row in kinds.select("container").distinct().collect()}
     if found == {"array", "lines"}:
         arrays = read_json_array(spark, path, glob, whole_file_bytes=whole_file_bytes, skip_others=True)
         lines = read_json_records(spark, path, "lines", glob)
-        return arrays.unionByName(lines.join(kinds.where("container = 'lines'"), "path", "left_semi"))
-    return read_json_records(spark, path, "array" if found == {"array"} else "lines", glob, whole_file_bytes=whole_file_bytes)
+        return arrays.unionByName(lines.join(kinds.where("container = 'lines'"), "path", "left_semi")), False
+    container = "array" if found == {"array"} else "lines"
+    return read_json_records(spark, path, container, glob, whole_file_bytes=whole_file_bytes), container == "lines"
 
 
 def read_sharegpt(spark, path, container="array", glob=None, on_bad="fail", **options) -> DataFrame:
@@ -96,23 +103,28 @@ def load_dataset(
 
     The shuffle is a seeded permutation that depends on the data only, not on
     partitions. ``max_samples`` keeps the first rows after it; None and 0 keep all.
+    A shuffled sample is settled on ids: only its own records are parsed, so a bad
+    record outside it does not fail the load.
     """
     prepare(spark)
     is_dir = _is_directory(spark, path)
     container, fmt = detect_format(spark, path) if format == "auto" else (None, format)
     glob = _directory_glob(spark, path, fmt) if is_dir and fmt != "text" else None
+    scanned, parsed = False, lambda records: records
     if fmt == "csv":
-        samples = read_csv(spark, path, glob, whole_file_bytes=whole_file_bytes)
+        records = read_csv(spark, path, glob, whole_file_bytes=whole_file_bytes)
     elif fmt == "text":
         options = {} if is_dir else {"whole_file_bytes": whole_file_bytes}
-        samples = read_text(spark, path, directory=is_dir, **options)
+        records, scanned = read_text(spark, path, directory=is_dir, **options), is_dir
     else:
         if is_dir:
-            records = read_mixed_records(spark, path, glob, whole_file_bytes)
+            records, scanned = _mixed_records(spark, path, glob, whole_file_bytes)
         else:
             container = container or detect_container(spark, path)
-            records = read_json_records(spark, path, container, whole_file_bytes=whole_file_bytes)
-        samples = to_messages(records, fmt, on_bad=on_bad)
-    if shuffle:
-        return seeded_sample(sample_id(samples), "sample_id", max_samples, seed).drop("sample_id")
-    return limit_samples(samples, max_samples, "path", "pos")
+            records, scanned = read_json_records(spark, path, container, whole_file_bytes=whole_file_bytes), container == "lines"
+        parsed = lambda records: to_messages(records, fmt, on_bad=on_bad)
+    if not shuffle:
+        return parsed(limit_samples(records, max_samples, "path", "pos"))
+    if max_samples:
+        return parsed(sampled_records(records, max_samples, seed, scanned)).drop("place")
+    return seeded_shuffle(parsed(with_sample_id(records, scanned)), "sample_id", seed).drop("sample_id")

@@ -92,14 +92,25 @@ def stream_prompts(spark, path, template: ChatTemplate = CHATML, **options) -> D
     return prompts.withColumn("text", single_prompt(F.col("prompt"), template))
 
 
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
-    """Process everything available into a parquet table and read it back."""
+    """Process everything available into a parquet table and read it back.
+
+    Batches without data are left out: a stream with timers would ask for one after the other without end.
+    """
     spark = stream.sparkSession
     checkpoint = checkpoint or shared_path(spark, "stream-state")
-    query = (
-        stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start(path)
-    )
+    before = spark.conf.get(_EMPTY_BATCHES)
+    spark.conf.set(_EMPTY_BATCHES, "false")  # a query keeps the settings it starts with
+    try:
+        query = (
+            stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start(path)
+        )
+    finally:
+        spark.conf.set(_EMPTY_BATCHES, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,24 @@ def test_clear_system_and_late(chat_stream):
     assert rows[1, 8] == (shown("user", "c") + END, False)
 
 
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    source, state, out = (str(tmp_path / n) for n in ("in", "state", "out"))
+
+    def push(idle_ms, *events):
+        spark.createDataFrame(list(events), SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        return {(r["conv_id"], r["turn"]): (r["prompt"], r["late"]) for r in drain(stream_chat(stream, idle_ms=idle_ms), out, state).collect()}
+
+    push(1, (1, 5, "user", "a"), (2, 5, "user", "x"))
+    time.sleep(0.1)
+    push(3_600_000, (3, 0, "user", "other"))  # a batch in which the timers of both sessions fire
+    push(3_600_000, (1, 2, "user", "b"), (2, 6, "clear", None))
+    rows = push(3_600_000, (1, 3, "assistant", None), (1, 4, "user", "c"), (3, 1, "user", "more"))
+    assert rows[1, 2] == (shown("user", "b") + END, False)  # neither late nor with the history of turn 5
+    assert rows[1, 4] == (shown("user", "b") + shown("assistant", "") + shown("user", "c") + END, False)
+    assert rows[3, 1] == (shown("user", "other") + shown("user", "more") + END, False)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}/{t}") for c in range(5) for t in range(200)]
     turns = spark.createDataFrame(rows, SCHEMA)
