@@ -26,7 +26,7 @@ SAMPLE, FOLDS, HELD_OUT = 8_000, 5, 0
 CUTOFF = 0.3
 BUCKETS, BINS, RANK = 4096, 12, 8
 EPOCHS, BATCH, RATE, RIDGE, SEED = 12, 128, 0.02, 2e-4, 13
-_MARKS = {"symbols": b"#*$%&|<>", "other_marks": b"!?~^_=+@/\;:()[]{}", "capitals": bytes(range(65, 91)), "digits": b"0123456789", "stops": b".,"}
+_MARKS = {"symbols": b"#*$%&|<>", "other_marks": b"!?~^_=+@/;:()[]{}", "capitals": bytes(range(65, 91)), "digits": b"0123456789", "stops": b".,"}
 STATISTICS = ("words", "bytes_a_word", *_MARKS, "beyond_ascii", "different_words", "different_pairs", "most_common", "repeated_lines", "words_a_line", "short_words", "n_chars", "n_chars_off")
 
 
