@@ -8,8 +8,9 @@ from ..functions import strip
 from ..operators import catalog
 from ..operators.sampling import row_places
 from ..session import shared_path
-from ..sources import trees
+from ..sources import datasets, trees
 from ..sources.formats import choose_files
+from . import staging
 from .records import mixed_json
 from .registry import query, sql_size, sql_strip, table
 
@@ -385,3 +386,27 @@ def dataset_catalog_files(spark, sf):
     return found.groupBy(folder.alias("folder")).agg(
         F.sum("sample_count").alias("sample_count"), F.max("valid").alias("any_valid")
     )
+
+
+@query(f"""
+    SELECT 'catalog' AS origin, '_x' AS name, count(*) AS rows, true AS valid, '' AS errors FROM documents WHERE lang = 'fr'
+    UNION ALL SELECT 'catalog', 'empty', 0, false, 'empty_file'
+    UNION ALL SELECT 'catalog', 'shown', count(*), true, '' FROM documents WHERE lang <> 'fr'
+    UNION ALL SELECT 'load', '_x', count(*), true, '' FROM documents WHERE lang = 'fr'
+    UNION ALL SELECT 'load', 'shown', count(*), true, '' FROM documents WHERE lang <> 'fr'
+""")
+def hidden_names(spark, sf):
+    """A folder with a file that Spark hides and an empty one: its catalogue, and the records that a load takes from each."""
+    documents = table(spark, sf, "documents")
+    value = F.to_json(F.struct(F.col("text").alias("question"), F.col("lang").alias("answer")))
+    root = shared_path(spark, "hidden-names")
+    french = F.col("lang") == "fr"
+    staging.stage_files(documents.where(french).select(value.alias("value")), root, "_x-{}.jsonl")
+    staging.stage_files(documents.where(~french).select(value.alias("value")), root, "shown-{}.jsonl")
+    staging.stage_files(spark.range(0, 1, 1, 1).select(F.lit(None).cast("string").alias("value")), root, "empty-{}.jsonl")
+    name = F.regexp_extract("path", "/([^/-]*)[^/]*$", 1).alias("name")
+    listed = trees.scan_datasets(spark, root).groupBy(name).agg(
+        F.sum("sample_count").alias("rows"), F.min("valid").alias("valid"), F.max(F.array_join("errors", ",")).alias("errors"))
+    loaded = datasets.load_dataset(spark, root, "jsonl").groupBy(name).agg(F.count("*").alias("rows"))
+    listed = listed.select(F.lit("catalog").alias("origin"), "name", "rows", "valid", "errors")
+    return listed.unionByName(loaded.select(F.lit("load").alias("origin"), "name", "rows", F.lit(True).alias("valid"), F.lit("").alias("errors")))

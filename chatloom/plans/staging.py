@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import shared_path, stored
+from ..sources.folders import opened
 
 
 def stage_lines(df: DataFrame, label: str) -> str:
@@ -65,3 +66,20 @@ def stage_text_files(df: DataFrame, key: str, label: str) -> str:
 def path_key(path, key: str):
     """Value of the key in a path written by ``stage_text_files``."""
     return F.regexp_extract(path, rf"/{key}=([^/]+)/", 1).cast("bigint")
+
+
+def stage_files(df: DataFrame, folder: str, name: str) -> None:
+    """A file per partition, `name` with the partition's number in it: a line per row whose ``value`` is not null."""
+
+    def write(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        system, place, _ = opened(f"{folder}/{name.format(TaskContext.get().partitionId())}")
+        system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(place) as out:
+            for batch in batches:
+                out.write("".join(f"{v}\n" for v in batch.column(0).drop_null().to_pylist()).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([place])], ["path"])
+
+    stored(df.select("value").mapInArrow(write, "path string"), "written")

@@ -13,6 +13,7 @@ from ..session import prepare
 from .arrays import read_json_array
 from .csvfiles import read_csv_messages
 from .files import WHOLE_FILE_BYTES, list_files, place, read_lines
+from .folders import shown_files
 from .formats import detect_container, detect_format, json_containers
 from .samples import sampled_records, with_sample_id
 from .textfiles import read_paragraphs, read_text_files
@@ -103,11 +104,15 @@ def load_dataset(
 
     The shuffle is a seeded permutation that depends on the data only, not on
     partitions. ``max_samples`` keeps the first rows after it; None and 0 keep all.
-    A shuffled sample is settled on ids: only its own records are parsed, so a bad
+    Files whose names start with ``_`` are loaded too. A shuffled sample is settled on ids: only its own records are parsed, so a bad
     record outside it does not fail the load.
     """
     prepare(spark)
-    is_dir = _is_directory(spark, path)
+    shown = shown_files(spark, path)
+    is_dir = shown.copies is not None or _is_directory(spark, path)
+    if is_dir and shown.copies is not None and list_files(spark, path, recursive=False).isEmpty():
+        shown.paths = shown.copies  # every file of the folder is hidden
+    path = shown.paths
     container, fmt = detect_format(spark, path) if format == "auto" else (None, format)
     glob = _directory_glob(spark, path, fmt) if is_dir and fmt != "text" else None
     scanned, parsed = False, lambda records: records
@@ -123,6 +128,7 @@ def load_dataset(
             container = container or detect_container(spark, path)
             records, scanned = read_json_records(spark, path, container, whole_file_bytes=whole_file_bytes), container == "lines"
         parsed = lambda records: to_messages(records, fmt, on_bad=on_bad)
+    records = shown.restored(records)
     if not shuffle:
         return parsed(limit_samples(records, max_samples, "path", "pos"))
     if max_samples:

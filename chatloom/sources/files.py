@@ -45,19 +45,6 @@ def list_files(spark: SparkSession, path, glob: str | None = None, recursive: bo
     return files.select(file_path().alias("path"), F.col("_metadata.file_size").alias("length"))
 
 
-def list_all_files(spark: SparkSession, path, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """``path, length`` like ``list_files``, with zero-length files, which Spark's scans leave out.
-
-    Their names come from the file index that the driver holds for the scan anyway.
-    """
-    listed = list_files(spark, path, glob, recursive)
-    names = spark.createDataFrame([(n,) for n in listed.inputFiles()], "path string")
-    # the index and the scan may spell the scheme differently
-    names = names.withColumn("path", F.regexp_replace(readable(F.col("path")), "^file:/+", "file:/"))
-    empty = names.join(listed, "path", "left_anti").withColumn("length", F.lit(0).cast("bigint"))
-    return listed.unionByName(empty)
-
-
 def has_larger_files(spark, path, limit: int, glob=None, recursive=False) -> bool:
     return not list_files(spark, path, glob, recursive).where(F.col("length") > limit).isEmpty()
 

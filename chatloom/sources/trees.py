@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 
 from ..constants import ADAPTER_CONFIG, MODEL_CONFIG
 from ..functions.jsontext import parse_record
-from ..functions.paths import directory, relative_name, suffix
+from ..functions.paths import directory, file_name, relative_name, suffix
 from ..functions.text import strip
 from ..operators import catalog as c
 from .arrays import read_large_json_array
 from .csvfiles import read_headers, read_rows
-from .files import (
-    WHOLE_FILE_BYTES, has_larger_files, list_all_files, list_files, place, read_lines, read_whole,
-)
+from .files import WHOLE_FILE_BYTES, has_larger_files, list_files, place, read_lines, read_whole
+from .folders import ShownFiles, hidden_from_spark, list_tree
 from .textfiles import read_paragraphs, unix_lines
 
 PREVIEW_CHARS = 201
@@ -28,26 +27,29 @@ def _glob(extension: str) -> str:
 
 def scan_datasets(spark: SparkSession, root: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """Catalogue of the dataset files below a folder, each with its verdict."""
-    listing = c.dataset_listing(list_all_files(spark, root), root)
+    # a file lies at most two folders deep; folders that links lead to are listed there as well
+    listing = c.dataset_listing(list_tree(spark, root, 3, once=False), root)
+    shown = ShownFiles(spark, root, listing.where(hidden_from_spark(F.col("name"))))
 
     def kept(df: DataFrame) -> DataFrame:
+        df = shown.restored(df)
         return df.where(c.is_dataset_file(relative_name(F.col("path"), root)))
 
     kinds = {row["kind"] for row in listing.select(suffix(F.col("path")).alias("kind")).distinct().collect()}
     verdicts = []
     if "jsonl" in kinds:
-        lines = kept(place(read_lines(spark, root, _glob("jsonl"), True)))
+        lines = kept(place(read_lines(spark, shown.paths, _glob("jsonl"), True)))
         lines = lines.withColumn("value", strip(F.col("value"))).where(F.col("value") != "")
         verdicts.append(c.line_verdicts(lines))
     if "json" in kinds:
-        verdicts.append(c.array_verdicts(kept(json_file_facts(spark, root, _glob("json"), whole_file_bytes))))
+        verdicts.append(c.array_verdicts(kept(json_file_facts(spark, shown.paths, _glob("json"), whole_file_bytes))))
     if "csv" in kinds:
-        headers = kept(read_headers(spark, root, _glob("csv"), True))
-        rows = kept(read_rows(spark, root, _glob("csv"), True, whole_file_bytes))
+        headers = kept(read_headers(spark, shown.paths, _glob("csv"), True))
+        rows = kept(read_rows(spark, shown.paths, _glob("csv"), True, whole_file_bytes))
         verdicts.append(c.csv_verdicts(headers, rows))
     if "txt" in kinds:
-        paragraphs = kept(read_paragraphs(spark, root, _glob("txt"), True, whole_file_bytes))
-        previews = kept(text_previews(spark, root, _glob("txt"), whole_file_bytes))
+        paragraphs = kept(read_paragraphs(spark, shown.paths, _glob("txt"), True, whole_file_bytes))
+        previews = kept(text_previews(spark, shown.paths, _glob("txt"), whole_file_bytes))
         verdicts.append(c.text_verdicts(paragraphs, previews))
     if not verdicts:
         none = spark.createDataFrame([], "path string, pos bigint, value string")
@@ -104,21 +106,24 @@ def text_previews(spark, root, glob, whole_file_bytes) -> DataFrame:
     return previews
 
 
-def _config_texts(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """``dir, value`` of the configuration files below a folder."""
-    texts = read_whole(spark, root, name, True)
-    return texts.select(directory(F.col("path")).alias("dir"), "value")
+def _config_texts(spark: SparkSession, root: str, name: str, files: DataFrame) -> DataFrame:
+    """``dir, value`` of the configuration files below a folder, those in folders that Spark hides included."""
+    below = files.where(file_name(F.col("path")) == name).select("path", relative_name(F.col("path"), root).alias("name"))
+    shown = ShownFiles(spark, root, below.where(hidden_from_spark(F.col("name"))))
+    texts = shown.restored(read_whole(spark, shown.paths, f"*{name}", True))
+    return texts.where(file_name(F.col("path")) == name).select(directory(F.col("path")).alias("dir"), "value")
 
 
 def scan_models(spark: SparkSession, root: str, max_depth: int = 3, list_all: bool = True) -> DataFrame:
-    """Catalogue of the model folders below a folder."""
-    configs = _config_texts(spark, root, MODEL_CONFIG)
-    return c.model_catalog(list_all_files(spark, root), configs, root, max_depth, list_all)
+    """Catalogue of the model folders below a folder; one that several links lead to is listed once."""
+    files = list_tree(spark, root, max_depth + 2)
+    return c.model_catalog(files, _config_texts(spark, root, MODEL_CONFIG, files), root, max_depth, list_all)
 
 
 def scan_adapters(spark: SparkSession, root: str, details: bool = True) -> DataFrame:
     """Catalogue of the adapters directly below a folder."""
-    found = c.adapter_catalog(list_all_files(spark, root), _config_texts(spark, root, ADAPTER_CONFIG), root)
+    files = list_tree(spark, root)
+    found = c.adapter_catalog(files, _config_texts(spark, root, ADAPTER_CONFIG, files), root)
     return found if details else found.select("name", "path")
 
 
