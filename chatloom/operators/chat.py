@@ -1,10 +1,8 @@
 """Chat histories as rows (conversation, turn, role, text).
 
-A conversation of any length is worked on in blocks of turns: turns are
-rendered and joined per block first, and blocks are put together afterwards.
-The largest thing a task holds is one result cell and one block. Where every
-conversation fits one block (checked on the turn column alone), the second step
-and its shuffle are left out.
+Texts and message lists are folded along the turns of a conversation in order, with a running state, so a task holds one
+result cell and not the rows of a conversation. Prompts repeat the history before them: the turns of a long
+conversation are therefore dealt in blocks, and each block starts from the text of all earlier ones.
 """
 
 from __future__ import annotations
@@ -14,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
+from .folds import ordered_fold
 from .records import message
 from .render import CHATML, ChatTemplate, is_rendered, segment
 
@@ -24,29 +23,88 @@ def _block(turn: str, size: int) -> Column:
     return F.floor(F.col(turn) / size).cast("bigint")
 
 
-def fits_one_block(df: DataFrame, turn: str, size: int) -> bool:
-    """True when every conversation lies in its first block. Reads the turn column only."""
-    bounds = df.agg(F.min(turn).alias("low"), F.max(turn).alias("high")).first()
-    return bounds["high"] is None or (bounds["low"] >= 0 and bounds["high"] < size)
-
-
 def _in_order(*fields: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(*fields)))
 
 
+class _Joined:
+    """Texts in order as one, with the number of messages and of those left out."""
+
+    def __init__(self, start: str = ""):
+        self.parts, self.n, self.dropped = [start], 0, 0
+
+    def take(self, _, text, n, dropped):
+        self.parts.append(text or "")
+        self.n, self.dropped = self.n + n, self.dropped + dropped
+        return ()
+
+    def end(self):
+        yield self.n, self.dropped, "".join(self.parts)
+
+
+class _Listed:
+    """Messages in order as one list."""
+
+    def __init__(self):
+        self.messages = []
+
+    def take(self, _, role, content):
+        self.messages.append({"role": role, "content": content})
+        return ()
+
+    def end(self):
+        yield (self.messages,)
+
+
+class _Before:
+    """For every text but the first, all texts before it as one."""
+
+    def __init__(self):
+        self.before, self.begun = "", False
+
+    def take(self, block, _n, _dropped, text):
+        if self.begun:
+            yield block, self.before
+        self.before, self.begun = self.before + text, True
+
+    def end(self):
+        return ()
+
+
+class _Prompts:
+    """A prompt per user turn: what was taken up to it, between the template's start and its generation mark."""
+
+    def __init__(self, template: ChatTemplate):
+        self.parts, self.generation = [template.start], template.generation
+
+    def take(self, _late, turn, role, text):
+        self.parts.append(text or "")
+        if role == "user":
+            # earlier turns are joined once, not again for every prompt
+            self.parts = ["".join(self.parts)]
+            yield turn, self.parts[0] + self.generation
+
+    def end(self):
+        return ()
+
+
+_JOINED = "n_messages bigint, n_dropped bigint, text string"
+
+
 def fold_text(
     df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-    template: ChatTemplate = CHATML, block_turns: int = BLOCK_TURNS,
+    template: ChatTemplate = CHATML, block_turns: int | None = None,
 ) -> DataFrame:
-    """``conv, n_messages, n_dropped, text``: training text of every conversation."""
-    if fits_one_block(df, turn, block_turns):
-        whole = _joined_segments(_segments(df, conv, turn, role, text, template), conv)
-        return whole.withColumn("text", F.concat(F.lit(template.start), "text")) if template.start else whole
-    parts = fold_text_parts(df, conv, turn, role, text, template, block_turns)
-    whole = F.array_join(F.transform(_in_order("part", "text"), lambda p: p["text"]), "")
-    return parts.groupBy(conv).agg(
-        F.sum("n_messages").alias("n_messages"), F.sum("n_dropped").alias("n_dropped"), whole.alias("text")
-    )
+    """``conv, n_messages, n_dropped, text``: training text of every conversation.
+
+    With ``block_turns`` the turns of a conversation are joined in blocks first, in as many tasks.
+    """
+    turns = _segments(df, conv, turn, role, text, template)
+    if block_turns:
+        parts = _parts(turns, conv, block_turns)
+        turns = parts.select(conv, F.col("part").alias("_turn"), F.col("text").alias("_text"), "n_messages", "n_dropped")
+    start = template.start
+    return ordered_fold(turns, [conv], ["_turn", "_text"], lambda: _Joined(start), _JOINED)
 
 
 def fold_text_parts(
@@ -59,7 +117,7 @@ def fold_text_parts(
     conversation may outgrow one cell.
     """
     turns = _segments(df, conv, turn, role, text, template)
-    parts = _joined_segments(turns.withColumn("part", _block("_turn", block_turns)), conv, "part")
+    parts = _parts(turns, conv, block_turns)
     if not template.start:
         return parts
     # the template's start opens the first part of every conversation
@@ -71,39 +129,24 @@ def fold_text_parts(
 
 
 def _segments(df, conv, turn, role, text, template) -> DataFrame:
+    """``conv, _turn, _text, _n, _dropped`` of every turn."""
     return df.select(
-        conv, F.col(turn).alias("_turn"),
-        segment(F.col(role), F.col(text), template).alias("_text"),
-        is_rendered(F.col(role), template).alias("_kept"),
+        conv, F.col(turn).alias("_turn"), segment(F.col(role), F.col(text), template).alias("_text"), F.lit(1).alias("_n"),
+        F.when(is_rendered(F.col(role), template), 0).otherwise(1).alias("_dropped"),
     )
 
 
-def _joined_segments(turns: DataFrame, *keys: str) -> DataFrame:
-    joined = F.array_join(F.transform(_in_order("_turn", "_text"), lambda t: t["_text"]), "")
-    return turns.groupBy(*keys).agg(
-        F.count("*").alias("n_messages"), F.count_if(~F.col("_kept")).alias("n_dropped"), joined.alias("text")
-    )
+def _parts(turns: DataFrame, conv: str, block_turns: int) -> DataFrame:
+    parted = turns.withColumn("part", _block("_turn", block_turns))
+    return ordered_fold(parted, [conv, "part"], ["_turn", "_text"], _Joined, _JOINED)
 
 
 def fold_messages(
     df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-    block_turns: int = BLOCK_TURNS,
 ) -> DataFrame:
     """``conv, messages``: turns as one message list."""
-    turns = df.select(
-        conv, _block(turn, block_turns).alias("_part"), F.col(turn).alias("_turn"),
-        F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("content"),
-    )
-    messages = F.transform(
-        _in_order("_turn", "role", "content"),
-        lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")),
-    )
-    if fits_one_block(df, turn, block_turns):
-        return turns.groupBy(conv).agg(messages.alias("messages"))
-    parts = turns.groupBy(conv, "_part").agg(messages.alias("_messages"))
-    return parts.groupBy(conv).agg(
-        F.flatten(F.transform(_in_order("_part", "_messages"), lambda p: p["_messages"])).alias("messages")
-    )
+    turns = df.select(conv, F.col(turn).alias("_turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("content"))
+    return ordered_fold(turns, [conv], ["_turn", "role", "content"], _Listed, "messages array<struct<role: string, content: string>>")
 
 
 def turn_prompts(
@@ -112,40 +155,25 @@ def turn_prompts(
 ) -> DataFrame:
     """``conv, turn, prompt``: for each user turn the whole history up to it and the generation mark.
 
-    Inside a block the history is a running list. Longer conversations get the
-    text of their earlier blocks joined in, one copy per block, so the turns of
-    one long conversation are spread over its blocks.
+    Conversations of several blocks of turns are folded block by block: the blocks' texts are joined, a running text gives
+    every block what came before it, and that is its first row when its prompts are made.
     """
     turns = df.select(
-        conv, F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit(template.default_role)).alias("_role"),
-        _block(turn, block_turns).alias("_block"),
-        segment(F.col(role), F.col(text), template).alias("_text"),
-    )
-    short = fits_one_block(df, turn, block_turns)
-    if not short:
-        # prompts are far larger than the turns: a fixed number of partitions keeps
-        # adaptive execution from merging blocks by the size of the turns
-        count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        turns = turns.repartition(count, conv, "_block")
-    running = W.partitionBy(conv, "_block").orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)
-    recent = F.array_join(F.collect_list("_text").over(running), "")
-    prompts = turns.withColumn("_recent", recent).where(F.col("_role") == "user").drop("_text", "_role")
-    if short:
-        return prompts.select(conv, "turn", F.concat(F.lit(template.start), "_recent", F.lit(template.generation)).alias("prompt"))
-
-    ordered = F.array_join(F.transform(_in_order("turn", "_text"), lambda t: t["_text"]), "")
-    blocks = turns.groupBy(conv, "_block").agg(ordered.alias("_text"))
-    lists = blocks.groupBy(conv).agg(_in_order("_block", "_text").alias("_all")).where(F.size("_all") > 1)
-    earlier = lists.select(conv, "_all", F.explode(F.sequence(F.lit(2), F.size("_all"))).alias("_n"))
-    earlier = earlier.select(
-        conv, F.element_at("_all", F.col("_n"))["_block"].alias("_block"),
-        F.array_join(
-            F.transform(F.slice("_all", F.lit(1), F.col("_n") - 1), lambda b: b["_text"]), ""
-        ).alias("_earlier"),
+        conv, _block(turn, block_turns).alias("_block"), F.col(turn).alias("turn"),
+        F.coalesce(F.col(role), F.lit(template.default_role)).alias("_role"), segment(F.col(role), F.col(text), template).alias("_text"),
     )
-    joined = prompts.join(earlier, [conv, "_block"], "left")
-    whole = F.concat(F.lit(template.start), F.coalesce("_earlier", F.lit("")), "_recent", F.lit(template.generation))
-    return joined.select(conv, "turn", whole.alias("prompt"))
+    blocks = turns.groupBy(conv).agg(F.min("_block").alias("_low"), F.max("_block").alias("_high"))
+    several = blocks.where((F.col("_low") < F.col("_high"))).select(F.col(conv).alias("_conv"))
+    long = turns.join(several, F.col(conv).eqNullSafe(F.col("_conv")), "left_semi")
+    counted = long.select(conv, "_block", "turn", "_text", F.lit(1).alias("_n"), F.lit(0).alias("_dropped"))
+    texts = ordered_fold(counted, [conv, "_block"], ["turn", "_text"], _Joined, _JOINED)
+    earlier = ordered_fold(texts, [conv], ["_block"], _Before, "_block bigint, before string")
+    first = earlier.select(conv, "_block", F.lit(0).alias("_late"), F.lit(None).cast(turns.schema["turn"].dataType).alias("turn"),
+                           F.lit(None).cast("string").alias("_role"), F.col("before").alias("_text"))
+    rows = turns.select(conv, "_block", F.lit(1).alias("_late"), "turn", "_role", "_text").unionByName(first)
+    kind = turns.schema["turn"].dataType.simpleString()
+    prompts = ordered_fold(rows, [conv, "_block"], ["_late", "turn", "_text"], lambda: _Prompts(template), f"turn {kind}, prompt string")
+    return prompts.select(conv, "turn", "prompt")
 
 
 def prompt_spans(

@@ -48,6 +48,21 @@ _TURN_PROMPTS = f"""
 """
 
 
+@query(f"""
+    WITH t AS (SELECT CASE WHEN conv_id % 3 = 0 THEN -1 ELSE conv_id END AS conv_id, conv_id * 1000 + turn AS turn, role, text FROM conversations)
+    SELECT conv_id, count(*) AS n_messages, string_agg({_SEGMENT}, '' ORDER BY turn) AS text,
+      string_agg(role || ':' || text, chr(30) ORDER BY turn) AS messages FROM t GROUP BY conv_id
+""")
+def fold_hot_conversation(spark, sf):
+    """Training text and message list where one conversation holds a third of all turns."""
+    turns = table(spark, sf, "conversations")
+    hot = F.when(F.col("conv_id") % 3 == 0, -1).otherwise(F.col("conv_id"))
+    turns = turns.select(hot.cast("bigint").alias("conv_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("turn"), "role", "text")
+    flat = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\x1e")
+    listed = chat.fold_messages(turns).select("conv_id", flat.alias("messages"))
+    return chat.fold_text(turns, block_turns=64).drop("n_dropped").join(listed, "conv_id")
+
+
 @query(_TURN_PROMPTS)
 def chat_turn_prompts(spark, sf):
     """Prompt of every user turn: the whole history up to it."""
