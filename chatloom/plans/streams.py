@@ -69,7 +69,8 @@ def stream_text_files(spark, sf):
 def chat_events(spark, sf):
     """The turns as a stream of the given file."""
     schema = table(spark, sf, "conversations").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    # as a pattern: a stream of a plain path takes folders only, and the table may be one file or a folder of files
+    return spark.readStream.schema(schema).parquet(f"{sf}/conversations.parque[t]")
 
 
 @query(f"""
