@@ -164,13 +164,15 @@ def turn_prompts(
     )
     blocks = turns.groupBy(conv).agg(F.min("_block").alias("_low"), F.max("_block").alias("_high"))
     several = blocks.where((F.col("_low") < F.col("_high"))).select(F.col(conv).alias("_conv"))
-    long = turns.join(several, F.col(conv).eqNullSafe(F.col("_conv")), "left_semi")
-    counted = long.select(conv, "_block", "turn", "_text", F.lit(1).alias("_n"), F.lit(0).alias("_dropped"))
-    texts = ordered_fold(counted, [conv, "_block"], ["turn", "_text"], _Joined, _JOINED)
-    earlier = ordered_fold(texts, [conv], ["_block"], _Before, "_block bigint, before string")
-    first = earlier.select(conv, "_block", F.lit(0).alias("_late"), F.lit(None).cast(turns.schema["turn"].dataType).alias("turn"),
-                           F.lit(None).cast("string").alias("_role"), F.col("before").alias("_text"))
-    rows = turns.select(conv, "_block", F.lit(1).alias("_late"), "turn", "_role", "_text").unionByName(first)
+    rows = turns.select(conv, "_block", F.lit(1).alias("_late"), "turn", "_role", "_text")
+    if not several.isEmpty():  # otherwise no block has anything before it
+        long = turns.join(several, F.col(conv).eqNullSafe(F.col("_conv")), "left_semi")
+        counted = long.select(conv, "_block", "turn", "_text", F.lit(1).alias("_n"), F.lit(0).alias("_dropped"))
+        texts = ordered_fold(counted, [conv, "_block"], ["turn", "_text"], _Joined, _JOINED)
+        earlier = ordered_fold(texts, [conv], ["_block"], _Before, "_block bigint, before string")
+        first = earlier.select(conv, "_block", F.lit(0).alias("_late"), F.lit(None).cast(turns.schema["turn"].dataType).alias("turn"),
+                               F.lit(None).cast("string").alias("_role"), F.col("before").alias("_text"))
+        rows = rows.unionByName(first)
     kind = turns.schema["turn"].dataType.simpleString()
     prompts = ordered_fold(rows, [conv, "_block"], ["_late", "turn", "_text"], lambda: _Prompts(template), f"turn {kind}, prompt string")
     return prompts.select(conv, "turn", "prompt")
