@@ -8,7 +8,7 @@ from ..functions import strip
 from ..operators import catalog
 from ..operators.sampling import row_places
 from ..session import shared_path
-from ..sources import datasets, trees
+from ..sources import datasets, snapshots, trees
 from ..sources.formats import choose_files
 from . import staging
 from .records import mixed_json
@@ -410,3 +410,24 @@ def hidden_names(spark, sf):
     loaded = datasets.load_dataset(spark, root, "jsonl").groupBy(name).agg(F.count("*").alias("rows"))
     listed = listed.select(F.lit("catalog").alias("origin"), "name", "rows", "valid", "errors")
     return listed.unionByName(loaded.select(F.lit("load").alias("origin"), "name", "rows", F.lit(True).alias("valid"), F.lit("").alias("errors")))
+
+
+@query("""
+    SELECT 1 AS scan, lang, count(*) AS sample_count, true AS checked FROM documents WHERE lang <> 'fr' GROUP BY lang
+    UNION ALL SELECT 2, lang, count(*), lang = 'fr' FROM documents GROUP BY lang
+    UNION ALL SELECT 3, lang, count(*), false FROM documents GROUP BY lang
+""")
+def catalog_updates(spark, sf):
+    """Three scans of a growing folder: what each counts, and for which languages it validated files."""
+    documents = table(spark, sf, "documents").selectExpr("lang", "text as question", "source as answer")
+    root, ledger = shared_path(spark, "growing"), shared_path(spark, "catalog-ledger")
+    french = F.col("lang") == "fr"
+    scans = []
+    for number, arriving in enumerate((documents.where(~french), documents.where(french), None), start=1):
+        if arriving is not None:
+            arriving.write.partitionBy("lang").options(header=True, quote='"', escape='"').mode("append").csv(root)
+        found = snapshots.update_datasets(spark, root, ledger)
+        lang = F.regexp_extract("name", "^lang=([^/]+)/", 1).alias("lang")
+        total = found.groupBy(lang).agg(F.sum("sample_count").alias("sample_count"), F.max("checked").alias("checked"))
+        scans.append(total.select(F.lit(number).alias("scan"), "lang", "sample_count", "checked"))
+    return scans[0].unionByName(scans[1]).unionByName(scans[2])

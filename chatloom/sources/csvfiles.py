@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from ..operators.records import csv_messages, csv_plan
 from ..session import cut_lineage
 from .files import (
-    SPLIT, WHOLE_FILE_BYTES, _reader, attach_split_state, file_path, has_larger_files, latest_mark, list_files, position,
-    read_lines, split_window, stitch,
+    SPLIT, WHOLE_FILE_BYTES, _reader, attach_split_state, chosen_only, file_path, has_larger_files, latest_mark, list_files,
+    plain_paths, position, read_lines, split_window, stitch,
 )
 
 #: Headers of at most so many bytes are shipped to every task.
 BROADCAST_BYTES = 32 * 1024 * 1024
+#: Lines that the header of a single file is looked for in on the driver.
+HEADER_LINES = 16
 _QUOTING = {"quote": '"', "escape": '"'}
 
 
@@ -125,17 +127,13 @@ def _only_header(spark: SparkSession, path, glob, recursive) -> list[str] | None
     files = list_files(spark, path, glob, recursive).select("path").take(2)
     if len(files) != 1:
         return None
-    lines, count = read_lines(spark, path, glob, recursive).select("value"), 16
-    while True:
-        head = [row["value"] + "\n" for row in lines.take(count)]
-        cells = csv.reader(head)
-        for header in cells:
-            # a header that takes all lines read may go on
-            if header and (cells.line_num < count or len(head) < count):
-                return header
-        if len(head) < count:
-            return None
-        count *= 4
+    head = [row["value"] + "\n" for row in read_lines(spark, path, glob, recursive).select("value").take(HEADER_LINES)]
+    cells = csv.reader(head)
+    for header in cells:
+        # a header that takes all lines read may go on: read_headers finds its end without bringing lines here
+        if header and (cells.line_num < HEADER_LINES or len(head) < HEADER_LINES):
+            return header
+    return None
 
 
 def read_rows(
@@ -146,7 +144,7 @@ def read_rows(
     headers = None if only else read_headers(spark, path, glob, recursive)
     width = len(only) if only else headers.agg(F.max(F.size("header"))).first()[0] or 1
     reader = _reader(spark, glob, recursive).schema(_schema(width)).options(**_QUOTING)
-    table = reader.csv(path, header=True, multiLine=True)
+    table = chosen_only(reader.csv(plain_paths(path), header=True, multiLine=True), path)
     table = table.where(F.col("_metadata.file_size") <= whole_file_bytes)
     rows = table.select(
         file_path().alias("path"),

@@ -39,9 +39,51 @@ def file_path() -> Column:
     return readable(F.col("_metadata.file_path"))
 
 
+class Chosen(list):
+    """Paths to read, and a mark of 2**20 bits for the files wanted below them.
+
+    The mark is a test on file metadata, so the file index leaves other files out before any is opened. It has one
+    size whatever the number of files; a file may pass it unwanted (by a hash), so callers still join with what they want.
+    """
+
+    BITS = 1 << 20
+
+    def __init__(self, paths: list[str], wanted: DataFrame, besides: str = ""):
+        """`wanted` has a column ``path``; files with `besides` in their path are wanted as well."""
+        super().__init__(paths)
+        place_ = self._place(F.col("path")) + 1
+        parts = wanted.groupBy(F.bitmap_bucket_number(place_).alias("part")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(place_)).alias("bits"))
+        self.bits, self.besides = bytearray(self.BITS // 8), besides
+        for row in parts.collect():  # at most 32 rows of 4 KB
+            begin = (row["part"] - 1) * len(row["bits"])
+            self.bits[begin : begin + len(row["bits"])] = row["bits"]
+
+    @classmethod
+    def _place(cls, path: Column) -> Column:
+        return F.pmod(F.xxhash64(path), F.lit(cls.BITS))
+
+    def keeps(self, path: Column) -> Column:
+        place_ = self._place(path)
+        byte = F.substring(F.lit(bytes(self.bits)), F.shiftright(place_, 3).cast("int") + 1, F.lit(1))
+        number = F.conv(F.hex(byte), 16, 10).cast("int")
+        kept = F.pmod(F.floor(number / F.pow(F.lit(2.0), F.pmod(place_, F.lit(8)))), F.lit(2)) == 1
+        return kept | F.contains(path, F.lit(self.besides)) if self.besides else kept
+
+
+def plain_paths(path):
+    """`path` as Spark's readers take it, which know strings and plain lists."""
+    return path if isinstance(path, str) else list(path)
+
+
+def chosen_only(df: DataFrame, path) -> DataFrame:
+    """`df`, just read from `path`, without files that a ``Chosen`` path leaves out."""
+    return df.where(path.keeps(file_path())) if isinstance(path, Chosen) else df
+
+
 def list_files(spark: SparkSession, path, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """``path, length`` of every file. File contents are not read."""
-    files = _reader(spark, glob, recursive).format("binaryFile").load(path)
+    files = chosen_only(_reader(spark, glob, recursive).format("binaryFile").load(plain_paths(path)), path)
     return files.select(file_path().alias("path"), F.col("_metadata.file_size").alias("length"))
 
 
@@ -65,7 +107,7 @@ def read_lines(
     reader = _reader(spark, glob, recursive)
     if line_sep:
         reader = reader.option("lineSep", line_sep)
-    lines = reader.text(path)
+    lines = chosen_only(reader.text(plain_paths(path)), path)
     if larger_than is not None:
         lines = lines.where(F.col("_metadata.file_size") > larger_than)
     if up_to is not None:
@@ -80,7 +122,7 @@ def read_lines(
 
 def read_whole(spark, path, glob=None, recursive=False, up_to: int | None = None) -> DataFrame:
     """``path, value``: one row per file."""
-    files = _reader(spark, glob, recursive).text(path, wholetext=True)
+    files = chosen_only(_reader(spark, glob, recursive).text(plain_paths(path), wholetext=True), path)
     if up_to is not None:
         files = files.where(F.col("_metadata.file_size") <= up_to)
     return files.select(file_path().alias("path"), "value")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..session import shared_path, stored
+from .files import Chosen
 
 ENTRY_SCHEMA = "path string, length bigint, modified bigint, folder boolean, place string"
 #: Folders listed by one partition, so that a level of very many small folders is not as many tasks.
@@ -143,6 +144,11 @@ class ShownFiles:
         self.copies = target
         self.paths = [root, target]
 
+    def only(self, wanted: DataFrame) -> None:
+        """Let readers open just the files of `wanted` (path), and the copies."""
+        paths = self.paths if isinstance(self.paths, list) else [self.paths]
+        self.paths = Chosen(paths, wanted, f"{self.copies}/" if self.copies else "")
+
     def restored(self, rows: DataFrame, column: str = "path") -> DataFrame:
         """`rows` with the original paths of copies."""
         if self.copies is None:

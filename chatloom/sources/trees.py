@@ -27,9 +27,20 @@ def _glob(extension: str) -> str:
 
 def scan_datasets(spark: SparkSession, root: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """Catalogue of the dataset files below a folder, each with its verdict."""
+    return _validated(spark, root, list_datasets(spark, root), whole_file_bytes)
+
+
+def list_datasets(spark: SparkSession, root: str) -> DataFrame:
+    """``path, length, modified, name`` of the dataset files below a folder."""
     # a file lies at most two folders deep; folders that links lead to are listed there as well
-    listing = c.dataset_listing(list_tree(spark, root, 3, once=False), root)
+    return c.dataset_listing(list_tree(spark, root, 3, once=False), root)
+
+
+def _validated(spark: SparkSession, root: str, listing: DataFrame, whole_file_bytes: int, some: bool = False) -> DataFrame:
+    """Catalogue of the files of `listing`. With `some`, other files below the folder are not opened."""
     shown = ShownFiles(spark, root, listing.where(hidden_from_spark(F.col("name"))))
+    if some:
+        shown.only(listing)
 
     def kept(df: DataFrame) -> DataFrame:
         df = shown.restored(df)
