@@ -5,11 +5,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import GENERATION_DEFAULTS, MAX_SEQ_LENGTH
+from ..session import shared_path, stored
+
+#: Requests generated between two commits to a ledger.
+COMMIT_ROWS = 100_000
 
 
 def falsy_default(*choices: Column, default) -> Column:
@@ -91,14 +95,15 @@ def tokenize_with(factory: Callable[[], Callable], text: Column) -> Column:
 
 
 def generate_batch(
-    df: DataFrame, factory: Callable[[], Callable], prompt: str = "prompt", settings: tuple[str, ...] = ()
+    df: DataFrame, factory: Callable[[], Callable], prompt: str = "prompt", settings: tuple[str, ...] = (), profile=None
 ) -> DataFrame:
     """Add ``reply, new_tokens, elapsed``: one call of the user's model per Arrow batch of prompts.
 
     ``factory`` loads the model once per task and returns ``generate(prompts, **settings)``. It is given
     a list of prompts and, per setting, a list as long, and gives one reply or (reply, number of new
     tokens) per prompt. ``elapsed`` is a prompt's share of its batch. Rows keep their key columns, so the
-    order of the prompts never depends on the order of rows.
+    order of the prompts never depends on the order of rows. ``profile`` is a ResourceProfile for the tasks
+    that run the model, such as one that asks for GPUs.
     """
     schema = T.StructType(df.schema.fields + [
         T.StructField("reply", T.StringType()),
@@ -121,4 +126,52 @@ def generate_batch(
             replies, counts = zip(*results)
             yield batch.assign(reply=[r.strip() for r in replies], new_tokens=list(counts), elapsed=share)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(run, schema, profile=profile)
+
+
+REPLY_SCHEMA = "request string, reply string, new_tokens bigint, elapsed double"
+
+
+def request_key(model: str, prompt: Column, *more: Column) -> Column:
+    """Digest of what a reply depends on."""
+    return F.sha2(F.to_json(F.array(F.lit(model), prompt, *[c.cast("string") for c in more])), 256)
+
+
+def open_replies(spark: SparkSession, ledger: str) -> DataFrame:
+    """The replies a ledger holds; the table is made if there is none."""
+    spark.createDataFrame([], REPLY_SCHEMA).write.mode("ignore").parquet(ledger)
+    return spark.read.schema(REPLY_SCHEMA).parquet(ledger)
+
+
+def generate_missing(
+    df: DataFrame, factory: Callable[[], Callable], ledger: str, prompt: str = "prompt", settings: tuple[str, ...] = (),
+    model: str = "", keys: tuple[str, ...] = (), commit_rows: int = COMMIT_ROWS, profile=None,
+) -> DataFrame:
+    """``generate_batch`` that calls the model only for requests whose reply the ledger does not hold yet.
+
+    A request is the model's name, the prompt, the settings and the columns `keys` (say, the number of a sample);
+    equal requests get one reply. Requests are dealt into parts of about `commit_rows`, and every part is appended to
+    the ledger when it is done: after a failure a rerun asks for the requests of unfinished parts alone. Rows without
+    a prompt get no reply. The column name ``_request`` is taken.
+    """
+    spark = df.sparkSession
+    asked = df.withColumn("_request", request_key(model, F.col(prompt), *[F.col(c) for c in (*settings, *keys)]))
+    known = open_replies(spark, ledger).select(F.col("request").alias("_request"))
+    todo = asked.where(F.col(prompt).isNotNull()).select("_request", prompt, *settings).join(known, "_request", "left_anti")
+    todo = stored(todo.dropDuplicates(["_request"]), "requests")
+    parts = -(-todo.count() // commit_rows)
+    if parts > 1:
+        dealt = shared_path(spark, "request-parts")
+        part = F.pmod(F.xxhash64("_request"), F.lit(parts)).alias("_part")
+        # all tasks share in every part, so that a part is generated by the whole cluster
+        todo.select("*", part).write.partitionBy("_part").parquet(dealt)
+        dealt = spark.read.parquet(dealt)
+    for number in range(parts):
+        rows = dealt.where(F.col("_part") == number).drop("_part") if parts > 1 else todo
+        found = generate_batch(rows, factory, prompt, settings, profile)
+        found.select(F.col("_request").alias("request"), "reply", "new_tokens", "elapsed").write.mode("append").parquet(ledger)
+    # runs at the same time may have asked for the same; one reply is taken
+    held = open_replies(spark, ledger).groupBy(F.col("request").alias("_request")).agg(
+        F.min(F.struct("reply", "new_tokens", "elapsed")).alias("_held"))
+    out = [F.col(f"`{c}`") for c in df.columns] + [F.col(f"_held.{c}").alias(c) for c in ("reply", "new_tokens", "elapsed")]
+    return asked.join(held, "_request", "left").select(*out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import generate, render
+from ..session import shared_path
 from .registry import SQL_GENERATION, query, sql_segment, sql_strip, table
 
 
@@ -115,6 +116,22 @@ def generate_stub(spark, sf):
     return generate.generate_batch(prompts, _echo).select("doc_id", "reply", "new_tokens")
 
 
+def _marked(mark):
+    return lambda: lambda prompts: [f"{mark}{p[::-1]}x" for p in prompts]
+
+
+@query("""
+    SELECT doc_id, CASE WHEN bool_or(doc_id % 3 <> 0) OVER (PARTITION BY text) THEN 'first:' ELSE 'second:' END || reverse(text) || 'x' AS reply
+    FROM documents
+""")
+def generate_resumed(spark, sf):
+    """Batch generation in two runs that share a ledger: the second model is asked only for what the first has not answered."""
+    prompts = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    ledger = shared_path(spark, "replies")
+    generate.generate_missing(prompts.where("doc_id % 3 <> 0"), _marked("first:"), ledger)
+    return generate.generate_missing(prompts, _marked("second:"), ledger, commit_rows=500_000).select("doc_id", "reply")
+
+
 def _by_settings():
     return lambda prompts, max_new_tokens: [(p[::-1], min(n, len(p))) for p, n in zip(prompts, max_new_tokens)]
 
