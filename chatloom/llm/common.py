@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,26 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Columns that operators on documents know by name.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def with_plain_names(operator):
+    """An operator on documents that returns their columns, safe from names of further columns.
+
+    Further columns go in as `extra_0`, `extra_1`, ..., so none can clash with a helper column, and come out
+    under their own names, whatever these are (dots, leading underscores, names of helpers).
+    """
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **settings) -> DataFrame:
+        names = docs.columns
+        plain = [name if name in OWN else f"extra_{i}" for i, name in enumerate(names)]
+        return operator(docs.toDF(*plain), *args, **settings).select(*plain).toDF(*names)
+
+    return run
+
+
 def schema(*fields: tuple[str, object]) -> T.StructType:
     kinds = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "binary": T.BinaryType(),
              "double": T.DoubleType(), "boolean": T.BooleanType()}

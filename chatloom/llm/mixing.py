@@ -1,8 +1,9 @@
 """Mixing sources to target weights: documents are counted by exact length, budgets fitted by subset sums.
 
 Lengths are all that matters for a budget, so the corpus is reduced to counts per (source, length). Of every
-length a source takes the share that its budget asks for, rounded down; what remains of the budget is filled
-from the counts left over, first by the longest lengths and, once the rest is at most DP_BUDGET words, by a
+length a source takes the share that its budget asks for. Shares are rounded in a seeded order of the lengths, up or down
+by a seeded draw against the words still owed, so that no length is favoured and the words taken never stray from the
+budget by more than about the longest text. What remains is filled from the counts left over by a
 bounded-knapsack dynamic programme that finds the best reachable sum. Which documents of a length are taken
 follows a seeded order; ranks come from counts per hash bucket, so a length that holds a third of all
 documents is never ordered in one task.
@@ -14,12 +15,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, schema, staged
+from .common import WORD, schema, staged, with_plain_names
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_COPIES, SEED = 1.5, 2, 20
-#: Budget that the dynamic programme fits exactly, in words; hash buckets per source and length.
-DP_BUDGET, BUCKETS = 1 << 15, 256
+#: Hash buckets per source and length.
+BUCKETS = 256
 
 
 def targets(totals: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -73,22 +74,31 @@ def best_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return taken
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, total: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, total: int, seed: int = SEED) -> np.ndarray:
     """Documents to take of each length so that their words come as near to budget as can be from below."""
     if total <= 0 or budget <= 0:
         return np.zeros(lengths.size, np.int64)
     if budget >= total:
         return counts.copy()
-    taken = np.array([int(c) * budget // total for c in counts], np.int64)  # exact, also for very large counts
-    rest = budget - int((taken * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        if rest <= dp_budget:
-            break
-        if lengths[i] > 0:
-            more = min(int(counts[i] - taken[i]), rest // int(lengths[i]), -(-(rest - dp_budget) // int(lengths[i])))
-            taken[i] += more
-            rest -= more * int(lengths[i])
-    return taken + best_sum(lengths, counts - taken, min(rest, dp_budget))
+    shares = [divmod(int(c) * budget, total) for c in counts]  # exact, also for very large counts
+    taken = np.array([whole for whole, _ in shares], np.int64)
+    chance, owed = np.random.default_rng(seed), 0.0
+    order, draws = chance.permutation(lengths.size).tolist(), chance.random(lengths.size).tolist()
+    for i in order:
+        length, part = int(lengths[i]), shares[i][1]
+        owed += part / total * length
+        # a whole share has nothing to round; others go up if the words owed pass a drawn part of the length
+        if length > 0 and part and owed >= draws[i] * length:
+            taken[i] += 1
+            owed -= length
+    rest = budget - sum(int(t) * int(n) for t, n in zip(taken, lengths, strict=True))
+    while rest < 0:  # the shortest text that is long enough goes, or the longest
+        held = np.flatnonzero((taken > 0) & (lengths > 0))
+        enough = held[lengths[held] >= -rest]
+        i = enough[np.argmin(lengths[enough])] if enough.size else held[np.argmax(lengths[held])]
+        taken[i] -= 1
+        rest += int(lengths[i])
+    return taken + best_sum(lengths, counts - taken, rest)
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
@@ -137,8 +147,11 @@ def mix(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGH
     return chosen.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
 
 
+@with_plain_names
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of `docs` that the mix takes, as often as it takes them; documents without words are left out.
+    """The rows of `docs` that the mix takes, as often as it takes them, with all columns under their names.
+
+    Documents without words are left out; no rows give no rows.
 
     A row is found again by doc_id, source and size: where several rows agree in these, each is taken as
     often as the one taken most. Null doc_ids and sources are values like others.

@@ -1,13 +1,18 @@
 """Quality rules whose cutoffs carry a guarantee: few good documents are rejected, stratum by stratum.
 
-Signals are shares per document; a cutoff rejects what lies above it. For every stratum (language) and signal
-the labelled good documents above each of a fixed grid of cutoffs are counted. A cutoff is certified if the
-exact binomial test rejects "more than `risk` of the good documents are above it". The grid is walked from the
-most lenient cutoff down and left at the first that fails (fixed-sequence testing needs no correction along the
-grid); over strata and signals the error `delta` is divided (Bonferroni), and so is the risk over signals, so
-that with probability 1 - delta no stratum loses more than `risk` of its good documents to these rules.
-Among the certified cutoffs the one with the best trade of bad for good documents is used; a stratum with too
-few labels has none and rejects nothing beyond the base rules.
+Base rules come first; what follows concerns the documents that they keep. Signals are shares per document; a cutoff
+rejects what lies at or above it, and a rule is one cutoff per signal. For every stratum (language) a quarter of the
+labelled documents, by a hash of doc_id, lays down a ladder of rules, each stricter than the one before: signals join
+one by one, the most useful first, then the share of good documents that a signal may reject grows. The other
+labelled documents, which the ladder has not seen, are the holdout.
+The ladder is climbed from the most lenient rule up: a rule is certified if the exact binomial test on the holdout rejects
+"more than `risk` of the good documents are rejected by the whole rule", and the climb ends at the first rule
+that is not (fixed-sequence testing needs no correction along the ladder). Over strata the error `delta` is divided
+(Bonferroni), so that with probability 1 - delta no stratum loses more than `risk` of its good documents to
+these rules. Among the certified rules the one with the best trade of bad for good documents is used.
+
+No rule can be certified with fewer than log(delta / strata) / log(1 - risk) good documents in the holdout (217 for four
+strata, so about 290 labelled good documents in all); such a stratum rejects nothing beyond the base rules.
 """
 
 from __future__ import annotations
@@ -19,9 +24,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema, staged, texts_of
+from .common import schema, staged, texts_of, with_plain_names
 
 RISK, DELTA, GRID, TRADE = 0.02, 0.05, 50, 20
+#: One labelled document in TUNING lays down the ladder; shares of `risk` that one signal may reject, rung by rung.
+TUNING, ALLOWANCES = 4, (0.0, 0.125, 0.25, 0.5, 1.0)
 WINDOW = 8
 SYMBOLS, MARKS = b"#*$%&|<>", b"!?~^_=+@/\\;:()[]{}"
 CAPITALS = bytes(range(65, 91))
@@ -86,6 +93,11 @@ def _signals():
     }
 
 
+def _base_failed():
+    words, repeats = F.col("__counts.n_words"), F.col("__counts.n_repeat_words")
+    return (words < 20) | (100 * repeats > 30 * words)
+
+
 def _stratum(column):
     return F.when(column.isNull(), "n").otherwise(F.concat(F.lit("s"), column.cast("string")))
 
@@ -121,41 +133,95 @@ def choose(good: np.ndarray, bad: np.ndarray, risk: float, delta: float) -> int:
     return best
 
 
-def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, one cutoff per signal) learned from `stats` (doc_id, lang, __counts) and `labels` (doc_id, quality).
+def ladder(good: np.ndarray, bad: np.ndarray, risk: float) -> list[list[int]]:
+    """Rules from lenient to strict, a grid place per signal (GRID rejects nothing).
 
-    Documents and labels with a null doc_id, and null qualities, teach nothing; of several labels of a document
-    the best counts. The result has one row per stratum that has labels.
+    good[s, i], bad[s, i]: documents whose signal s is in cell i.
     """
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    cells = F.array(*[F.least(F.lit(GRID - 1), F.floor(x * GRID)).cast("int") for x in _signals().values()])
-    cell = stats.select("doc_id", _stratum(F.col("lang")).alias("stratum"), cells.alias("cells")).join(known, "doc_id")
-    cell = cell.select("stratum", "quality", F.posexplode("cells").alias("signal", "cell"))
-    table = staged(cell.groupBy("stratum", "signal", "cell").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad")), "signal-cells")
-    strata = max(1, table.select("stratum").distinct().count())
-    each_risk, each_delta = risk / len(SIGNALS), delta / (strata * len(SIGNALS))
+    above_good, above_bad = (np.cumsum(x[:, ::-1], axis=1)[:, ::-1] for x in (good, bad))
+    total = int(good[0].sum())
+    cuts, gains = [], []
+    for share in ALLOWANCES:
+        row, worth = [], []
+        for own_good, own_bad in zip(above_good, above_bad, strict=True):
+            cut = int(np.searchsorted(-own_good, -share * risk * total))  # the first cell with few enough good ones
+            cut = min(GRID, max(1, cut + (share == 0)))  # the most lenient rules keep a cell's distance
+            gain = int(own_bad[cut]) - TRADE * int(own_good[cut]) if cut < GRID else 0
+            row.append(cut if gain > 0 else GRID)
+            worth.append(gain)
+        cuts.append(row)
+        gains.append(worth)
+    order = sorted(range(len(good)), key=lambda s: (-gains[0][s], s))
+    now, rungs = [GRID] * len(good), []
+    for row in cuts:
+        for signal in order:
+            if row[signal] < now[signal]:
+                now[signal] = row[signal]
+                rungs.append(list(now))
+    return rungs
+
+
+def _per_stratum(table: DataFrame, columns: dict, work) -> DataFrame:
+    """`work` on the arrays of `columns` of every stratum; a stratum has a bounded number of rows."""
 
     def run(rows):
         import pyarrow as pa
 
-        out = {"stratum": [rows.column("stratum")[0].as_py()]}
-        frame = {name: rows.column(name).to_numpy() for name in ("signal", "cell", "good", "bad")}
-        for number, name in enumerate(SIGNALS):
-            good, bad = np.zeros(GRID, np.int64), np.zeros(GRID, np.int64)
-            own = frame["signal"] == number
-            good[frame["cell"][own]], bad[frame["cell"][own]] = frame["good"][own], frame["bad"][own]
-            out[name] = [choose(good, bad, each_risk, each_delta) / GRID]
-        return pa.table({k: pa.array(v, pa.string() if k == "stratum" else pa.float64()) for k, v in out.items()})
+        found = work(*[rows.column(name).to_numpy() for name in columns["in"]])
+        return pa.table({"stratum": pa.array([rows.column("stratum")[0].as_py()], pa.string()), "rule": pa.array([found], columns["arrow"]())})
+
+    return table.groupBy("stratum").applyInArrow(run, f"stratum string, rule {columns['out']}")
+
+
+def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, one cutoff per signal) learned from `stats` (doc_id, lang, __counts) and `labels` (doc_id, quality).
 
-    # a group has at most signals x grid rows; the result is staged so that its size is known before it is joined
-    return staged(table.groupBy("stratum").applyInArrow(run, schema(("stratum", "string"), *[(s, "double") for s in SIGNALS])), "cutoffs")
+    Documents and labels with a null doc_id, and null qualities, teach nothing; of several labels of a document
+    the best counts. The result has one row per stratum that has labels in both parts.
+    """
+    import pyarrow as pa
+
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    cells = F.array(*[F.least(F.lit(GRID - 1), F.floor(x * GRID)).cast("int") for x in _signals().values()])
+    tuning = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(TUNING)) == 0
+    # the base rules hold anyway: these rules are learned from and promised for the documents beyond them
+    taught = stats.where(~_base_failed()).select("doc_id", _stratum(F.col("lang")).alias("stratum"), cells.alias("cells")).join(known, "doc_id")
+    taught = staged(taught.select("stratum", "quality", "cells", tuning.alias("tuning")), "labelled-cells")
+    strata = max(1, taught.select("stratum").distinct().count())
+    sums = (F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
+    table = taught.where("tuning").select("stratum", "quality", F.posexplode("cells").alias("signal", "cell"))
+    table = table.groupBy("stratum", "signal", "cell").agg(*sums)
+
+    def lay(signal, cell, good, bad):
+        counts = np.zeros((2, len(SIGNALS), GRID), np.int64)
+        counts[0, signal, cell], counts[1, signal, cell] = good, bad
+        return ladder(*counts, risk)
+
+    rungs = _per_stratum(table, {"in": ("signal", "cell", "good", "bad"), "out": "array<array<int>>", "arrow": lambda: pa.list_(pa.list_(pa.int32()))}, lay)
+    # at most signals x allowances rules a stratum
+    rungs = staged(rungs.select("stratum", F.col("rule").alias("rungs")), "ladders")
+    over = lambda rung: F.exists(F.arrays_zip(F.col("cells").alias("x"), rung.alias("c")), lambda p: p["x"] >= p["c"])
+    rung = F.array_position(F.transform("rungs", over), True)  # the first that rejects, from 1; 0: none does
+    held = taught.where("not tuning").join(rungs, "stratum").groupBy("stratum", "rungs", rung.alias("rung")).agg(*sums)
+
+    def climb(rungs_, rung_, good, bad):
+        rules = [list(map(int, r)) for r in rungs_[0]]
+        counts = np.zeros((2, len(rules) + 1), np.int64)
+        # the last cell is the first rung, cell 0 what no rung rejects; `choose` walks down from the last cell
+        cell = np.where(rung_ > 0, len(rules) + 1 - rung_, 0)
+        counts[0, cell], counts[1, cell] = good, bad
+        cut = choose(*counts, risk, delta / strata)
+        return [c / GRID for c in (rules[len(rules) - cut] if cut <= len(rules) else [GRID] * len(SIGNALS))]
+
+    found = _per_stratum(held, {"in": ("rungs", "rung", "good", "bad"), "out": "array<double>", "arrow": lambda: pa.list_(pa.float64())}, climb)
+    # staged so that its size is known before it is joined
+    return staged(found.select("stratum", *[F.col("rule")[i].alias(name) for i, name in enumerate(SIGNALS)]), "cutoffs")
 
 
 def _judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
     """`stats` with `__failed` (the base rules) and `__kept`. The join is a broadcast only if Spark finds it small."""
     limits = limits.select(F.col("stratum").alias("__stratum"), F.struct(*SIGNALS).alias("__limits"))
-    words, repeats = F.col("__counts.n_words"), F.col("__counts.n_repeat_words")
-    failed = (words < 20) | (100 * repeats > 30 * words)
+    failed = _base_failed()
     over = F.lit(False)
     for name, signal in _signals().items():
         limit = F.col(f"__limits.{name}")
@@ -176,8 +242,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"__counts.{name}").alias(name) for name in COUNTS[:5]], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
+@with_plain_names
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep, whole. Texts are not shuffled; they are read twice."""
-    stats = staged(counted(docs.select("doc_id", "lang", "text")).drop("text"), "quality")
-    limits = cutoffs(stats, labels)
-    return _judged(counted(docs), limits).where("__kept").select(*docs.columns)
+    """The rows of `docs` that the rules keep, whole, with all columns under their names.
+
+    Null texts are empty and go; a null doc_id is judged but teaches nothing; repeated rows stay or go together; no
+    rows give no rows. Texts are not shuffled; rows are written once with their counts, which are made once.
+    """
+    rows = staged(counted(docs), "quality")
+    return _judged(rows, cutoffs(rows.select("doc_id", "lang", "__counts"), labels)).where("__kept").select(*docs.columns)

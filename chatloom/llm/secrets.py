@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_path
+from .common import with_plain_names
 from .spans import how_many, listed, place, spans
 
 LEDGER = "blob string, rules array<string>, findings array<struct<kind:string,version:int,start:int,end:int>>"
@@ -121,11 +122,12 @@ def summary(found: DataFrame) -> DataFrame:
     )
 
 
+@with_plain_names
 def clean_documents(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, mark: str = "<secret>") -> DataFrame:
     """`docs` with every secret in its text replaced by `mark`; all rows and columns stay.
 
     Overlapping findings become one mark. Findings are looked up by blob, so equal texts change alike and a
-    null text stays null.
+    null text stays null. Null doc_ids and repeated rows are no matter; no rows give no rows.
     """
     ledger = ledger or shared_path(docs.sparkSession, "ledger")
     scan(docs.select("text"), ledger, rules)

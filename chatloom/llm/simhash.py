@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema, staged, texts_of
+from .common import schema, staged, texts_of, with_plain_names
 from .components import component_ids
 from .unions import merge
 
@@ -360,6 +360,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bi
     return sketches.join(least, "same").select("doc_id", "component_id")
 
 
+@with_plain_names
 def without_near_copies(docs: DataFrame, **settings) -> DataFrame:
     """The rows of `docs` that have the least doc_id of their component, one per doc_id; rows without doc_id stay."""
     kept = staged(near_copies(docs, **settings).where("doc_id = component_id").select("doc_id").distinct(), "kept")
