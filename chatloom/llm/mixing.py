@@ -2,9 +2,9 @@
 
 Lengths are all that matters for a budget, so the corpus is reduced to counts per (source, length). Of every
 length a source takes the share that its budget asks for. Shares are rounded in a seeded order of the lengths, up or down
-by a seeded draw against the words still owed, so that no length is favoured and the words taken never stray from the
-budget by more than about the longest text. What remains is filled from the counts left over by a
-bounded-knapsack dynamic programme that finds the best reachable sum. Which documents of a length are taken
+by a seeded draw against the words still owed, so that no length is favoured. The last RESERVE words of a budget, or twice
+the longest text, are filled from the counts left over by a bounded-knapsack dynamic programme that finds the best
+reachable sum, trying lengths in the same seeded order. Which documents of a length are taken
 follows a seeded order; ranks come from counts per hash bucket, so a length that holds a third of all
 documents is never ordered in one task.
 """
@@ -19,6 +19,8 @@ from .common import WORD, schema, staged, with_plain_names
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_COPIES, SEED = 1.5, 2, 20
+#: Words of a budget that are left to the dynamic programme, at least; more where texts are long.
+RESERVE = 1 << 13
 #: Hash buckets per source and length.
 BUCKETS = 256
 
@@ -47,13 +49,18 @@ def targets(totals: DataFrame, share: float = SHARE, weights: tuple[int, ...] =
     return settled.select("key", "source_size", target.alias("target"))
 
 
-def best_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many items of each length to take so that their sum comes closest to budget from below."""
+def best_sum(lengths: np.ndarray, counts: np.ndarray, budget: int, order: np.ndarray | None = None) -> np.ndarray:
+    """How many items of each length to take so that their sum comes closest to budget from below.
+
+    Lengths are tried longest first, or in the given order of their places.
+    """
     taken = np.zeros(lengths.size, np.int64)
-    fits = np.flatnonzero((lengths > 0) & (lengths <= budget) & (counts > 0))
+    usable = (lengths > 0) & (lengths <= budget) & (counts > 0)
+    fits = np.argsort(-lengths, kind="stable") if order is None else np.asarray(order)
+    fits = fits[usable[fits]]
     reached, step = np.zeros(budget + 1, bool), np.full(budget + 1, -1, np.int64)
     reached[0], steps = True, []
-    for i in fits[np.argsort(-lengths[fits], kind="stable")]:
+    for i in fits:
         rest, lot = min(int(counts[i]), budget // int(lengths[i])), 1
         while rest > 0 and not reached[budget]:  # lots of 1, 2, 4, ... make up any number of this length
             lot = min(lot, rest)
@@ -80,7 +87,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, total: int, seed:
         return np.zeros(lengths.size, np.int64)
     if budget >= total:
         return counts.copy()
-    shares = [divmod(int(c) * budget, total) for c in counts]  # exact, also for very large counts
+    # the programme gets room for twice the longest text: sources of few texts are fitted by it alone
+    goal = budget - min(budget, max(RESERVE, 2 * int(lengths.max())))
+    shares = [divmod(int(c) * goal, total) for c in counts]  # exact, also for very large counts
     taken = np.array([whole for whole, _ in shares], np.int64)
     chance, owed = np.random.default_rng(seed), 0.0
     order, draws = chance.permutation(lengths.size).tolist(), chance.random(lengths.size).tolist()
@@ -98,7 +107,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, total: int, seed:
         i = enough[np.argmin(lengths[enough])] if enough.size else held[np.argmax(lengths[held])]
         taken[i] -= 1
         rest += int(lengths[i])
-    return taken + best_sum(lengths, counts - taken, rest)
+    return taken + best_sum(lengths, counts - taken, rest, order)
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
