@@ -20,8 +20,9 @@ from .common import schema, split_hash, staged, texts_of
 ROOM, END_ID, SHARD_PIECES = 2048, 0, 32_768
 #: The emptiest sequences of a shard that the local search tries to empty, and exchanges tried for each.
 SEARCHED, EXCHANGES = 64, 256
-#: Words whose ids a task remembers, and text it encodes at once.
-KNOWN_WORDS, TEXT_AT_ONCE = 500_000, 1 << 23
+#: Words whose ids a task remembers, text it encodes at once, and new words given to the tokenizer at once,
+#: which takes about a kilobyte for each while it works.
+KNOWN_WORDS, TEXT_AT_ONCE, WORDS_AT_ONCE = 100_000, 1 << 22, 20_000
 
 #: Texts with these bytes keep their case: combining marks must join letters first, and control strings are as they are.
 KEEPS_CASE = (b"\xcc", b"\xcd", b"<|")
@@ -50,9 +51,13 @@ class WordEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _runs(self, words: list[bytes], texts: list[str]) -> dict[bytes, bytes]:
-        """Ids of words that are runs of letters, all encoded in one call and cut where runs end."""
-        if not words:
-            return {}
+        """Ids of words that are runs of letters, many encoded in one call and cut where runs end."""
+        out = {}
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            out.update(self._run_ids(words[at : at + WORDS_AT_ONCE], texts[at : at + WORDS_AT_ONCE]))
+        return out
+
+    def _run_ids(self, words: list[bytes], texts: list[str]) -> dict[bytes, bytes]:
         ids = self._ids(" ".join(texts))
         cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         if cuts.size != len(words):
