@@ -4,7 +4,8 @@ Documents are tokenised, ended by an end id, and cut into pieces of at most `roo
 evenly to shards of bounded size; a shard is packed best fit by falling length, then a local search takes its
 emptiest sequences one after the other and moves their pieces away: single moves, one-for-one, two-for-one
 and one-for-two exchanges, each of which raises the sum of squared fills, until sequences are empty and go.
-A shard ends with about one sequence that is not full, so a corpus loses one part in thousands to sharding.
+What shards leave underfull is brought together in fewer shards and searched again, so that sharding costs
+about one sequence for each of the last shards.
 """
 
 from __future__ import annotations
@@ -229,30 +230,62 @@ def _exchange(bins, fill, lengths, room, source, others) -> bool:
     return True
 
 
-def pack(parts: DataFrame, room: int = ROOM, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """`parts` (doc_id, piece, start, length, ids_crc32) with the sequence_id and offset of every piece.
+def _pack_shards(dealt: DataFrame, room: int) -> DataFrame:
+    """`dealt` packed shard by shard: sequence_id and offset of every row, and whether its sequence is open (not full).
 
-    Pieces of `room` tokens are sequences by themselves. Equal lengths are placed by doc_id and piece, so that
-    reruns agree; repeated rows are pieces of their own. No rows give no rows.
+    Rows that are in sequences already keep these where packing them anew takes no fewer.
     """
-    shards = max(1, math.ceil(parts.count() / shard_pieces))
-    dealt = parts.withColumn("shard", F.pmod(split_hash("doc_id", "piece", seed=3), F.lit(shards)))
+    kept = [f for f in dealt.schema.fields if f.name not in ("shard", "sequence_id", "offset", "open")]
+    again = "sequence_id" in dealt.columns
+    order = [f.name for f in kept] + ["sequence_id", "offset"] * again
 
     def run(table):
         import pyarrow as pa
 
-        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([(name, "ascending") for name in order])
         lengths = table.column("length").to_numpy()
         bins = improve(best_fit(lengths, room), lengths, room)
-        sequence, offset = np.zeros(lengths.size, np.int64), np.zeros(lengths.size, np.int64)
+        if again:
+            _, of = np.unique(table.column("sequence_id").to_numpy(), return_inverse=True)
+            by_sequence = np.argsort(of, kind="stable")
+            held = [b.tolist() for b in np.split(by_sequence, np.flatnonzero(np.diff(of[by_sequence])) + 1)]
+            bins = min(bins, improve(held, lengths, room), key=len)
+        sequence, offset, is_open = np.zeros(lengths.size, np.int64), np.zeros(lengths.size, np.int64), np.zeros(lengths.size, bool)
         first = table.column("shard")[0].as_py() << 32
         for number, items in enumerate(bins):
             sequence[items] = first + number
             offset[items] = np.cumsum(lengths[items]) - lengths[items]
-        return table.drop_columns(["shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+            is_open[items] = lengths[items].sum() < room
+        table = table.select([f.name for f in kept])
+        return table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("open", pa.array(is_open))
+
+    fields = [(f.name, f.dataType) for f in kept]
+    return dealt.groupBy("shard").applyInArrow(run, schema(*fields, ("sequence_id", "long"), ("offset", "long"), ("open", "boolean")))
 
-    fields = [(f.name, f.dataType) for f in parts.schema.fields]
-    return dealt.groupBy("shard").applyInArrow(run, schema(*fields, ("sequence_id", "long"), ("offset", "long")))
+
+def pack(parts: DataFrame, room: int = ROOM, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """`parts` (doc_id, piece, start, length, ids_crc32) with the sequence_id and offset of every piece.
+
+    What the shards leave open is dealt again to shards of the same size, sequence by sequence, and searched
+    again, as long as that halves the number of shards. Pieces of `room` tokens are sequences by themselves.
+    Equal lengths are placed by doc_id and piece, so that reruns agree; repeated rows are pieces of their own.
+    Null doc_ids are dealt by piece, length and checksum, so only equal ones come to one shard. No rows give no rows.
+    """
+    shards, base, settled = max(1, math.ceil(parts.count() / shard_pieces)), 0, []
+    spread = F.pmod(split_hash("doc_id", "piece", "start", "length", "ids_crc32", seed=3), F.lit(shards))
+    result = _pack_shards(parts.withColumn("shard", spread), room)
+    while shards > 1:
+        result = staged(result, "sequences")
+        fewer = max(1, math.ceil(result.where("open").count() / shard_pieces))
+        if 2 * fewer > shards:
+            break
+        settled.append(result.where("not open"))
+        base, shards = base + shards, fewer
+        again = result.where("open").withColumn("shard", base + F.pmod(split_hash("sequence_id", seed=4), F.lit(shards)))
+        result = _pack_shards(again, room)
+    for done in settled:
+        result = result.unionByName(done)
+    return result.drop("open")
 
 
 def packed(docs: DataFrame, vocabulary: str, room: int = ROOM, shard_pieces: int = SHARD_PIECES) -> DataFrame:

@@ -111,6 +111,38 @@ def test_odd_words_encode_alike():
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def pack_lengths(spark, lengths, room, shard_pieces):
+    """Pieces per sequence of a packing of these lengths, whose places are checked."""
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(lengths)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(parts, room, shard_pieces).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == [(i, n) for i, _, _, n, _ in rows]
+    sequences = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == sum(sequences.setdefault(r.sequence_id, []))
+        sequences[r.sequence_id].append(r.length)
+    assert all(sum(s) <= room for s in sequences.values())
+    return sequences
+
+
+def test_search_lowers_best_fits_number(spark):
+    lengths = np.array([4, 4, 7, 6, 7, 4, 5, 3, 3, 3])
+    assert len(packing.best_fit(lengths, 12)) == 5
+    assert len(pack_lengths(spark, lengths, 12, 100)) == 4
+
+
+def test_open_sequences_of_many_shards_are_searched_together(spark):
+    random.seed(5)
+    lengths = [random.randint(1, 60) for _ in range(2000)]
+    least = -(-sum(lengths) // 100)
+    got = pack_lengths(spark, lengths, 100, 50)
+    last = {number >> 32 for number, held in got.items() if sum(held) < 100}
+    assert len(got) <= least + len(last) and len(last) < 5  # of 40 shards
+    rough = [random.randint(30, 70) for _ in range(600)]  # leaves many open sequences, so rounds end early
+    one = len(pack_lengths(spark, rough, 100, 1000))
+    assert len(pack_lengths(spark, rough, 100, 50)) <= 1.05 * one
+
+
 def test_exchanges_empty_bins():
     lengths = np.array([60, 30, 70, 40])
     bins = packing.improve([[0, 1], [2], [3]], lengths, 100)
