@@ -23,7 +23,7 @@ ROOM, END_ID, SHARD_PIECES = 2048, 0, 32_768
 SEARCHED, EXCHANGES = 64, 256
 #: Words whose ids a task remembers, text it encodes at once, and new words given to the tokenizer at once,
 #: which takes about a kilobyte for each while it works.
-KNOWN_WORDS, TEXT_AT_ONCE, WORDS_AT_ONCE = 100_000, 1 << 22, 20_000
+KNOWN_WORDS, TEXT_AT_ONCE, WORDS_AT_ONCE = 300_000, 1 << 22, 20_000
 
 #: Texts with these bytes keep their case: combining marks must join letters first, and control strings are as they are.
 KEEPS_CASE = (b"\xcc", b"\xcd", b"<|")
