@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from ..operators.records import csv_messages, csv_plan
 from ..session import cut_lineage
 from .files import (
-    SPLIT, WHOLE_FILE_BYTES, _reader, attach_split_state, chosen_only, file_path, has_larger_files, latest_mark, list_files,
-    plain_paths, position, read_lines, split_window, stitch,
+    Chosen, WHOLE_FILE_BYTES, _reader, chosen_only, cut_records, file_path, has_larger_files, list_files, plain_paths, position,
+    read_lines, split_summaries,
 )
 
 #: Headers of at most so many bytes are shipped to every task.
@@ -25,12 +26,15 @@ _QUOTING = {"quote": '"', "escape": '"'}
 def read_headers(spark: SparkSession, path, glob=None, recursive=False) -> DataFrame:
     """``path, header``: column names of each file, in order."""
     lines = read_lines(spark, path, glob, recursive).where("block = 0 and value <> ''")
-    first = lines.groupBy("path").agg(F.min_by("value", "row").alias("line"))
+    # found by their numbers: an aggregate of texts would sort the texts of all files
+    places = lines.groupBy("path").agg(F.min("row").alias("row"))
+    first = lines.join(F.broadcast(places), ["path", "row"]).select("path", F.col("value").alias("line"))
     first = cut_lineage(first.withColumn("_more", _open_after(F.col("line"), False) == 1))
     longer = first.where("_more").select("path")
-    first = first.select("path", "line", "_more")
+    first = first.select("path", "line")
     if not longer.isEmpty():
-        first = first.where("not _more").unionByName(_long_headers(spark, path, glob, recursive, longer))
+        short = first.join(longer, "path", "left_anti")
+        first = cut_lineage(short.unionByName(_long_headers(spark, path, glob, recursive, longer)))
     # as many columns as any header could have
     width = (first.agg(F.max(F.size(F.split("line", ",")))).first()[0]) or 1
     cells = F.from_csv("line", _schema(width), _QUOTING)
@@ -39,18 +43,11 @@ def read_headers(spark: SparkSession, path, glob=None, recursive=False) -> DataF
 
 
 def _long_headers(spark: SparkSession, path, glob, recursive, wanted: DataFrame) -> DataFrame:
-    """``path, line, _more``: headers with line ends in quoted cells, up to the first line that starts outside one."""
-    lines = _with_quote_state(read_lines(spark, path, glob, recursive).join(wanted, "path", "left_semi"))
-    here = F.struct("block", "row")
-    text = (F.col("value") != "") | (F.col("open") == 1)
-    lines = lines.where(text).withColumn("_start", F.when(F.col("open") == 0, here))
-    starts = lines.groupBy("path").agg(F.min("_start").alias("_first"))
-    lines = lines.join(starts, "path")
-    ends = lines.where(here > F.col("_first")).groupBy("path").agg(F.min("_start").alias("_end"))
-    header = lines.join(ends, "path", "left").where(F.col("_end").isNull() | (here < F.col("_end")))
-    return stitch(header.withColumn("mark", F.col("_first")), "\n").select(
-        "path", F.col("value").alias("line"), F.lit(True).alias("_more")
-    )
+    """``path, line``: headers with line ends in quoted cells, up to the first line that starts outside one."""
+    marked = Chosen([path] if isinstance(path, str) else list(path), wanted)
+    lines = read_lines(spark, marked, glob, recursive)
+    header = _cut_rows(lines, first_only=True).join(wanted, "path", "left_semi")
+    return header.select("path", F.col("value").alias("line"))
 
 
 def _schema(width: int) -> str:
@@ -75,49 +72,67 @@ def _open_after(line: Column, opened: bool) -> Column:
     return F.when(still, 1).otherwise(0)
 
 
-def _with_quote_state(lines: DataFrame) -> DataFrame:
-    """Add ``open``: 1 for lines that start inside a quoted cell.
+_QUOTED = rb'[^"]*+(?:""[^"]*+)*+"'
+_CELL, _OPENED, _REST = re.compile(b'(^|,)"' + _QUOTED), re.compile(b'(^|,)"'), re.compile(_QUOTED)
 
-    Each line either fixes the state (whatever it was before), flips it or leaves
-    it. A state is that of the latest fixing line, flipped as often as flips follow it.
-    """
-    plain = ~F.contains("value", F.lit('"'))
-    outside = F.when(plain, 0).otherwise(_open_after(F.col("value"), False))
-    inside = F.when(plain, 1).otherwise(_open_after(F.col("value"), True))
-    lines = lines.withColumn("_to0", outside).withColumn("_to1", inside)
-    lines = lines.withColumn("_flip", F.when((F.col("_to0") == 1) & (F.col("_to1") == 0), 1).otherwise(0))
-    before = split_window().rowsBetween(W.unboundedPreceding, -1)
-    lines = lines.withColumn("_flips", F.coalesce(F.sum("_flip").over(before), F.lit(0)))
-    fixed = F.when(
-        F.col("_to0") == F.col("_to1"), F.struct(F.col("row").alias("row"), (F.col("_to0") - F.col("_flips")).alias("state"))
-    )
-    lines = lines.withColumn("_fixed", fixed)
-    lines = lines.withColumn("_last", F.last("_fixed", ignorenulls=True).over(before))
 
-    splits = lines.groupBy(*SPLIT).agg(
-        F.max("_fixed").alias("fixed"), F.sum("_flip").alias("flips")
-    )
-    # the same over splits: a split fixes the state, or flips it as often as its lines do
-    file_order = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    splits = splits.withColumn("_before", F.coalesce(F.sum("flips").over(file_order), F.lit(0)))
-    end = F.when(F.col("fixed").isNotNull(), F.col("fixed.state") + F.col("flips") - (F.col("_before") + F.col("flips")))
-    splits = splits.withColumn("_end", end)
-    start = F.coalesce(F.last("_end", ignorenulls=True).over(file_order), F.lit(0)) + F.col("_before")
-    splits = splits.withColumn("_start", F.pmod(start, F.lit(2)))
-    lines = attach_split_state(lines, splits, "_start")
-    state = F.pmod(F.coalesce(F.col("_last.state"), F.col("_start")) + F.col("_flips"), F.lit(2))
-    return lines.withColumn("open", state).select("path", "block", "row", "value", "open")
+def _state_after(line: bytes, opened: int) -> int:
+    """``_open_after`` of a line's bytes."""
+    if b'"' not in line:
+        return opened
+    if opened:
+        rest = _REST.match(line)
+        if rest is None:
+            return 1
+        line = b"x" + line[rest.end():]
+    return int(_OPENED.search(_CELL.sub(rb"\1x", line)) is not None)
+
+
+def _row_summary():
+    """The state after a split's lines if it starts outside a quoted cell, and if inside one."""
+    states = [0, 1]
+
+    def add(line):
+        if b'"' in line:
+            outside = _state_after(line, states[0])
+            states[1] = outside if states[0] == states[1] else _state_after(line, states[1])
+            states[0] = outside
+
+    return add, lambda: tuple(states)
+
+
+def _row_ends(state: int):
+    """Whether a row ends with a line; blank lines outside a quoted cell are left out."""
+    def step(line):
+        nonlocal state
+        if not line and not state:
+            return None
+        state = _state_after(line, state)
+        return not state
+
+    return step
+
+
+def _cut_rows(lines: DataFrame, first_only: bool = False) -> DataFrame:
+    """Lines joined to rows: a line starts a row unless a quoted cell is open.
+
+    Each split either fixes the state (whatever it was before), flips it or leaves it. A state is that of the latest
+    fixing split, flipped as often as flips follow it.
+    """
+    splits = split_summaries(lines, _row_summary, "to0 bigint, to1 bigint", "row-splits")
+    splits = splits.withColumn("_flip", F.when((F.col("to0") == 1) & (F.col("to1") == 0), 1).otherwise(0))
+    by_file = W.partitionBy("path").orderBy("block")
+    earlier = by_file.rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.withColumn("_flips", F.coalesce(F.sum("_flip").over(earlier), F.lit(0)))
+    splits = splits.withColumn("_fixed", F.when(F.col("to0") == F.col("to1"), F.col("to0") - F.col("_flips")))
+    start = F.coalesce(F.last("_fixed", ignorenulls=True).over(earlier), F.lit(0)) + F.col("_flips")
+    splits = splits.withColumn("state", F.pmod(start, F.lit(2)))
+    return cut_records(lines, _row_ends, "\n", splits, ("state",), first_only=first_only)
 
 
 def _large_rows(spark, path, glob, recursive, larger_than, width) -> DataFrame:
-    """Rows of files beyond one split: a line starts a row unless a quoted cell is open."""
-    lines = _with_quote_state(read_lines(spark, path, glob, recursive, larger_than=larger_than))
-    lines = lines.where((F.col("value") != "") | (F.col("open") == 1))
-    first = (F.col("block") == 0) & (F.row_number().over(split_window()) == 1)
-    lines = lines.withColumn("_header", first)
-    rows = latest_mark(lines, F.col("open") == 0)
-    # the header goes with all its lines
-    rows = stitch(rows, "\n", F.max("_header").alias("_header")).where(~F.col("_header"))
+    """Rows of files beyond one split; the header goes with all its lines."""
+    rows = _cut_rows(read_lines(spark, path, glob, recursive, larger_than=larger_than)).where("not first")
     parsed = rows.withColumn("_row", F.from_csv("value", _schema(width), {**_QUOTING, "multiLine": "true"}))
     return parsed.select("path", "pos", F.array(*[F.col(f"_row.c{i}") for i in range(width)]).alias("cells"))
 

@@ -1,8 +1,9 @@
 """File rows with their place, and stitching of records that span splits.
 
 A file of up to one split is read whole by one task. A larger file is cut into
-splits as usual, and records that cross lines or splits are put together from
-per-split summaries (one row per split), so no task ever needs a whole file.
+splits as usual. One scan leaves a summary per split; from the summaries every split
+knows how it starts, and a second scan joins pieces to records as it goes. Only the
+records at the edges of splits meet in a shuffle, so no task ever needs a whole file.
 
 Every reader returns ``path``, ``pos`` and a payload. ``pos`` is a struct
 (block, row, item) that orders the records of a file.
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import prepare, stored
 
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
@@ -147,11 +148,6 @@ def place(lines: DataFrame) -> DataFrame:
 SPLIT = ("path", "block")
 
 
-def split_window():
-    """Rows of one split in file order; a split holds at most maxPartitionBytes of text."""
-    return W.partitionBy(*SPLIT).orderBy("row")
-
-
 def _file_window():
     return W.partitionBy("path").orderBy("block")
 
@@ -165,33 +161,129 @@ def attach_split_state(rows: DataFrame, per_split: DataFrame, *columns: str) ->
     return joined.withColumn("row", check).drop("_has")
 
 
-def latest_mark(rows: DataFrame, marked: Column, name: str = "mark", upto_here: bool = True) -> DataFrame:
-    """Place (block, row) of the latest marked row at or before this one, or before it only.
+#: Pieces handled at once by a Python worker, and bytes of the records it holds before it hands them on.
+PIECES_AT_ONCE = 512
+HELD_BYTES = 4 << 20
+
+
+def _pieces(batches):
+    """Rows of Arrow batches as tuples, some at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, PIECES_AT_ONCE):
+            part = batch.slice(begin, PIECES_AT_ONCE)
+            yield from zip(*[column.to_pylist() for column in part.columns], strict=True)
+
+
+def split_summaries(pieces: DataFrame, begin, schema: str, label: str = "splits") -> DataFrame:
+    """A small table of ``path, block`` and the columns of `schema`: what the pieces of each split come to.
+
+    ``begin()`` gives a pair: a function called with the bytes of every piece in file order, and one that gives the
+    values of `schema` at the split's end.
+    """
+    def run(batches):
+        import pyarrow as pa
+
+        found, at, finish = [], None, None
+        for path, block, value in _pieces(batches):
+            if (path, block) != at:
+                if at:
+                    found.append((*at, *finish()))
+                at, (add, finish) = (path, block), begin()
+            add(value)
+        if at:
+            found.append((*at, *finish()))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*found, strict=True)], names)
+
+    names = ["path", "block", *[part.split()[0] for part in schema.split(", ")]]
+    lines = pieces.select("path", "block", F.col("value").cast("binary").alias("value"))
+    return stored(lines.mapInArrow(run, f"path string, block bigint, {schema}"), label)
+
+
+def cut_records(
+    pieces: DataFrame, begin, separator: str, splits: DataFrame | None = None, start: tuple[str, ...] = (),
+    kept: str | None = None, first_only: bool = False,
+) -> DataFrame:
+    """``path, pos, value, ended, first``: pieces of files joined to records, without moving the pieces.
 
-    Rows before the first mark get (-1, -1). The place names the record a row belongs to.
+    ``begin(*start)`` gives a function of a piece's bytes: True if a record ends with it, False if not, None to leave it
+    out. `splits` has a row per split, with the columns `start` that tell how it starts and `kept`, whether its file is
+    wanted. ``ended`` is false for what follows the last end of a file, ``first`` marks a file's first record; with
+    `first_only` no others are given.
     """
-    here = F.struct(F.col("block").alias("block"), F.col("row").alias("row"))
-    rows = rows.withColumn("_mark", F.when(marked, here))
-    last = rows.groupBy(*SPLIT).agg(F.max("_mark").alias("_last"))
-    carried = F.max("_last").over(_file_window().rowsBetween(W.unboundedPreceding, -1))
-    last = last.select(*SPLIT, carried.alias("_carried"))
-    inside = F.max("_mark").over(split_window().rowsBetween(W.unboundedPreceding, 0 if upto_here else -1))
-    rows = rows.withColumn(name, inside)
-    rows = attach_split_state(rows, last, "_carried")
-    none = F.struct(F.lit(-1).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("row"))
-    return rows.withColumn(name, F.coalesce(name, "_carried", none)).drop("_mark", "_carried")
-
-
-def stitch(rows: DataFrame, separator: str, *more: Column, value: str = "value", mark: str = "mark") -> DataFrame:
-    """Join the rows of each record in file order: ``path, pos, value`` and further aggregates."""
-    piece = F.struct("block", "row", F.col(value).alias("v"))
-    ordered = F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["v"])
-    return (
-        rows.groupBy("path", mark)
-        .agg(F.array_join(ordered, separator).alias("value"), *more)
-        .withColumn("pos", position(F.col(f"{mark}.block"), F.col(f"{mark}.row")))
-        .drop(mark)
+    glue = separator.encode()
+
+    def run(edges: bool):
+        def cut(batches):
+            import pyarrow as pa
+
+            out, size, at, held, lead, step, row_ = [], 0, None, [], True, None, None
+
+            def add(ended):
+                nonlocal size
+                if (lead or not ended) == edges:
+                    out.append((*at, row_, glue.join(held), ended))
+                    size += len(out[-1][3])
+
+            def batch():
+                columns = zip(*out, strict=True)
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "block", "row", "value", "ended"])
+
+            for path, block, row, value, *state in _pieces(batches):
+                if (path, block) != at:
+                    if held:
+                        add(False)
+                    at, held, lead, step = (path, block), [], True, begin(*state)
+                ends = step(value)
+                if ends is None:
+                    continue
+                if not held:
+                    row_ = row
+                if edges and not lead and ends:  # a record that lies inside the split
+                    held = []
+                    continue
+                held.append(value)
+                if ends:
+                    add(True)
+                    held, lead = [], False
+                if size > HELD_BYTES:
+                    yield batch()
+                    out, size = [], 0
+            if held:
+                add(False)
+            if out:
+                yield batch()
+
+        return cut
+
+    rows = pieces
+    if splits is not None:
+        # one small row per split, shipped to the scans: the order of the pieces is kept
+        columns = [*start, kept] if kept else list(start)
+        rows = attach_split_state(rows, F.broadcast(splits.select(*SPLIT, *columns)), *columns)
+        rows = rows.where(kept) if kept else rows
+    rows = rows.select("path", "block", "row", F.col("value").cast("binary").alias("value"), *start)
+    schema = "path string, block bigint, row bigint, value binary, ended boolean"
+    # at most two records per split, kept so that no later use of the records scans for them again
+    edges = stored(rows.mapInArrow(run(True), schema), "edges")
+    before = W.partitionBy("path").orderBy("block", "row").rowsBetween(W.unboundedPreceding, -1)
+    edges = edges.withColumn("part", F.coalesce(F.sum(F.col("ended").cast("int")).over(before), F.lit(0)))
+    piece = F.struct("block", "row", F.col("value").cast("string").alias("v"))
+    ordered = F.array_sort(F.collect_list(piece))
+    edges = edges.where("part = 0") if first_only else edges
+    edges = edges.groupBy("path", "part").agg(ordered.alias("p"), F.max("ended").alias("ended")).select(
+        "path", position(F.col("p")[0]["block"], F.col("p")[0]["row"]).alias("pos"),
+        F.array_join(F.transform("p", lambda p: p["v"]), separator).alias("value"), "ended", (F.col("part") == 0).alias("first"),
     )
+    if first_only:
+        return edges
+    inside = rows.mapInArrow(run(False), schema)
+    return edges.unionByName(inside.select(
+        "path", position(F.col("block"), F.col("row")).alias("pos"), F.col("value").cast("string").alias("value"), "ended",
+        F.lit(False).alias("first"),
+    ))
 
 
 def with_ordinal(records: DataFrame, name: str = "ordinal") -> DataFrame:

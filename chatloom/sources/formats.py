@@ -48,6 +48,12 @@ def _first_line(text: Column) -> Column:
     return strip(F.regexp_extract(text, r"^[^\r\n]*", 0))
 
 
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """The first row of every file, found by its number: an aggregate of texts would sort the texts of all files."""
+    rows = rows.where("block = 0")
+    return rows.join(F.broadcast(rows.groupBy("path").agg(F.min("row").alias("row"))), ["path", "row"])
+
+
 def first_json_records(
     spark: SparkSession, path, glob: str = JSON_GLOB, recursive: bool = True, whole_file_bytes: int = WHOLE_FILE_BYTES
 ) -> DataFrame:
@@ -62,16 +68,15 @@ def first_json_records(
     )
     if has_larger_files(spark, path, whole_file_bytes, glob, recursive):
         elements = read_large_json_array(
-            spark, path, glob, recursive, whole_file_bytes, on_bad="mark", skip_others=True
+            spark, path, glob, recursive, whole_file_bytes, on_bad="mark", skip_others=True, first_only=True
         )
         heads = elements.groupBy("path").agg(F.min_by("value", "pos").alias("element"))
         # a line of a large array may be the whole file: only its start is kept
         pieces = read_lines(spark, path, glob, recursive, line_sep="}", larger_than=whole_file_bytes)
-        kinds = pieces.where("block = 0").groupBy("path").agg(
-            F.min_by(F.left(F.ltrim("value", F.lit(JSON_SPACE)), F.lit(1)), "row").alias("head")
-        )
-        lines = read_lines(spark, path, glob, recursive, larger_than=whole_file_bytes).where("block = 0")
-        lines = lines.groupBy("path").agg(F.min_by(F.when(~F.startswith("value", F.lit("[")), strip(F.col("value"))), "row").alias("line"))
+        head = F.left(F.ltrim("value", F.lit(JSON_SPACE)), F.lit(1))
+        kinds = _first_rows(pieces).select("path", head.alias("head"))
+        lines = _first_rows(read_lines(spark, path, glob, recursive, larger_than=whole_file_bytes))
+        lines = lines.select("path", F.when(~F.startswith("value", F.lit("[")), strip(F.col("value"))).alias("line"))
         large = kinds.join(lines, "path", "left").join(heads, "path", "left")
         first = first.unionByName(
             large.select(
@@ -137,16 +142,20 @@ def detect_format(spark: SparkSession, path: str) -> tuple[str, str]:
 
 
 def _heads(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
-    """``path, pos, container`` by the first character of every piece that is not blank."""
+    """``path, block, row, container`` by the first character of every piece that is not blank."""
     head = F.left(F.ltrim("value", F.lit(JSON_SPACE)), F.lit(1))
     container = F.when(head == "[", "array").otherwise("lines")
     pieces = read_lines(spark, path, glob, line_sep="}").where(head != "")
-    return pieces.select("path", F.struct("block", "row").alias("pos"), container.alias("container"))
+    return pieces.select("path", "block", "row", container.alias("container"))
 
 
 def json_containers(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
     """``path, container``: whether each JSON file holds an array or lines."""
-    return _heads(spark, path, glob).groupBy("path").agg(F.min_by("container", "pos").alias("container"))
+    # row and kind in one number: a minimum of numbers needs no sort of all pieces
+    kind = F.shiftleft("row", 1) + F.when(F.col("container") == "array", 0).otherwise(1)
+    first = _heads(spark, path, glob).groupBy("path", "block").agg(F.min(kind).alias("_kind"))
+    first = first.groupBy("path").agg(F.min_by("_kind", "block").alias("_kind"))
+    return first.select("path", F.when(F.col("_kind") % 2 == 0, "array").otherwise("lines").alias("container"))
 
 
 def detect_container(spark: SparkSession, path: str) -> str:

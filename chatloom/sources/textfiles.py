@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .files import (
-    WHOLE_FILE_BYTES, has_larger_files, place, position, read_lines, read_whole, latest_mark, stitch,
+    WHOLE_FILE_BYTES, cut_records, has_larger_files, place, position, read_lines, read_whole,
 )
 
 
@@ -35,8 +35,9 @@ def read_paragraphs(
     parts = parts.select("path", position(0, F.col("row")).alias("pos"), "value")
     if has_larger_files(spark, path, whole_file_bytes, glob, recursive):
         lines = read_lines(spark, path, glob, recursive, larger_than=whole_file_bytes)
-        runs = latest_mark(lines, F.col("value") == "").where(F.col("value") != "")
-        parts = parts.unionByName(stitch(runs, "\n"))
+        # an empty line ends a run; what it adds to the run's end is stripped
+        runs = cut_records(lines, lambda: lambda line: not line, "\n")
+        parts = parts.unionByName(runs.select("path", "pos", "value"))
     return parts.withColumn("value", strip(F.col("value"))).where(F.col("value") != "")
 
 
