@@ -41,6 +41,15 @@ def opened(uri: str):
     return system, path, uri.split("://", 1)[0] + "://" + rest[: len(rest) - len(path.strip("/"))]
 
 
+def can_open(uri: str) -> bool:
+    """Whether pyarrow knows the file system of a path."""
+    try:
+        opened(uri)
+    except (OSError, ValueError):
+        return False
+    return True
+
+
 class _Folders(InputPartition):
     def __init__(self, names: list[str]):
         self.names = names

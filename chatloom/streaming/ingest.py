@@ -12,7 +12,9 @@ from ..operators.generate import generate_batch
 from ..operators.records import csv_messages, csv_plan, text_messages, to_messages
 from ..operators.render import CHATML, ChatTemplate, render_training_text, single_prompt
 from ..session import prepare, shared_path
-from ..sources.files import file_path
+from ..sources.arrays import array_items_of
+from ..sources.files import WHOLE_FILE_BYTES, file_path
+from ..sources.folders import can_open
 from ..sources.textfiles import unix_lines
 from ..sources.prompts import prompts_from_records
 
@@ -49,20 +51,39 @@ def stream_messages(
     return files.where(F.col("value") != "").select("path", text_messages(F.col("value")).alias("messages"))
 
 
+_LISTED = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def stream_array_messages(
     spark: SparkSession, path: str, fmt: str, glob: str | None = None, on_bad: str = "null",
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = None, whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
-    """``path, messages`` of arriving JSON array files; a task reads a whole file."""
-    reader = prepare(spark).readStream
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    files = reader.text(path, wholetext=True)
+    """``path, messages`` of arriving JSON array files; a task reads a file.
+
+    Files beyond `whole_file_bytes` are read piece by piece. A file of that size that turns out to be no array gives
+    its bad record after the elements before it. Where only Spark can open the path, every file is read whole.
+    """
+    def reader():
+        found = prepare(spark).readStream
+        if glob:
+            found = found.option("pathGlobFilter", glob)
+        if files_per_batch:
+            found = found.option("maxFilesPerTrigger", files_per_batch)
+        return found
+
     # a file that holds no array is one bad record, which to_messages fails or keeps as a row by on_bad
-    items = F.coalesce(F.from_json("value", "array<string>"), F.array(F.lit("not a JSON array")))
+    bad = F.array(F.lit("not a JSON array"))
+    files = reader().text(path, wholetext=True)
+    pieces = can_open(path)
+    if pieces:
+        files = files.where(F.col("_metadata.file_size") <= whole_file_bytes)
+    items = F.coalesce(F.from_json("value", "array<string>"), bad)
     elements = files.select(file_path().alias("path"), F.explode(items).alias("value"))
+    if pieces:
+        listed = reader().format("binaryFile").schema(_LISTED).load(path)
+        large = listed.where(F.col("_metadata.file_size") > whole_file_bytes).select(file_path().alias("path"))
+        found = array_items_of(large).select("path", F.explode(F.coalesce("items", bad)).alias("value"))
+        elements = elements.unionByName(found)
     return to_messages(elements, fmt, on_bad=on_bad)
 
 
