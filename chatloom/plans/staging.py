@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_path, stored
+from ..sources.files import PIECES_AT_ONCE
 from ..sources.folders import opened
 
 
@@ -27,20 +28,19 @@ def stage_arrays(df: DataFrame, label: str) -> str:
     """One JSON array per file from a column of JSON texts: brackets around, commas between."""
 
     def bracketed(batches):
+        import pyarrow as pa
+
         opened = False
         for batch in batches:
-            lines = batch["value"].tolist()
-            if lines:
-                batch = batch.iloc[: len(lines)].copy()
-                batch["value"] = [("," if opened or i else "[") + v for i, v in enumerate(lines)]
+            for begin in range(0, batch.num_rows, PIECES_AT_ONCE):
+                lines = batch.column(0).slice(begin, PIECES_AT_ONCE).to_pylist()
+                lines = [("," if opened or i else "[") + v for i, v in enumerate(lines)]
                 opened = True
-                yield batch
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
         if opened:
-            import pandas as pd
-
-            yield pd.DataFrame({"value": ["]"]})
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
 
-    return stage_lines(df.select("value").mapInPandas(bracketed, "value string"), label)
+    return stage_lines(df.select("value").mapInArrow(bracketed, "value string"), label)
 
 
 def stage_csv(df: DataFrame, label: str) -> str:
