@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_path, stored
 from ..sources.files import PIECES_AT_ONCE
-from ..sources.folders import opened
+from ..sources.folders import can_open, opened
 
 
 def stage_lines(df: DataFrame, label: str) -> str:
@@ -57,15 +57,45 @@ def stage_paragraphs(df: DataFrame, label: str) -> str:
 
 
 def stage_text_files(df: DataFrame, key: str, label: str) -> str:
-    """One text file per row, below a folder per key value. ``df`` holds the key and ``value``."""
+    """One text file per row, named after its key, in a folder per task. ``df`` holds the key and ``value``.
+
+    Where only Spark can open the shared folder, its writer makes a folder per key value.
+    """
     path = shared_path(df.sparkSession, label)
-    df.select(key, "value").write.partitionBy(key).text(path)
+    if not can_open(path):
+        df.select(key, "value").write.partitionBy(key).text(path)
+        return path
+
+    def write(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, written = TaskContext.get(), Counter()
+        system, folder, _ = opened(f"{path}/{task.partitionId():06}")
+        system.create_dir(folder, recursive=True)
+        for batch in batches:
+            for of, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                name = f"{key}={'' if of is None else of}.{written[of]}"
+                written[of] += 1
+                # under a hidden name first: a task that is tried again leaves no half of a file
+                begun = f"{folder}/.{name}.{task.taskAttemptId()}"
+                with system.open_output_stream(begun) as out:
+                    out.write((value.as_py() or "").encode() + b"\n")
+                system.move(begun, f"{folder}/{name}.txt")
+        yield pa.RecordBatch.from_arrays([pa.array([folder])], ["path"])
+
+    system, first, _ = opened(f"{path}/000000")
+    system.create_dir(first, recursive=True)  # without rows no task may run
+    stored(df.select(key, "value").mapInArrow(write, "path string"), "written")
     return path
 
 
 def path_key(path, key: str):
     """Value of the key in a path written by ``stage_text_files``."""
-    return F.regexp_extract(path, rf"/{key}=([^/]+)/", 1).cast("bigint")
+    found = F.regexp_extract(path, rf"/{key}=([^/]*?)(?:\.[0-9]+\.txt$|/)", 1)
+    return F.nullif(found, F.lit("")).cast("bigint")
 
 
 def stage_files(df: DataFrame, folder: str, name: str) -> None:

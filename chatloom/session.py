@@ -13,6 +13,8 @@ _RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+_LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
 
 def build_session(app: str = "chatloom", cores: str = "*", **settings: str) -> SparkSession:
     """Local session for tests and the benchmark; on a cluster pass your own session instead."""
@@ -38,6 +40,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     # one file have to be cut at the same offsets.
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    # Listings of many paths: by default every listing of a large folder has 10,000 tasks of a few milliseconds
+    if spark.conf.get(_LISTING_TASKS, None) is None:
+        spark.conf.set(_LISTING_TASKS, str(8 * spark.sparkContext.defaultParallelism))
     return spark
 
 
