@@ -137,12 +137,15 @@ def model_catalog(
     The base itself counts only when it has a configuration file. Each directory
     lists all its file names; without ``list_all`` only the first ones.
     """
-    files = with_directory(files)
+    # the same condition on both uses of the listing, so that what is shuffled to make it is made once
+    files = with_directory(files).where(F.col("dir").isNotNull())
     root = base.rstrip("/")
     relative = F.rtrim(relative_name(F.concat("dir", F.lit("/")), root), F.lit("/"))
     facts = model_facts(files).withColumn("_rel", relative)
-    facts = facts.where(~_hidden(F.col("_rel")) & (F.size(F.split("_rel", "/")) <= max_depth + 1))
-    facts = facts.where((F.col("_rel") != "") | F.col("has_config"))
+    wanted = ~_hidden(F.col("_rel")) & (F.size(F.split("_rel", "/")) <= max_depth + 1)
+    wanted = wanted & ((F.col("_rel") != "") | F.col("has_config"))
+    # tied to a count, or these patterns would be tried on every file, in each of the joined tables, instead of once a directory
+    facts = facts.where(F.when(F.col("n_files") > 0, wanted))
     shown = all_files(files) if list_all else first_files(files)
     joined = facts.join(model_config_fields(configs), "dir", "left").join(shown, "dir", "left")
     no_config, no_weights, no_tokenizer = ~F.col("has_config"), F.col("n_weights") == 0, ~F.col("has_tokenizer")
@@ -447,7 +450,7 @@ def validation_totals(**sections: DataFrame) -> DataFrame:
     return rows.groupBy("section").agg(F.count_if("valid").alias("valid"), F.count("*").alias("total"))
 
 
-def report_rows(catalog: DataFrame, files: int = PREVIEW_FILES) -> DataFrame:
+def report_rows(catalog: DataFrame, files: int = PREVIEW_FILES, ordered: bool = True) -> DataFrame:
     """Catalogue rows as the report shows them, by name: status and joined lists."""
     lists = [c for c in ("fields", "errors", "warnings") if c in catalog.columns]
     out = catalog.withColumn("status", status(F.col("valid")))
@@ -456,4 +459,4 @@ def report_rows(catalog: DataFrame, files: int = PREVIEW_FILES) -> DataFrame:
     if "files" in catalog.columns:
         more = F.when(F.col("n_files") > files, F.lit("...")).otherwise(F.lit(""))
         out = out.withColumn("files", F.concat(F.array_join(F.slice("files", 1, files), ", "), more))
-    return out.orderBy("name")
+    return out.orderBy("name") if ordered else out

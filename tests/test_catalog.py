@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from chatloom.operators import catalog
 from chatloom.sources import trees
@@ -157,3 +158,23 @@ def test_no_datasets(spark, tmp_path):
     (tmp_path / "a.parquet").write_text("x")
     found = trees.scan_datasets(spark, str(tmp_path))
     assert found.count() == 0 and "sample_count" in found.columns
+
+
+def test_folders_are_judged_once_each_and_not_by_file(spark):
+    numbered = spark.range(600).select(
+        F.concat(F.lit("/m/models/"), F.col("id") % 40, F.lit("/f"), F.col("id"), F.lit(".bin")).alias("path"), F.col("id").alias("length"))
+    odd = spark.createDataFrame([("/m/models/.git/config.json", 1), ("/m/models/config.json", 2), (None, 3)], "path string, length bigint")
+    configs = spark.range(3).select(F.concat(F.lit("/m/models/"), "id").alias("dir"), F.lit('{"model_type": "t"}').alias("value"))
+    found = catalog.model_catalog(numbered.union(odd), configs, "/m/models", list_all=False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.index("RLIKE") < plan.index("Aggregate [dir")  # above the rows per folder
+    rows = {r["name"]: r for r in found.collect()}
+    assert set(rows) == {"models", *map(str, range(40))}
+    assert rows["7"]["n_files"] == 15 and rows["7"]["files"] == sorted(f"f{i}.bin" for i in range(7, 600, 40))[:8]
+    assert [rows[n]["model_type"] for n in ("1", "5")] == ["t", "Unknown"]
+
+
+def test_report_rows_in_any_order(spark):
+    rows = spark.createDataFrame([("b", True, ["x"]), ("a", False, [])], "name string, valid boolean, errors array<string>")
+    assert [r["name"] for r in catalog.report_rows(rows).collect()] == ["a", "b"]
+    assert "Sort" not in catalog.report_rows(rows, ordered=False)._jdf.queryExecution().optimizedPlan().toString()
