@@ -15,6 +15,9 @@ from ..session import shared_path, stored
 #: Requests generated between two commits to a ledger.
 COMMIT_ROWS = 100_000
 
+#: Bytes of prompts that a model gets in one call, unless one prompt has more.
+CALL_BYTES = 4 << 20
+
 
 def falsy_default(*choices: Column, default) -> Column:
     """First choice that is neither null nor zero, else the default."""
@@ -94,14 +97,28 @@ def tokenize_with(factory: Callable[[], Callable], text: Column) -> Column:
     return F.pandas_udf(encode, T.ArrayType(T.IntegerType()))(text)
 
 
+def _calls(batch, prompt: str):
+    """A batch in consecutive slices of about CALL_BYTES of prompts."""
+    import pyarrow.compute as pc
+
+    begin, held = 0, 0
+    for row, size in enumerate(pc.fill_null(pc.binary_length(batch.column(prompt)), 0).to_pylist()):
+        if row > begin and held + size > CALL_BYTES:
+            yield batch.slice(begin, row - begin)
+            begin, held = row, 0
+        held += size
+    if batch.num_rows:
+        yield batch.slice(begin)
+
+
 def generate_batch(
     df: DataFrame, factory: Callable[[], Callable], prompt: str = "prompt", settings: tuple[str, ...] = (), profile=None
 ) -> DataFrame:
-    """Add ``reply, new_tokens, elapsed``: one call of the user's model per Arrow batch of prompts.
+    """Add ``reply, new_tokens, elapsed``: a call of the user's model per Arrow batch of prompts, or per CALL_BYTES of one.
 
     ``factory`` loads the model once per task and returns ``generate(prompts, **settings)``. It is given
     a list of prompts and, per setting, a list as long, and gives one reply or (reply, number of new
-    tokens) per prompt. ``elapsed`` is a prompt's share of its batch. Rows keep their key columns, so the
+    tokens) per prompt. ``elapsed`` is a prompt's share of its call. Rows keep their key columns, so the
     order of the prompts never depends on the order of rows. ``profile`` is a ResourceProfile for the tasks
     that run the model, such as one that asks for GPUs.
     """
@@ -112,21 +129,27 @@ def generate_batch(
     ])
 
     def run(batches):
+        import pyarrow as pa
+
         model = None
-        for batch in batches:
-            if batch.empty:
-                continue
+        # only prompts and settings become Python objects, a call's at a time; all columns pass through as they are
+        for batch in (part for whole in batches for part in _calls(whole, prompt)):
             model = model or factory()
+            given = {s: batch.column(s).to_pandas(date_as_object=True).tolist() for s in settings}
             begin = time.perf_counter()
-            results = list(model(batch[prompt].tolist(), **{s: batch[s].tolist() for s in settings}))
-            if len(results) != len(batch):
-                raise ValueError(f"{len(results)} replies to {len(batch)} prompts")
+            results = list(model(batch.column(prompt).to_pylist(), **given))
+            if len(results) != batch.num_rows:
+                raise ValueError(f"{len(results)} replies to {batch.num_rows} prompts")
             results = [r if isinstance(r, tuple) else (r, len(r.split())) for r in results]
-            share = (time.perf_counter() - begin) / len(batch)
+            share = (time.perf_counter() - begin) / batch.num_rows
             replies, counts = zip(*results)
-            yield batch.assign(reply=[r.strip() for r in replies], new_tokens=list(counts), elapsed=share)
+            added = [
+                pa.array([r.strip() for r in replies], batch.column(prompt).type), pa.array(counts, pa.int64()),
+                pa.array([share] * batch.num_rows, pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
 
-    return df.mapInPandas(run, schema, profile=profile)
+    return df.mapInArrow(run, schema, profile=profile)
 
 
 REPLY_SCHEMA = "request string, reply string, new_tokens bigint, elapsed double"

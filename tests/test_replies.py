@@ -6,7 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from chatloom.operators.generate import generate_missing, open_replies
+from chatloom.operators.generate import generate_batch, generate_missing, open_replies
 from chatloom.session import shared_path
 
 
@@ -67,3 +67,20 @@ def test_settings_models_and_keys_tell_requests_apart(spark, calls):
     generate_missing(df.withColumnRenamed("n.o", "n"), factory(), ledger, settings=("top_k",), keys=("n",))
     assert len(noted()) == 13
     assert generate_missing(df.limit(0), factory(), ledger).count() == 0
+
+
+def test_long_prompts_come_in_several_calls(spark):
+    def factory():
+        # a reply says what its call was given
+        return lambda prompts, top_k: [(f" {len(prompts)} {sum(map(len, prompts))} {k} ", n) for n, k in enumerate(top_k)]
+
+    rows = spark.range(40, numPartitions=1).select(
+        "id", F.repeat(F.lit("x"), F.when(F.col("id") == 5, 6_000_000).otherwise(500_000)).alias("prompt"),
+        (F.col("id") * 2).cast("int").alias("top_k"), F.array("id").alias("listed"), F.lit(None).cast("date").alias("none"))
+    found = generate_batch(rows, factory, settings=("top_k",)).drop("prompt").orderBy("id").collect()
+    assert [(r["id"], r["listed"], r["none"]) for r in found] == [(i, [i], None) for i in range(40)]
+    given = [[int(v) for v in r["reply"].split()] for r in found]
+    assert all(size <= 4 << 20 or n == 1 for n, size, _ in given) and max(n for n, _, _ in given) == 8
+    assert [k for _, _, k in given] == [2 * i for i in range(40)]
+    assert [r["new_tokens"] for r in found[:7]] == [0, 1, 2, 3, 4, 0, 0]
+    assert generate_batch(rows.where("id < 0"), factory, settings=("top_k",)).count() == 0
